@@ -155,7 +155,7 @@ SQL["negative_observables"] = with_(NODES, STEPS, NOISY, _SIGNED) + (
 _PIECES = (
     "raw AS (SELECT l_orderkey AS error, l_suppkey AS u, l_suppkey + 1 + l_partkey % 5 AS v, l_linenumber = 1 AS flag, "
     "'D' || l_suppkey || ' D' || (l_suppkey + 1 + l_partkey % 5) || CASE WHEN l_linenumber = 1 THEN ' L0' ELSE '' END AS body, "
-    "min(l_discount) OVER (PARTITION BY l_orderkey) / 4 AS p FROM lineitem), "
+    "min(l_discount) OVER (PARTITION BY l_orderkey) / 3 AS p FROM lineitem), "
     "pieces AS (SELECT error, row_number() OVER (PARTITION BY error ORDER BY body) - 1 AS piece, u, v, p, flag FROM raw WHERE p > 0)"
 )
 SQL["model_pieces"] = with_(_PIECES) + "SELECT error, piece::BIGINT AS piece, u, v, round(p, 9) AS p, CASE WHEN flag THEN '0' ELSE '' END AS obs FROM pieces"

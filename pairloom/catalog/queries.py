@@ -30,12 +30,23 @@ def query(function: Query) -> Query:
     return function
 
 
+_graphs: dict[tuple[str, str, str], Graph] = {}
+
+
+def _graph(spark: SparkSession, folder: str, weights_of: str) -> Graph:
+    """A graph is prepared once per application; its boundary and component tables stay with it."""
+    key = (spark.sparkContext.applicationId, folder, weights_of)
+    if key not in _graphs:
+        _graphs[key] = Graph(edges.search_ready(edges.discretise(lattice.edges(spark, folder, weights_of))))
+    return _graphs[key]
+
+
 def unit_graph(spark: SparkSession, folder: str) -> Graph:
-    return Graph(edges.search_ready(edges.discretise(lattice.edges(spark, folder))))
+    return _graph(spark, folder, "unit")
 
 
 def noisy_graph(spark: SparkSession, folder: str) -> Graph:
-    return Graph(edges.search_ready(edges.discretise(lattice.edges(spark, folder, "noisy"))))
+    return _graph(spark, folder, "noisy")
 
 
 def r9(name: str):
@@ -137,7 +148,7 @@ def _split_errors(spark: SparkSession, folder: str) -> DataFrame:
     )
     return lines.select(
         F.col("l_orderkey").alias("error"),
-        F.concat(F.lit("error("), F.format_string("%.17g", F.col("p") / 4), F.lit(") "), F.col("body")).alias("value"),
+        F.concat(F.lit("error("), F.format_string("%.17g", F.col("p") / 3), F.lit(") "), F.col("body")).alias("value"),
     )
 
 
@@ -542,7 +553,7 @@ def decode_mistakes(spark, folder):
     """Groups grown level by level against the split of whole shots; they must agree on every shot."""
     graph = unit_graph(spark, folder)
     hits = cut(lattice.hits(spark, folder))
-    grown = matching.per_shot(matching.pair_groups(hits, graph, limit=0)).select("shot", F.col("weight").alias("grown"), F.col("status").alias("grown_status"))
+    grown = matching.per_shot(matching.pair_groups(hits, graph, limit=0, first_horizon=16)).select("shot", F.col("weight").alias("grown"), F.col("status").alias("grown_status"))
     whole = matching.per_shot(matching.pair_groups(hits, graph)).select("shot", "weight")
     both = whole.join(grown, "shot", "left")
     return both.agg(

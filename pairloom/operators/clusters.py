@@ -32,6 +32,10 @@ class Level:
 
 def graph_components(graph: Graph) -> DataFrame:
     """id, comp: every node with the smallest node of its component."""
+    return graph.once("components", lambda: _graph_components(graph))
+
+
+def _graph_components(graph: Graph) -> DataFrame:
     links = graph.edges.where("v IS NOT NULL").select(F.col("u").alias("a"), F.col("v").alias("b"))
     found = contract(links, []).select(F.col("node").alias("id"), F.col("root").alias("comp"))
     return graph.nodes().join(found, "id", "left").select("id", F.coalesce("comp", "id").alias("comp"))
@@ -44,7 +48,11 @@ def component_spans(graph: Graph) -> DataFrame:
     it. Any two nodes are joined through either, so the smaller of twice the
     first eccentricity and the largest sum of both distances bounds them all.
     """
-    comps = cut(graph_components(graph))
+    return graph.once("spans", lambda: _component_spans(graph))
+
+
+def _component_spans(graph: Graph) -> DataFrame:
+    comps = graph_components(graph)
     far = F.lit(int(NO_PATH) // 4)
     first = balls(graph, comps.where("id = comp").select(F.col("id").alias("src"), far.alias("radius")))
     first = cut(first.select(F.col("src").alias("comp"), F.col("node").alias("id"), F.col("d").alias("d1")))
@@ -56,36 +64,32 @@ def component_spans(graph: Graph) -> DataFrame:
     )
 
 
-def threshold_components(hits: DataFrame, graph: Graph, b: int, limit: int = SMALL_SHOT, spans: DataFrame | None = None) -> DataFrame:
+def threshold_components(hits: DataFrame, graph: Graph, b: int, limit: int = SMALL_SHOT, shortcut: bool = False) -> DataFrame:
     """shot, det, root: hits of a shot chained by steps of at most ``b``.
 
-    Where ``spans`` shows that b covers a whole graph component, its hits are one
-    component without looking at any pair; only the others search for pairs.
+    With ``shortcut`` a graph component that b covers as a whole makes its hits
+    one group without looking at any pair; only the others search for pairs.
     """
-    if spans is None:
-        near = hits
-        covered = None
-    else:
-        comps = spans["nodes"]
-        tagged = hits.join(comps.withColumnRenamed("id", "det"), "det")
-        wide = spans["spans"].where(F.col("span") <= b).select("comp")
-        covered = tagged.join(wide, "comp", "left_semi")
-        roots = covered.groupBy("shot", "comp").agg(F.min("det").alias("root"))
-        covered = covered.join(roots, ["shot", "comp"]).select("shot", "det", "root")
-        near = tagged.join(wide, "comp", "left_anti").select("shot", "det")
-    if spans is not None and near.isEmpty():
+    hits = hits.select("shot", "det")
+    if not shortcut:
+        return _chained(hits, graph, b, limit)
+    spans = component_spans(graph)
+    tagged = hits.join(graph_components(graph).withColumnRenamed("id", "det"), "det")
+    narrow = spans.where(F.col("span") > b).select("comp")
+    covered = tagged.join(spans.where(F.col("span") <= b).select("comp"), "comp", "left_semi")
+    roots = covered.groupBy("shot", "comp").agg(F.min("det").alias("root"))
+    covered = covered.join(roots, ["shot", "comp"]).select("shot", "det", "root")
+    if narrow.isEmpty():
         return covered
-    pairs = pairs_within(near, graph, b, limit)
+    return _chained(tagged.join(narrow, "comp", "left_semi").select("shot", "det"), graph, b, limit).unionByName(covered)
+
+
+def _chained(hits: DataFrame, graph: Graph, b: int, limit: int) -> DataFrame:
+    pairs = pairs_within(hits, graph, b, limit)
     found = components(pairs.select("shot", F.col("u").alias("a"), F.col("v").alias("b")), ["shot"])
-    rooted = near.join(found.withColumnRenamed("node", "det"), ["shot", "det"], "left").select(
+    return hits.join(found.withColumnRenamed("node", "det"), ["shot", "det"], "left").select(
         "shot", "det", F.coalesce("root", "det").alias("root")
     )
-    return rooted if covered is None else rooted.unionByName(covered)
-
-
-def spans_of(graph: Graph) -> dict[str, DataFrame]:
-    """Component of each node and the span of each component, for :func:`threshold_components`."""
-    return {"nodes": cut(graph_components(graph)), "spans": cut(component_spans(graph))}
 
 
 def diameters(rooted: DataFrame, graph: Graph, cap: int) -> DataFrame:
@@ -101,7 +105,8 @@ def diameters(rooted: DataFrame, graph: Graph, cap: int) -> DataFrame:
     spokes = spokes.withColumn("cap", F.lit(cap))
     reach = spokes.join(pair_distances(graph, spokes.select("u", "v", "cap")), ["u", "v"])
     reach = reach.groupBy("shot", "root").agg(F.count("*").alias("reached"), F.max("d").alias("spoke"))
-    local = cut(sizes.join(reach, ["shot", "root"], "left").where("size = 1 OR reached = size - 1").select("shot", "root", "size", "spoke"))
+    local = sizes.join(reach, ["shot", "root"], "left").where("size = 1 OR reached = size - 1")
+    local = cut(local.select("shot", "root", "size", "spoke"))
     inside = members.drop("size").join(local.where("size > 2"), ["shot", "root"]).where("det <> anchor")
     a = inside.select("shot", "root", F.col("det").alias("u"))
     b = inside.select("shot", "root", F.col("det").alias("v"))
@@ -115,7 +120,9 @@ def diameters(rooted: DataFrame, graph: Graph, cap: int) -> DataFrame:
     return sizes.select("shot", "root", "size").join(known, ["shot", "root"], "left")
 
 
-def judge(rooted: DataFrame, rim: DataFrame, graph: Graph, level: Level, size_cap: int = 0, forced: bool = False) -> DataFrame:
+def judge(
+    rooted: DataFrame, rim: DataFrame, graph: Graph, level: Level, size_cap: int = 0, forced: bool = False
+) -> DataFrame:
     """shot, root, size, diameter, near_rim, far_rim, accepted for every component of a level.
 
     Components that fail the cheap tests (size cap, odd and too far from the
@@ -124,13 +131,13 @@ def judge(rooted: DataFrame, rim: DataFrame, graph: Graph, level: Level, size_ca
     rims = rooted.join(rim, ["shot", "det"]).groupBy("shot", "root").agg(
         F.count("*").alias("size"), F.min("rim").alias("near_rim"), F.max("rim").alias("far_rim")
     )
-    rims = cut(rims)
     if forced:
         return rims.select("shot", "root", "size", F.lit(None).cast("long").alias("diameter"), "near_rim", "far_rim", F.lit(True).alias("accepted"))
+    rims = cut(rims)
     fits = (F.col("size") % 2 == 0) | (F.col("far_rim") <= level.d)
     if size_cap:
         fits = fits & (F.col("size") <= size_cap)
-    candidates = rooted.join(rims.where(fits).select("shot", "root"), ["shot", "root"], "left_semi")
+    candidates = cut(rooted.join(rims.where(fits).select("shot", "root"), ["shot", "root"], "left_semi"))
     measured = diameters(candidates, graph, level.d).select("shot", "root", "diameter", F.lit(True).alias("fits"))
     return rims.join(measured, ["shot", "root"], "left").select(
         "shot", "root", "size", "diameter", "near_rim", "far_rim",
@@ -159,11 +166,10 @@ def cluster_levels(
     shot has used. Shots of ``shots`` without hits get one empty cluster on level 0.
     """
     rim = cut(rim_of(hits, graph))
-    spans = spans_of(graph) if levels else None
     left = rim.select("shot", "det")
     taken: DataFrame | None = None
     for number, level in enumerate(levels, start=1):
-        rooted = cut(threshold_components(left, graph, level.b, limit, spans))
+        rooted = cut(threshold_components(left, graph, level.b, limit, shortcut=True))
         top = forced_top and number == len(levels)
         cap = size_caps[number - 1] if size_caps else 0
         verdicts = judge(rooted, rim, graph, level, cap, top).where("accepted")

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from pairloom.operators.components import components, label
 from pairloom.operators.pairing import FAR, RIM, pair_up
-from pairloom.operators.pairs import SMALL_SHOT, by_size, near_pairs
+from pairloom.operators.pairs import SMALL_SHOT, by_size, listed_pairs
 from pairloom.operators.paths import Graph, balls, boundary_distances
 from pairloom.session import cut, spread
 
@@ -140,21 +140,21 @@ def pair_groups(hits: DataFrame, graph: Graph, limit: int = SMALL_SHOT, first_ho
     """Independent groups of every shot with their optimal pairing (columns of ``_RESULT``)."""
     members = cut(rim_of(hits, graph))
     small, large = by_size(members, limit)
-    out = _split_groups(small, graph, limit)
-    if not large.isEmpty():
-        out = out.unionByName(_grown_groups(cut(large), graph, first_horizon))
-    return out
+    if large is None:
+        return _split_groups(small, graph)
+    grown = _grown_groups(cut(large), graph, first_horizon)
+    return grown if small is None else _split_groups(small, graph).unionByName(grown)
 
 
-def _split_groups(members: DataFrame, graph: Graph, limit: int) -> DataFrame:
+def _split_groups(members: DataFrame, graph: Graph) -> DataFrame:
     """Groups of shots of ordinary size.
 
     Two hits farther apart than their two boundary distances together never
     gain from each other, so the components of the remaining pairs can be
-    paired up on their own; the sum is the optimum of the shot. A shot has at
-    most ``limit`` hits here, so finding its components is work for one row.
+    paired up on their own; the sum is the optimum of the shot. A shot is of
+    ordinary size here, so finding its components is work for one row.
     """
-    pairs = near_pairs(members.withColumn("rho", F.col("rim")), graph, limit, strict=True)
+    pairs = listed_pairs(members.withColumn("rho", F.col("rim")), graph, strict=True)
     whole = F.col("shot").alias("root")
     return _solve(_group_rows(members.select("*", whole), pairs.select("*", whole)), split=True)
 
@@ -173,46 +173,48 @@ def _grown_groups(members: DataFrame, graph: Graph, first_horizon: int | None) -
     longest = members.where(F.col("rim") < FAR).agg(F.max("rim")).first()[0] or 0
     state = cut(members.select("*", F.col("det").alias("root"), F.lit(0).cast("long").alias("most"), F.lit("todo").alias("state")))
     horizon: int | None = first_horizon
-    results = None
+    solved_rounds: list[DataFrame] = []
     while True:
-        todo = state.where("state = 'todo'")
-        if todo.isEmpty():
-            if horizon is None or state.where("state = 'open'").isEmpty():
-                break
-            horizon = None if horizon > longest else horizon * 4
-            state = cut(state.withColumn("state", F.when(F.col("state") == "open", "todo").otherwise(F.col("state"))))
-            continue
         reach = F.lit(_REACH_CAP) if horizon is None else F.lit(float(horizon))
-        everyone = state.withColumn("rho", F.when(F.col("state") == "todo", F.least(F.col("rim").cast("double"), reach)).otherwise(F.col("most").cast("double")))
-        links = cut(_links(everyone, graph))
+        rho = F.when(F.col("state") == "todo", F.least(F.col("rim").cast("double"), reach)).otherwise(F.col("most").cast("double"))
+        links = cut(_links(state.withColumn("rho", rho), graph))
         inner = links.where("root_u = root_v AND todo_u AND todo_v").select("shot", F.col("root_u").alias("root"), "u", "v", "d", "mask")
-        solved = cut(_solve(_group_rows(todo, inner), horizon))
+        solved = cut(_solve(_group_rows(state.where("state = 'todo'"), inner), horizon))
+        solved_rounds.append(solved.withColumn("turn", F.lit(len(solved_rounds))))
         grown = solved.select("shot", "status", F.explode(F.arrays_zip("dets", "most")).alias("x")).select(
             "shot", F.col("x.dets").alias("det"), F.col("x.most").alias("new_most"), "status"
         )
-        state = state.join(grown, ["shot", "det"], "left").select(
-            "shot", "det", "rim", "rim_mask", "root",
-            F.coalesce("new_most", "most").alias("most"),
-            F.when(F.col("status") == OPEN, "open").when(F.col("status").isNotNull(), "done").otherwise(F.col("state")).alias("state"),
+        state = cut(
+            state.join(grown, ["shot", "det"], "left").select(
+                "shot", "det", "rim", "rim_mask", "root",
+                F.coalesce("new_most", "most").alias("most"),
+                F.when(F.col("status") == OPEN, "open").when(F.col("status").isNotNull(), "done").otherwise(F.col("state")).alias("state"),
+            )
         )
-        state = cut(state)
         cover_u = state.select("shot", F.col("det").alias("u"), F.col("most").alias("most_u"))
         cover_v = state.select("shot", F.col("det").alias("v"), F.col("most").alias("most_v"))
-        clash = (
-            links.where("root_u <> root_v").join(cover_u, ["shot", "u"]).join(cover_v, ["shot", "v"]).where("most_u + most_v > d")
-        )
-        merges = components(clash.select("shot", F.col("root_u").alias("a"), F.col("root_v").alias("b")), ["shot"])
-        merges = merges.select("shot", F.col("node").alias("root"), F.col("root").alias("new_root"))
-        results = solved if results is None else results.unionByName(solved)
-        # A merged group replaces the results of its parts.
-        results = cut(results.join(merges.select("shot", "root"), ["shot", "root"], "left_anti").where(F.col("status") != OPEN).select(*_NAMES))
-        state = cut(
-            state.join(merges, ["shot", "root"], "left").select(
-                "shot", "det", "rim", "rim_mask", F.coalesce("new_root", "root").alias("root"), "most",
-                F.when(F.col("new_root").isNotNull(), "todo").otherwise(F.col("state")).alias("state"),
+        clash = links.where("root_u <> root_v").join(cover_u, ["shot", "u"]).join(cover_v, ["shot", "v"]).where("most_u + most_v > d")
+        clash = cut(clash.select("shot", F.col("root_u").alias("a"), F.col("root_v").alias("b")).distinct())
+        if not clash.isEmpty():
+            merges = components(clash, ["shot"]).select("shot", F.col("node").alias("root"), F.col("root").alias("new_root"))
+            state = cut(
+                state.join(merges, ["shot", "root"], "left").select(
+                    "shot", "det", "rim", "rim_mask", F.coalesce("new_root", "root").alias("root"), "most",
+                    F.when(F.col("new_root").isNotNull(), "todo").otherwise(F.col("state")).alias("state"),
+                )
             )
-        )
-    return results
+            continue
+        if horizon is None or state.where("state = 'open'").isEmpty():
+            break
+        horizon = None if horizon > longest else horizon * 4
+        state = cut(state.withColumn("state", F.when(F.col("state") == "open", "todo").otherwise(F.col("state"))))
+    # The latest run of every group that still exists; groups that merged are gone.
+    runs = solved_rounds[0]
+    for later in solved_rounds[1:]:
+        runs = runs.unionByName(later)
+    final = state.groupBy("shot", "root").agg(F.count("*").alias("members"))
+    latest = runs.groupBy("shot", "root").agg(F.max("turn").alias("turn")).join(final, ["shot", "root"], "left_semi")
+    return runs.join(latest, ["shot", "root", "turn"], "left_semi").select(*_NAMES)
 
 
 def _links(everyone: DataFrame, graph: Graph) -> DataFrame:

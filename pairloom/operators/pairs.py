@@ -11,9 +11,14 @@ SMALL_SHOT = 64
 _CAP = int(FAR) // 2
 
 
-def by_size(hits: DataFrame, limit: int = SMALL_SHOT) -> tuple[DataFrame, DataFrame]:
-    """Hits of shots with at most ``limit`` hits, and hits of the larger shots."""
+def by_size(hits: DataFrame, limit: int = SMALL_SHOT) -> tuple[DataFrame | None, DataFrame | None]:
+    """Hits of shots with at most ``limit`` hits, and hits of the larger shots; None where there are none."""
     sizes = hits.groupBy("shot").agg(F.count("*").alias("n_hits"))
+    least, most = sizes.agg(F.min("n_hits"), F.max("n_hits")).first()
+    if most is None or most <= limit:
+        return hits, None
+    if least > limit:
+        return None, hits
     sized = hits.join(sizes, "shot")
     return sized.where(F.col("n_hits") <= limit).drop("n_hits"), sized.where(F.col("n_hits") > limit).drop("n_hits")
 
@@ -28,7 +33,10 @@ def near_pairs(hits: DataFrame, graph: Graph, limit: int = SMALL_SHOT, strict: b
     all tasks and a hit's partners are limited by the size of its ball.
     """
     small, large = by_size(hits.select("shot", "det", "rho"), limit)
-    return _listed_pairs(small, graph, strict).unionByName(_found_pairs(large, graph, strict))
+    if large is None:
+        return listed_pairs(small, graph, strict)
+    found = _found_pairs(large, graph, strict)
+    return found if small is None else listed_pairs(small, graph, strict).unionByName(found)
 
 
 def _slack(reach, strict: bool):
@@ -37,7 +45,8 @@ def _slack(reach, strict: bool):
     return (F.ceil(capped) - 1 if strict else F.floor(capped)).cast("long")
 
 
-def _listed_pairs(hits: DataFrame, graph: Graph, strict: bool) -> DataFrame:
+def listed_pairs(hits: DataFrame, graph: Graph, strict: bool = False) -> DataFrame:
+    """:func:`near_pairs` for shots that are all of ordinary size."""
     a = hits.select("shot", F.col("det").alias("u"), F.col("rho").alias("ru"))
     b = hits.select("shot", F.col("det").alias("v"), F.col("rho").alias("rv"))
     listed = a.join(b, "shot").where("u < v").select("shot", "u", "v", _slack(F.col("ru") + F.col("rv"), strict).alias("cap"))

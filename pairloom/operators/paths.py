@@ -8,7 +8,7 @@ grow by joins, one hop per round. Both ways give the same rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -50,6 +50,7 @@ class Graph:
         self.spark = dedges.sparkSession
         ship(self.spark)
         self.flat = None
+        self._tables: dict[str, DataFrame] = {}
         # Bounded read: one row more than the limit decides which way is used.
         rows = self.edges.limit(broadcast_edges + 1).toArrow() if broadcast_edges > 0 else None
         if rows is not None and rows.num_rows <= broadcast_edges:
@@ -57,6 +58,12 @@ class Graph:
         else:
             self.edges = cut(self.edges)
 
+    def once(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """A table that belongs to the graph, written on first use and read afterwards."""
+        if name not in self._tables:
+            self._tables[name] = cut(build())
+        return self._tables[name]
+
     def arcs(self) -> DataFrame:
         """Interior edges in both directions: u, v, w, obs_mask."""
         inner = self.edges.where("v IS NOT NULL")
@@ -333,6 +340,10 @@ def paths_by_join(graph: Graph, pairs: DataFrame) -> DataFrame:
 
 def boundary_distances(graph: Graph) -> DataFrame:
     """Nearest boundary edge of every node: node, d, mask and the node the path leaves by (NULL: none)."""
+    return graph.once("boundary", lambda: _boundary(graph))
+
+
+def _boundary(graph: Graph) -> DataFrame:
     if graph.flat is None:
         return _boundary_by_join(graph)
     shared = graph.flat
