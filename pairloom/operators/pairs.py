@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from pairloom.operators.landmarks import landmarks
 from pairloom.operators.paths import FAR, Graph, balls, pair_distances
 
 # A shot up to this size lists its own pairs: at most this many rows per hit.
@@ -27,7 +28,8 @@ def near_pairs(hits: DataFrame, graph: Graph, limit: int = SMALL_SHOT, strict: b
     """shot, u, v, d, mask with u < v and d <= rho_u + rho_v (``strict``: <).
 
     ``hits``: shot, det, rho. Shots up to ``limit`` hits pair up by an equi-join
-    on the shot, which gives each hit fewer than ``limit`` partners. In larger
+    on the shot, which gives each hit fewer than ``limit`` partners, and only
+    pairs that two landmarks of the graph do not rule out are measured. In larger
     shots every hit looks around itself in the graph instead and meets the hits
     it finds by an equi-join on (shot, node), so one enormous shot spreads over
     all tasks and a hit's partners are limited by the size of its ball.
@@ -47,9 +49,15 @@ def _slack(reach, strict: bool):
 
 def listed_pairs(hits: DataFrame, graph: Graph, strict: bool = False) -> DataFrame:
     """:func:`near_pairs` for shots that are all of ordinary size."""
-    a = hits.select("shot", F.col("det").alias("u"), F.col("rho").alias("ru"))
-    b = hits.select("shot", F.col("det").alias("v"), F.col("rho").alias("rv"))
-    listed = a.join(b, "shot").where("u < v").select("shot", "u", "v", _slack(F.col("ru") + F.col("rv"), strict).alias("cap"))
+    marks = landmarks(graph).withColumnRenamed("id", "det")
+    placed = hits.join(marks, "det").select("shot", "det", "rho", F.struct("comp", "d1", "d2").alias("at"))
+    a = placed.select("shot", F.col("det").alias("u"), F.col("rho").alias("ru"), F.col("at").alias("a"))
+    b = placed.select("shot", F.col("det").alias("v"), F.col("rho").alias("rv"), F.col("at").alias("b"))
+    listed = a.join(b, "shot").where("u < v AND a.comp = b.comp").select(
+        "shot", "u", "v", _slack(F.col("ru") + F.col("rv"), strict).alias("cap"),
+        F.greatest(F.abs(F.col("a.d1") - F.col("b.d1")), F.abs(F.col("a.d2") - F.col("b.d2"))).alias("at_least"),
+    )
+    listed = listed.where("at_least <= cap").select("shot", "u", "v", "cap")
     known = pair_distances(graph, listed.select("u", "v", "cap"))
     return listed.join(known, ["u", "v"]).where("d <= cap").select("shot", "u", "v", "d", "mask")
 
