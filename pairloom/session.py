@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +23,6 @@ def build_session(master: str = "local[8]", partitions: int = 8, **conf: str) ->
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
-        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
@@ -40,19 +40,32 @@ def shared_folder(spark: SparkSession) -> str:
     if not configured:
         configured = tempfile.mkdtemp(prefix="pairloom-")
         spark.conf.set(CHECKPOINT_CONF, configured)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(configured)
     return configured
 
 
+def _run_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/pairloom-{spark.sparkContext.applicationId}"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared folder and go on from the written copy.
+    """Write ``df`` once to the shared folder and go on from the written table.
 
     Loops use it each round so that the plan does not grow, and so that a lost
-    executor costs one re-read instead of a replay of all rounds.
+    executor costs one re-read instead of a replay of all rounds. A table also
+    has a known size, so joins with what is left of it can be planned well, and
+    unlike a checkpointed plan it does not carry the inferred constraints of all
+    earlier rounds into the next one.
     """
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{_run_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_tables(spark: SparkSession) -> None:
+    """Delete the tables of this application once its results are no longer read."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_run_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
