@@ -35,9 +35,11 @@ def merge_parallel(edges: DataFrame, strategy: str = "independent") -> DataFrame
     groups = canonical(edges).groupBy("u", "v")
     whole = F.struct("w", "p", "obs")
     if strategy == "independent":
+        # A lone edge keeps its exact numbers: whole weights must stay whole.
+        lone = F.count("*") == 1
         return groups.agg(
-            merge_log_odds_of_all(F.col("w")).alias("w"),
-            xor_probability_of_all(F.col("p")).alias("p"),
+            F.when(lone, F.min("w")).otherwise(merge_log_odds_of_all(F.col("w"))).alias("w"),
+            F.when(lone, F.min("p")).otherwise(xor_probability_of_all(F.col("p"))).alias("p"),
             F.min_by("obs", "ord").alias("obs"),
             F.count("*").alias("parallel"),
         )
