@@ -110,7 +110,7 @@ def test_hits_are_checked(spark):
     with pytest.raises(Exception, match="outside the graph"):
         decoder.decode(shots, spark.createDataFrame([(0, 55)], HITS)).collect()
     with pytest.raises(ValueError):
-        Options(mode="lockstep")
+        Options(mode="other")
 
 
 def test_negative_weights_match_enumeration(spark):
