@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pairloom.llm import url_filter, warc
+from pairloom.llm import huffman, packing, url_filter, warc
 from pairloom.llm.common import read
 from pairloom.llm.sql import SQL
 
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+
 RULES = [
     ("org", "/", "allow"),
     ("example.org", "/es/", "block"),
@@ -29,8 +32,18 @@ def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op4_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack_documents(read(spark, folder, "documents"), VOCABULARY)
+
+
+def op8_token_output(spark: SparkSession, folder: str) -> DataFrame:
+    return huffman.token_round_trip(read(spark, folder, "documents"), VOCABULARY)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filter": op2_url_filter,
+    "op4_best_fit_packing": op4_best_fit_packing,
+    "op8_token_output": op8_token_output,
     "op9_warc": op9_warc,
 }
 
