@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pairloom.llm import huffman, packing, url_filter, warc
+from pairloom.llm import decontaminate, huffman, packing, quality_rules, site_quality, url_filter, warc
 from pairloom.llm.common import read
 from pairloom.llm.sql import SQL
 
@@ -36,15 +36,33 @@ def op4_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(read(spark, folder, "documents"), VOCABULARY)
 
 
+def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    rows = quality_rules.judge_quality(read(spark, folder, "documents"))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
+
+
+def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate.find_matches(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+    sha = F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256")
+    return decontaminate.judge(found).select(F.col("row.doc_id").alias("doc_id"), "n_words", "n_hit", "n_items", sha, "contaminated")
+
+
 def op8_token_output(spark: SparkSession, folder: str) -> DataFrame:
     return huffman.token_round_trip(read(spark, folder, "documents"), VOCABULARY)
 
 
+def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    return site_quality.classify(read(spark, folder, "documents"), read(spark, folder, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filter": op2_url_filter,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_quality_rules": op5_quality_rules,
+    "op6_decontamination": op6_decontamination,
     "op8_token_output": op8_token_output,
     "op9_warc": op9_warc,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 
 __all__ = ["QUERIES", "SQL"]

@@ -34,3 +34,25 @@ SELECT page_id, strlen(body)::BIGINT AS payload_bytes, {_BASE32} AS payload_dige
        CASE WHEN page_id <> first THEN first END AS refers_to
 FROM f
 """
+
+_WORDS = """
+doc_words AS (SELECT doc_id, string_split_regex(trim(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', ' ', 'g')), ' ') AS w FROM documents),
+d AS (SELECT doc_id, list_filter(w, lambda x: x <> '') AS w FROM doc_words),
+item_words AS (SELECT item_id, string_split_regex(trim(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', ' ', 'g')), ' ') AS w FROM benchmark),
+b AS (SELECT item_id, list_filter(w, lambda x: x <> '') AS w FROM item_words)
+"""
+
+SQL["op6_decontamination"] = f"""
+WITH {_WORDS},
+win AS (SELECT DISTINCT item_id, least(len(w), 13) AS size, array_to_string(w[i:i + 12], ' ') AS words
+        FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT size FROM win),
+spots AS (SELECT doc_id, i, size, array_to_string(w[i:i + size - 1], ' ') AS words
+       FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d), sizes WHERE i + size - 1 <= len(w)),
+hit AS (SELECT doc_id, item_id, i, size FROM spots JOIN win USING (size, words)),
+words_hit AS (SELECT doc_id, count(DISTINCT p)::BIGINT AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(i, i + size)) AS p FROM hit) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*)::BIGINT AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM hit) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN words_hit USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
