@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pairloom.llm import decontaminate, huffman, packing, quality_rules, site_quality, url_filter, warc
+from pairloom.llm import decontaminate, huffman, near_dup, packing, pii, quality_rules, repeats, site_quality, url_filter, warc
 from pairloom.llm.common import read
 from pairloom.llm.sql import SQL
 
@@ -22,6 +22,13 @@ RULES = [
 ]
 
 
+def op1_pii(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.find_spans(read(spark, folder, "documents"))
+    base = F.filter("spans", lambda s: s.base)
+    counts = [F.size(F.filter(base, lambda s, k=k: s.kind == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select(F.col("row.doc_id").alias("doc_id"), *counts, F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+
+
 def op2_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
     return url_filter.judge_urls(read(spark, folder, "pages"), rules)
@@ -32,6 +39,10 @@ def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_repeated_strings(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.remove_repeats(read(spark, folder, "documents")).drop("kept")
+
+
 def op4_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(read(spark, folder, "documents"), VOCABULARY)
 
@@ -47,6 +58,12 @@ def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.judge(found).select(F.col("row.doc_id").alias("doc_id"), "n_words", "n_hit", "n_items", sha, "contaminated")
 
 
+def op7_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    rows = near_dup.components(read(spark, folder, "documents"), k=2)
+    kept = F.col("doc").eqNullSafe(F.col("component")).alias("kept")
+    return rows.select(F.col("doc").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), kept)
+
+
 def op8_token_output(spark: SparkSession, folder: str) -> DataFrame:
     return huffman.token_round_trip(read(spark, folder, "documents"), VOCABULARY)
 
@@ -56,10 +73,13 @@ def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
     "op2_url_filter": op2_url_filter,
+    "op3_repeated_strings": op3_repeated_strings,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_quality_rules": op5_quality_rules,
     "op6_decontamination": op6_decontamination,
+    "op7_minhash": op7_minhash,
     "op8_token_output": op8_token_output,
     "op9_warc": op9_warc,
     "op10_quality_classifier": op10_quality_classifier,

@@ -56,3 +56,24 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN words_hit USING (doc_id) LEFT JOIN items USING (doc_id)
 """
+
+SQL["op7_minhash"] = r"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(w) = 1 THEN w[1] ELSE w[i] || ' ' || w[i + 1] END AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 1) + 1)) AS i FROM split WHERE len(w) > 0)
+), coded AS (SELECT doc_id, dense_rank() OVER (ORDER BY s) AS s FROM shingles
+), sizes AS (SELECT doc_id, count(*) AS n FROM coded GROUP BY doc_id
+), shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM coded a JOIN coded b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM shared JOIN sizes x ON a = x.doc_id JOIN sizes y ON b = y.doc_id WHERE 100 * common >= 80 * (x.n + y.n - common)
+), ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach(a, b) AS (
+  SELECT a, b FROM ways UNION SELECT r.a, w.b FROM reach r JOIN ways w ON r.b = w.a
+), least AS (SELECT a AS doc_id, min(b) AS low FROM reach GROUP BY a)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(doc_id, coalesce(low, doc_id)) AS component_id,
+       doc_id = least(doc_id, coalesce(low, doc_id)) AS kept
+FROM split LEFT JOIN sizes USING (doc_id) LEFT JOIN least USING (doc_id)
+"""
