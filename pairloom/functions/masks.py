@@ -34,11 +34,6 @@ def bits_from_mask(mask: Column, size: int) -> Column:
     )
 
 
-def xor_bits(a: Column, b: Column) -> Column:
-    """Element-wise exclusive or of two 0/1 arrays."""
-    return F.zip_with(a, b, lambda x, y: x.bitwiseXOR(y))
-
-
 def mask_text(mask: Column) -> Column:
     """Numbers of the set bits joined with ``;``."""
     numbers = F.filter(

@@ -58,21 +58,9 @@ def render_case_name(template: Column, distance: Column, rounds: Column, seed: C
 
 def state_name(state: Column) -> Column:
     """Text of an execution state code."""
-    # The states a cluster of a hierarchical run goes through.
-    names = ["waiting", "running", "stopped", "finished", "superseded"]
-    expr = F.lit("unknown")
+    # Names of the execution states by code.
+    names = ["RUNNING", "QUIESCENT_STOPPED", "DRAINED_WITH_LIVE_ALT_TREE", "IMPORTED_INTO_PARENT"]
+    expr = F.lit("UNKNOWN")
     for code, name in enumerate(names):
         expr = F.when(state == code, name).otherwise(expr)
     return expr
-
-
-def distance_list(spec: str, default_start: int = 5) -> range | list[int]:
-    """``a,b,c`` | ``start:stop[:step]`` | ``stop`` (from ``default_start`` by 2)."""
-    if "," in spec:
-        return [int(part) for part in spec.split(",")]
-    bounds = [int(part) for part in spec.split(":")]
-    if len(bounds) == 1:
-        return [bounds[0]] if bounds[0] <= default_start else range(default_start, bounds[0] + 1, 2)
-    if len(bounds) > 3 or (len(bounds) == 3 and bounds[2] <= 0):
-        raise ValueError(f"unsupported distance specification: {spec}")
-    return range(bounds[0], bounds[1] + 1, bounds[2] if len(bounds) == 3 else 2)

@@ -16,11 +16,6 @@ def buffer_for(d: Column, phi: float) -> Column:
     return F.greatest(F.ceil(1 + 2 * (d + 1) / F.lit(float(phi))), F.lit(2)).cast("long")
 
 
-def diameter_for(b: Column, phi: float) -> Column:
-    """Largest diameter that buffer ``b`` certifies."""
-    return F.greatest(F.floor(F.lit(float(phi)) * (b - 1) / 2 - 1 + 1e-12), F.lit(0)).cast("long")
-
-
 def diameter_candidates(pairs: DataFrame, rim: DataFrame, fixed: int, ratio: float = 3.0, limit: int = 0) -> DataFrame:
     """shot, d: the fixed diameter and the shot's pair and boundary distances up to ``ratio`` times it."""
     seen = pairs.select("shot", "d").unionByName(rim.select("shot", F.col("rim").alias("d")))
@@ -72,9 +67,3 @@ def choose(scored: DataFrame) -> DataFrame:
     """The trial with most clusters, then most hits taken, fewest left, smallest d, smallest b."""
     order = [F.col("clusters"), F.col("active"), -F.col("residual"), -F.col("d"), -F.col("b")]
     return best_trial(scored, ["shot"], order).select("shot", "d", "b", "clusters", "active", "residual")
-
-
-def choose_by_cost(scored: DataFrame, cost: str) -> DataFrame:
-    """The trial with the smallest ``cost``, then most hits taken, smallest d, smallest b."""
-    order = [-F.col(cost), F.col("active"), -F.col("d"), -F.col("b")]
-    return best_trial(scored, ["shot"], order)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -32,12 +33,16 @@ def build_session(master: str = "local[8]", partitions: int = 8, **conf: str) ->
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach: ``spark.checkpoint.dir`` when the
-    cluster names one, a local folder only where nothing is set."""
-    configured = spark.conf.get(CHECKPOINT_CONF, None)
-    if not configured:
-        configured = spark.sparkContext.getConf().get(CHECKPOINT_CONF, None)
+    """The folder every executor can reach: ``spark.checkpoint.dir``, or the folder
+    given to ``setCheckpointDir``. Where neither is set, a temporary folder serves a
+    session whose only executor is the driver; any other session is refused, since
+    its executors would each write to a disk of their own."""
+    context = spark.sparkContext
+    configured = spark.conf.get(CHECKPOINT_CONF, None) or context.getConf().get(CHECKPOINT_CONF, None)
+    configured = configured or context.getCheckpointDir()
     if not configured:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise RuntimeError(f"{CHECKPOINT_CONF} must name a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="pairloom-")
         spark.conf.set(CHECKPOINT_CONF, configured)
     return configured
@@ -62,12 +67,6 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_tables(spark: SparkSession) -> None:
-    """Delete the tables of this application once its results are no longer read."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_run_folder(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Hash-partition rows that feed a CPU-heavy step.
 
