@@ -150,7 +150,7 @@ SQL["negative_toggles"] = with_(NODES, STEPS, NOISY, _SIGNED) + (
     "SELECT id FROM (SELECT u AS id FROM signed WHERE neg UNION ALL SELECT v FROM signed WHERE neg AND v IS NOT NULL) GROUP BY id HAVING count(*) % 2 = 1"
 )
 SQL["negative_observables"] = with_(NODES, STEPS, NOISY, _SIGNED) + (
-    "SELECT obs::BIGINT AS obs FROM signed WHERE neg AND obs >= 0 GROUP BY obs HAVING count(*) % 2 = 1"
+    "SELECT (u % 5000)::BIGINT AS obs FROM signed WHERE neg GROUP BY 1 HAVING count(*) % 2 = 1"
 )
 _PIECES = (
     "raw AS (SELECT l_orderkey AS error, l_suppkey AS u, l_suppkey + 1 + l_partkey % 5 AS v, l_linenumber = 1 AS flag, "
@@ -159,6 +159,10 @@ _PIECES = (
     "pieces AS (SELECT error, row_number() OVER (PARTITION BY error ORDER BY body) - 1 AS piece, u, v, p, flag FROM raw WHERE p > 0)"
 )
 SQL["model_pieces"] = with_(_PIECES) + "SELECT error, piece::BIGINT AS piece, u, v, round(p, 9) AS p, CASE WHEN flag THEN '0' ELSE '' END AS obs FROM pieces"
+SQL["model_graph"] = with_(_PIECES) + (
+    ", g AS (SELECT u, v, product(1 - 2 * p) AS t, arg_min(flag, (error, piece)) AS flag, count(*) AS parallel FROM pieces GROUP BY 1, 2) "
+    "SELECT u, v, round(ln((1 + t) / (1 - t)), 9) AS w, round((1 - t) / 2, 9) AS p, CASE WHEN flag THEN '0' ELSE '' END AS obs, parallel FROM g"
+)
 SQL["model_edges"] = with_(NODES, STEPS, NOISY) + "SELECT u, v, round(p, 9) AS p, CASE WHEN obs = 0 THEN '0' ELSE '' END AS obs FROM noisy"
 _JOINT = (
     _PIECES + ", tied AS (SELECT a.u, a.v, b.u AS other_u, b.v AS other_v, a.p FROM pieces a JOIN pieces b ON a.error = b.error AND a.piece <> b.piece "
@@ -166,8 +170,8 @@ _JOINT = (
 )
 SQL["joint_probability"] = with_(_JOINT) + "SELECT u, v, other_u, other_v, round(joint, 9) AS joint FROM joint"
 SQL["implied_weight"] = with_(_JOINT) + (
-    ", share AS (SELECT a.u, a.v, a.other_u, a.other_v, least(0.5, a.joint / o.joint) AS q FROM joint a JOIN joint o ON o.u = a.u AND o.v = a.v AND o.other_u = a.u AND o.other_v = a.v "
-    "WHERE NOT (a.u = a.other_u AND a.v = a.other_v) AND o.joint <> 0) SELECT u, v, other_u, other_v, round(ln((1 - q) / q), 9) AS w FROM share"
+    ", known AS (SELECT *, max(joint) FILTER (WHERE u = other_u AND v = other_v) OVER (PARTITION BY u, v) AS own FROM joint), "
+    "share AS (SELECT u, v, other_u, other_v, least(0.5, joint / own) AS q FROM known WHERE NOT (u = other_u AND v = other_v) AND own <> 0) SELECT u, v, other_u, other_v, round(ln((1 - q) / q), 9) AS w FROM share"
 )
 
 # Scalars -------------------------------------------------------------------
@@ -204,17 +208,18 @@ SQL["number_functions"] = (
     "least(q::HUGEINT * 100000000000000000 + 2000000000000000000, 2305843009213693951)::BIGINT AS total, least(q::HUGEINT * 100000000000000000, 2305843009213693951)::BIGINT AS product, "
     "CASE n WHEN 1 THEN q ELSE 0 END::BIGINT AS element, CASE WHEN n > 4 THEN 0 ELSE n END::DOUBLE AS number, "
     "CASE WHEN n <= 4 THEN n ELSE q END::DOUBLE AS first, "
-    "CASE n WHEN 1 THEN 'waiting' WHEN 2 THEN 'running' WHEN 3 THEN 'stopped' WHEN 4 THEN 'finished' WHEN 5 THEN 'superseded' ELSE 'unknown' END AS state FROM y"
+    "CASE n WHEN 1 THEN 'RUNNING' WHEN 2 THEN 'QUIESCENT_STOPPED' WHEN 3 THEN 'DRAINED_WITH_LIVE_ALT_TREE' WHEN 4 THEN 'IMPORTED_INTO_PARENT' ELSE 'UNKNOWN' END AS state FROM y"
 )
 
 # Hits, pairs, paths --------------------------------------------------------
 
 SQL["shot_hits_normalized"] = with_(HITS) + "SELECT shot, det FROM hits WHERE det % 50 <> 7"
-SQL["shot_slice"] = with_(HITS) + "SELECT shot, det FROM hits WHERE shot >= 100 AND shot < 600"
+SQL["shot_slice"] = with_(HITS) + "SELECT shot, det FROM hits WHERE shot IN (SELECT DISTINCT shot FROM hits WHERE shot >= 100 ORDER BY shot LIMIT 500)"
 SQL["pair_candidates"] = with_(HITS, PLACED, PAIRS) + "SELECT shot, u, v, d, d // 2 AS time FROM pairs WHERE d <= 40"
 SQL["pair_dist_bounded"] = with_(NODES) + (
     "SELECT a.id AS u, b.id AS v, 2 * (abs(a.r - b.r) + abs(a.c - b.c)) AS d FROM nodes a JOIN nodes b ON b.id BETWEEN a.id AND a.id + 328 WHERE 2 * (abs(a.r - b.r) + abs(a.c - b.c)) <= 16"
 )
+SQL["distance_unit"] = with_(HITS, PLACED, PAIRS) + "SELECT ceil(avg(d))::BIGINT AS unit FROM pairs WHERE d <= 16"
 SQL["boundary_dist"] = with_(NODES) + "SELECT id AS node, 2 * (least(c, 39 - c) + 1) AS d, CASE WHEN c < 20 THEN 1 ELSE 0 END::BIGINT AS mask FROM nodes"
 SQL["graph_components"] = with_(NODES, STEPS) + (
     ", kept AS (SELECT u, v FROM steps WHERE su > 25 AND sv > 25), both_ways AS (SELECT u, v FROM kept UNION ALL SELECT v, u FROM kept), "
@@ -278,13 +283,19 @@ SQL["cluster_members_text"] = with_(*_MEMBERS) + (
     "SELECT shot, level::BIGINT AS level, root, count(*) AS active_detectors, string_agg(det::VARCHAR, ';' ORDER BY det) AS members FROM members GROUP BY 1, 2, 3"
 )
 SQL["cluster_members_exploded"] = with_(*_MEMBERS) + "SELECT shot, level::BIGINT AS level, root, det AS active_detector FROM members"
-_REGIONS = (
-    *_MEMBERS, NODES,
-    "offsets AS (SELECT dr, dc, 2 * (abs(dr) + abs(dc)) AS d FROM range(-5, 6) a(dr), range(-5, 6) b(dc)), "
-    "regions AS (SELECT DISTINCT m.shot, m.level, m.root, n.id AS node FROM members m JOIN offsets o ON o.d <= m.level * 2 + 2 JOIN nodes n ON n.r = m.det // 40 + o.dr AND n.c = m.det % 40 + o.dc)",
-)
+
+
+def _regions(step: int) -> tuple[str, ...]:
+    return (
+        *_MEMBERS, NODES,
+        f"offsets AS (SELECT dr, dc, 2 * (abs(dr) + abs(dc)) AS d FROM range({-2 * step}, {2 * step + 1}) a(dr), range({-2 * step}, {2 * step + 1}) b(dc)), "
+        f"regions AS (SELECT DISTINCT m.shot, m.level, m.root, n.id AS node FROM members m JOIN offsets o ON o.d <= (m.level + 1) * {step} JOIN nodes n ON n.r = m.det // 40 + o.dr AND n.c = m.det % 40 + o.dc)",
+    )
+
+
+_REGIONS = _regions(2)
 SQL["influence_vertices"] = with_(*_REGIONS) + "SELECT shot, level::BIGINT AS level, root, count(*) AS n, sum(node)::BIGINT AS node_sum FROM regions GROUP BY 1, 2, 3"
-SQL["cluster_parent"] = with_(*_REGIONS) + (
+SQL["cluster_parent"] = with_(*_regions(6)) + (
     "SELECT DISTINCT a.shot, a.level::BIGINT AS level, a.root, b.level::BIGINT AS parent_level, b.root AS parent_root FROM regions a JOIN regions b ON a.shot = b.shot AND a.node = b.node AND b.level > a.level "
     "QUALIFY row_number() OVER (PARTITION BY a.shot, a.level, a.root ORDER BY b.level, b.root) = 1"
 )
@@ -461,7 +472,7 @@ SQL["adaptive_level1"] = with_(HITS, PLACED, PAIRS, *_TRIALS) + (
     "FROM (SELECT * FROM try3_t UNION ALL SELECT * FROM try5_t UNION ALL SELECT * FROM try7_t) GROUP BY 1, 2, 3) "
     "SELECT shot, d, b, clusters, active, residual FROM scored QUALIFY row_number() OVER (PARTITION BY shot ORDER BY clusters DESC, active DESC, residual, d, b) = 1"
 )
-SQL["observables_from_paths"] = with_(HITS) + "SELECT count(DISTINCT shot) AS shots, 0::BIGINT AS mistakes FROM hits"
+SQL["observables_from_paths"] = with_(HITS) + "SELECT DISTINCT shot, true AS agree FROM hits"
 
 # ``with_`` ends in a blank; statements that continue the CTE list start with a comma.
 SQL = {key: sql.replace(" , ", ", ") for key, sql in SQL.items()}

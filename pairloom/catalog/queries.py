@@ -135,7 +135,9 @@ def negative_toggles(spark, folder):
 
 @query
 def negative_observables(spark, folder):
-    return edges.toggled_observables(lattice.signed_edges(spark, folder)).select(F.col("obs").cast("long").alias("obs"))
+    """Every edge flips an observable numbered by its first node."""
+    signed = lattice.signed_edges(spark, folder).withColumn("obs", F.array((F.col("u") % 5000).cast("int")))
+    return edges.toggled_observables(signed).select(F.col("obs").cast("long").alias("obs"))
 
 
 def _split_errors(spark: SparkSession, folder: str) -> DataFrame:
@@ -166,6 +168,13 @@ def model_edges(spark, folder):
     return errormodel.pieces(lines).select("u", "v", r9("p"), F.array_join(F.col("obs").cast("array<string>"), ";").alias("obs"))
 
 
+@query
+def model_graph(spark, folder):
+    merged, _ = errormodel.graph_edges(_split_errors(spark, folder), correlated=True)
+    obs = F.array_join(F.col("obs").cast("array<string>"), ";").alias("obs")
+    return merged.select("u", "v", r9("w"), r9("p"), obs, "parallel")
+
+
 def _joint(spark: SparkSession, folder: str) -> DataFrame:
     return edges.joint_probabilities(errormodel.pieces(_split_errors(spark, folder), correlated=True))
 
@@ -290,6 +299,15 @@ def pair_dist_bounded(spark, folder):
     return reach.where("src <= node").select(F.col("src").alias("u"), F.col("node").alias("v"), "d")
 
 
+@query
+def distance_unit(spark, folder):
+    """Pairs of near hits, and every hit with the boundary."""
+    graph = unit_graph(spark, folder)
+    hits = cut(lattice.hits(spark, folder))
+    rim = matching.rim_of(hits, graph).select(F.lit(None).cast("long").alias("v"), F.col("rim").alias("d"))
+    return stats.distance_unit(pairs_within(hits, graph, CHAIN).select("v", "d").unionByName(rim))
+
+
 @query
 def boundary_dist(spark, folder):
     return paths.boundary_distances(unit_graph(spark, folder)).select("node", "d", "mask")
@@ -436,9 +454,9 @@ def cluster_members_exploded(spark, folder):
     return sinks.assignment_rows(_members(spark, folder)[1]).select("shot", F.col("level").cast("long").alias("level"), "root", "active_detector")
 
 
-def _regions(spark: SparkSession, folder: str) -> tuple[Graph, DataFrame, DataFrame]:
+def _regions(spark: SparkSession, folder: str, step: int = 2) -> tuple[Graph, DataFrame, DataFrame]:
     graph, members = _members(spark, folder)
-    members = members.withColumn("bound", F.col("level") * 2 + 2)
+    members = members.withColumn("bound", (F.col("level") + 1) * step)
     return graph, members, cut(hierarchy.influence(members, graph, ["shot", "level", "root"], "bound"))
 
 
@@ -450,7 +468,7 @@ def influence_vertices(spark, folder):
 
 @query
 def cluster_parent(spark, folder):
-    found = hierarchy.parents(_regions(spark, folder)[2])
+    found = hierarchy.parents(_regions(spark, folder, 6)[2])  # wide enough to reach over the level-1 buffer
     return found.select("shot", F.col("level").cast("long").alias("level"), "root", F.col("parent_level").cast("long").alias("parent_level"), "parent_root")
 
 
@@ -807,13 +825,13 @@ def adaptive_level1(spark, folder):
 
 @query
 def observables_from_paths(spark, folder):
-    """Flags along the matched paths against the masks carried through the search; they must agree."""
+    """Per shot, whether the flags along the matched paths give the mask carried through the search."""
     graph, groups = _groups(spark, folder)
     groups = cut(groups)
     flags = correlated.observables_on_paths(matching.matches(groups), graph, lattice.edges(spark, folder).select("u", "v", "obs"))
-    walked = flags.groupBy("shot").agg(F.bit_xor(F.shiftleft(F.lit(1).cast("long"), 0)).alias("walked"))
+    walked = flags.groupBy("shot").agg(F.bit_xor(F.expr("shiftleft(1L, obs)")).alias("walked"))
     carried = matching.per_shot(groups).select("shot", "obs_mask").join(walked, "shot", "left")
-    return carried.agg(F.count("*").alias("shots"), F.count_if(F.col("obs_mask") != F.coalesce("walked", F.lit(0))).alias("mistakes"))
+    return carried.select("shot", (F.col("obs_mask") == F.coalesce("walked", F.lit(0))).alias("agree"))
 
 
 @query

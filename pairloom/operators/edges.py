@@ -6,7 +6,7 @@ Discrete edges: u, v, w LONG (absolute, even), sign, obs_mask.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pairloom.functions.masks import mask_from_indices
 from pairloom.functions.weights import log_odds, merge_log_odds_of_all, xor_probability_of_all
@@ -201,13 +201,9 @@ def joint_probabilities(pieces: DataFrame) -> DataFrame:
 def implied_weights(joint: DataFrame) -> DataFrame:
     """u, v, other_u, other_v, w: weight of the other edge once (u, v) is known to have fired."""
     same = F.col("u").eqNullSafe(F.col("other_u")) & F.col("v").eqNullSafe(F.col("other_v"))
-    own = joint.where(same).select("u", "v", F.col("joint").alias("own"))
-    pair = joint.where(~same)
-    match = pair["u"].eqNullSafe(own["u"]) & pair["v"].eqNullSafe(own["v"])
+    known = joint.withColumn("same", same).withColumn("own", F.max(F.when(same, F.col("joint"))).over(Window.partitionBy("u", "v")))
     share = F.least(F.lit(0.5), F.col("joint") / F.col("own"))
-    return pair.join(own, match).where("own <> 0").select(
-        pair["u"], pair["v"], "other_u", "other_v", log_odds(share).alias("w")
-    )
+    return known.where("NOT same AND own <> 0").select("u", "v", "other_u", "other_v", log_odds(share).alias("w"))
 
 
 def reweight(dedges: DataFrame, fired: DataFrame, implied: DataFrame) -> DataFrame:

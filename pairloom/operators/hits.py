@@ -32,21 +32,29 @@ def normalise(raw: DataFrame, nodes: DataFrame, boundary: DataFrame | None = Non
     return out.select("shot", "det")
 
 
-def toggle(hits: DataFrame, shots: DataFrame, toggled: list[int]) -> DataFrame:
-    """Exclusive or of every shot's hits with one fixed set of nodes.
+# Slices of the toggled nodes that a shot meets one by one.
+_SLICES = 64
+
+
+def toggle(hits: DataFrame, shots: DataFrame, toggled: DataFrame | None) -> DataFrame:
+    """Exclusive or of every shot's hits with one fixed set of nodes (column id).
 
     The set comes from the negative edges of a graph, so it is a property of the
     graph and not of the shots; each shot gets all of it, as the meaning demands.
+    It stays a table: every shot asks for each slice of it by an equi-join.
     """
-    if not toggled:
+    if toggled is None:
         return hits.select("shot", "det")
-    extra = shots.select("shot").distinct().select(
-        "shot", F.explode(F.array(*[F.lit(d).cast("long") for d in toggled])).alias("det")
-    )
+    part = F.pmod(F.xxhash64("id"), F.lit(_SLICES)).cast("int")
+    asked = shots.select("shot").distinct().select("shot", F.explode(F.sequence(F.lit(0), F.lit(_SLICES - 1))).alias("part"))
+    extra = asked.join(toggled.select(F.col("id").cast("long").alias("det"), part.alias("part")), "part").select("shot", "det")
     return odd_hits(hits.select("shot", "det").unionByName(extra))
 
 
 def slice_shots(shots: DataFrame, start: int = 0, most: int | None = None) -> DataFrame:
-    """Shots numbered from ``start``, at most ``most`` of them, by shot number."""
+    """The first ``most`` shots from number ``start`` on, whether or not numbers are missing."""
     out = shots.where(F.col("shot") >= start)
-    return out if most is None else out.where(F.col("shot") < start + most)
+    if most is None:
+        return out
+    chosen = out.select("shot").distinct().orderBy("shot").limit(most)
+    return out.join(chosen, "shot", "left_semi")

@@ -252,3 +252,13 @@ def spaced_sample(values: DataFrame, keys: list[str], value: str, limit: int) ->
     k = F.ceil(F.col("i") * (limit - 1) / F.greatest(F.col("n") - 1, F.lit(1)))
     hit = F.floor(k * (F.col("n") - 1) / (limit - 1)) == F.col("i")
     return ranked.where((F.col("n") <= limit) | hit).select(*keys, value)
+
+
+def distance_unit(matched: DataFrame) -> DataFrame:
+    """unit: the mean length of matched paths, rounded up; ``matched`` has v (NULL: to
+    the boundary) and d. Pairs decide where there are any; it is an error if no path
+    has a length."""
+    inner = F.avg(F.when(F.col("v").isNotNull(), F.col("d")))
+    mean = matched.agg(F.coalesce(inner, F.avg("d")).alias("mean"))
+    missing = F.raise_error(F.lit("no matched path to take a distance unit from")).cast("long")
+    return mean.select(F.when(F.col("mean") > 0, F.ceil("mean")).otherwise(missing).alias("unit"))

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from pairloom.functions.weights import log_odds
+from pairloom.operators.edges import joint_probabilities, merge_parallel
+
 
 def pieces(lines: DataFrame, correlated: bool = False, strict: bool = True) -> DataFrame:
     """error, piece, u, v, p, obs, detectors of every piece; ``lines`` has error (an id) and value.
@@ -56,3 +59,14 @@ def model_lines(edges: DataFrame) -> DataFrame:
         F.col("ord").alias("error"),
         F.concat(F.lit("error("), F.format_string("%.17g", "p"), F.lit(") "), F.array_join(targets, " ")).alias("value"),
     )
+
+
+def graph_edges(lines: DataFrame, correlated: bool = False, merge: str = "independent", strict: bool = True) -> tuple[DataFrame, DataFrame | None]:
+    """User edges (u, v, w, p, obs, parallel) of a whole model and, with ``correlated``,
+    the joint probabilities of edges that fire in one error.
+
+    Parallel edges merge in the order of their error and piece.
+    """
+    parts = pieces(lines, correlated, strict)
+    rows = parts.select("u", "v", log_odds(F.col("p")).alias("w"), "p", "obs", F.struct("error", "piece").alias("ord"))
+    return merge_parallel(rows, merge), joint_probabilities(parts) if correlated else None
