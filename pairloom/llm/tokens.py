@@ -9,6 +9,7 @@ a split of its own as well, which makes the pieces repeat more often.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 from array import array
@@ -19,10 +20,17 @@ import numpy as np
 ODD = re.compile(r"\s | \s")
 CUT = re.compile(r"(?<=\S)(?= \S)")
 LINE = re.compile(r"(?<=\S)(\n)(?=\S)")
+# Letters that the vocabulary's own pattern takes for letters as well.
+WORD = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ɏ]+")
+# The byte alphabet of the vocabulary: printable bytes stand for themselves, the rest follow from 256 on.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTES = np.arange(256, dtype="<u4")
+BYTES[[x for x in range(256) if x not in _PRINTED]] = np.arange(256, 256 + 256 - len(_PRINTED))
+BYTES[10] = 10  # parts the words
 TAIL = ".,!?;:&%$#*|"
 # Characters of text at work at once, and distinct pieces kept before the table starts anew.
 CHARS = 1 << 21
-KEPT = 400_000
+KEPT = 600_000
 
 
 class _Pieces(dict):
@@ -49,39 +57,70 @@ class Encoder:
 
     def _clear(self) -> None:
         self.pieces = _Pieces()
-        self.splits: dict[str, tuple[int, ...]] = {}
+        self.splits: dict[str, array] = {}
         self.flat, self.ends = array("i"), array("q", [0])
+        self.uses = np.zeros(0, np.int64)
+
+    def _forget(self) -> None:
+        """Keep the pieces that were used more than once since they came, or since
+        they were last looked over; if those are too many as well, none."""
+        kept = np.flatnonzero(self.uses > 1)
+        if len(kept) > KEPT // 2:
+            return self._clear()
+        ends = np.array(self.ends, np.int64)
+        size = np.diff(ends)[kept]
+        total = np.cumsum(size)
+        ids = np.array(self.flat, np.int32)[np.repeat(ends[kept] - (total - size), size) + np.arange(total[-1] if len(kept) else 0)]
+        names = list(self.pieces)
+        self.pieces = _Pieces()
+        self.pieces.update((names[k], i) for i, k in enumerate(kept.tolist()))
+        self.flat, self.ends = array("i", ids.tolist()), array("q", [0, *total.tolist()])
+        self.uses = np.zeros(len(kept), np.int64)
+        return None
 
     def _learn(self) -> None:
         """Ids of the pieces met for the first time."""
-        todo, unseen = [], []
-        for piece in self.pieces.new:
-            text = piece[0] if isinstance(piece, tuple) else " " + piece
-            parts = []
-            for part in LINE.split(text) if "\n" in text else (text,):
-                stem = part.rstrip(TAIL)
-                if stem and len(stem) < len(part) and stem[-1].isalpha():
-                    parts += (stem, part[len(stem) :])
-                elif part:
-                    parts.append(part)
-            todo.append(parts)
+        texts = [x[0] if isinstance(x, tuple) else " " + x for x in self.pieces.new]
+        self.pieces.new = []
+        splits, parts_of, unseen = self.splits, [], []
+        for text in texts:
+            stem = text.rstrip(TAIL)
+            if len(stem) == len(text) or not WORD.fullmatch(stem):
+                parts = [x for part in LINE.split(text) for x in self._parts(part)] if "\n" in text else self._parts(text)
+            else:
+                parts = (stem, text[len(stem) :])
+            parts_of.append(parts)
             for part in parts:
-                if part not in self.splits:
-                    self.splits[part] = ()
+                if part not in splits:
+                    splits[part] = None
                     unseen.append(part)
-        for part, found in zip(unseen, self.library.encode_batch_fast(unseen, add_special_tokens=False), strict=True):
-            self.splits[part] = found.ids
-        for parts in todo:
+        words = [x for x in unseen if WORD.fullmatch(x)]
+        other = [x for x in unseen if not WORD.fullmatch(x)]
+        merge = self.library.model.tokenize  # a word is one split: straight to the merges
+        mapped = BYTES[np.frombuffer("\n".join(words).encode(), np.uint8)].tobytes().decode("utf-32-le")
+        for part, text in zip(words, mapped.split("\n")):
+            splits[part] = array("i", [x.id for x in merge(text)])
+        for part, found in zip(other, self.library.encode_batch_fast(other, add_special_tokens=False), strict=True):
+            splits[part] = array("i", found.ids)
+        flat, ends = self.flat, self.ends
+        for parts in parts_of:
             for part in parts:
-                self.flat.extend(self.splits[part])
-            self.ends.append(len(self.flat))
-        self.pieces.new = []
-        if len(self.splits) > KEPT:
+                flat.extend(splits[part])
+            ends.append(len(flat))
+        if len(splits) > KEPT // 2:
             self.splits = {}
 
+    @staticmethod
+    def _parts(text: str) -> tuple[str, ...]:
+        """A text without its tail, and the tail, where letters end before it."""
+        stem = text.rstrip(TAIL)
+        if stem and len(stem) < len(text) and stem[-1].isalpha():
+            return stem, text[len(stem) :]
+        return (text,) if text else ()
+
     def _some(self, texts: list[str]) -> Iterator[np.ndarray]:
         if len(self.pieces) > KEPT:
-            self._clear()
+            self._forget()
         pieces, counts = [], []
         for text in texts:
             own = CUT.split(text) if ODD.search(text) else None
@@ -94,7 +133,14 @@ class Encoder:
             pieces += own
         at = np.fromiter(map(self.pieces.__getitem__, pieces), np.int64, len(pieces))
         if self.pieces.new:
+            collects = gc.isenabled()
+            gc.disable()  # many small objects without cycles
             self._learn()
+            if collects:
+                gc.enable()
+        used = np.bincount(at, minlength=len(self.pieces))
+        used[: len(self.uses)] += self.uses
+        self.uses = used
         flat, ends = np.frombuffer(self.flat, np.int32) if self.flat else np.zeros(0, np.int32), np.frombuffer(self.ends, np.int64)
         start = ends[at]
         size = ends[at + 1] - start
