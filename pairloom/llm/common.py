@@ -11,7 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pairloom.session import shared_folder, ship
 from pairloom.sources.tables import table
 
-__all__ = ["binary", "fresh_folder", "in_batches", "read", "slots", "table"]
+__all__ = ["binary", "fresh_folder", "in_batches", "place_in", "read", "slots", "table"]
+
+
+SPLITS = "spark.sql.files.minPartitionNum"
 
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -31,6 +34,18 @@ def slots(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def place_in(docs: DataFrame) -> Column:
+    """A number for each row of a table of files, the same whenever the table is read.
+
+    How files are split depends on the cores at hand unless a number of splits is
+    named; naming it keeps the numbers when executors come or go.
+    """
+    conf = docs.sparkSession.conf
+    if conf.get(SPLITS, None) is None:
+        conf.set(SPLITS, str(slots(docs.sparkSession)))
+    return F.monotonically_increasing_id()
+
+
 def fresh_folder(spark: SparkSession, kind: str) -> str:
     """A new folder below the one every executor can reach."""
     return f"{shared_folder(spark)}/pairloom-{spark.sparkContext.applicationId}/{kind}-{uuid.uuid4().hex}"

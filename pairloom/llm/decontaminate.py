@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from pairloom.llm.common import in_batches
+from pairloom.llm.common import in_batches, place_in
 
 WINDOW = 13
 BLOCK = 1_000_000
@@ -176,7 +176,7 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
 
     if blocks == 1:
         return against(items_of(0), rows, schema)
-    rows = rows.withColumn("place", F.monotonically_increasing_id())
+    rows = rows.withColumn("place", place_in(docs))
     parts = rows.select("place", "body")
     small = "place long, n_words long, matches array<struct<item:string,item_word:int,doc_word:int,n_words:int>>"
     found = None

@@ -34,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from pairloom.llm.common import binary, in_batches, slots
+from pairloom.llm.common import binary, in_batches, place_in, slots
 from pairloom.llm.near_dup import rows_at
 from pairloom.session import cut
 
@@ -152,7 +152,7 @@ def minimizers(docs: DataFrame, size: int, gram: int, text_col: str) -> DataFram
                 cols = [pa.array(np.array(places, np.int64)[of[first]]), pa.array(key[first].view(np.int64)), pa.array(twice)]
                 yield pa.RecordBatch.from_arrays(cols, names=["place", "key", "twice"])
 
-    rows = docs.select(F.monotonically_increasing_id().alias("place"), binary(text_col).alias("text"))
+    rows = docs.select(place_in(docs).alias("place"), binary(text_col).alias("text"))
     return in_batches(rows, run, "place long, key long, twice boolean")
 
 
@@ -320,7 +320,7 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM, id_col:
 
     hit = rows_at(docs, marks.select("place"), text).join(marks, "place")
     changed = in_batches(hit, run, "place long, n_removed long, n_spans long, sha string, kept binary")
-    whole = docs.select(F.monotonically_increasing_id().alias("place"), doc, binary(text_col).alias("text"))
+    whole = docs.select(place_in(docs).alias("place"), doc, binary(text_col).alias("text"))
     whole = whole.select("place", "doc", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole"))
     zero = F.lit(0).cast("long")
     return whole.join(changed, "place", "left").select(
