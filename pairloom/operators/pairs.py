@@ -32,7 +32,9 @@ def near_pairs(hits: DataFrame, graph: Graph, limit: int = SMALL_SHOT, strict: b
     pairs that two landmarks of the graph do not rule out are measured. In larger
     shots every hit looks around itself in the graph instead and meets the hits
     it finds by an equi-join on (shot, node), so one enormous shot spreads over
-    all tasks and a hit's partners are limited by the size of its ball.
+    all tasks and a hit's partners are limited by the size of its ball. So do the
+    hits of every shot where the graph is too large for arrays: the rounds of the
+    search are then bounded by the reach of the hits, not by the graph.
     """
     small, large = by_size(hits.select("shot", "det", "rho"), limit)
     if large is None:
@@ -49,6 +51,9 @@ def _slack(reach, strict: bool):
 
 def listed_pairs(hits: DataFrame, graph: Graph, strict: bool = False) -> DataFrame:
     """:func:`near_pairs` for shots that are all of ordinary size."""
+    if graph.flat is None:
+        # Landmarks take a search over the whole graph, which only the arrays make cheap.
+        return _found_pairs(hits.select("shot", "det", "rho"), graph, strict)
     marks = landmarks(graph).withColumnRenamed("id", "det")
     placed = hits.join(marks, "det").select("shot", "det", "rho", F.struct("comp", "d1", "d2").alias("at"))
     a = placed.select("shot", F.col("det").alias("u"), F.col("rho").alias("ru"), F.col("at").alias("a"))

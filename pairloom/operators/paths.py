@@ -181,42 +181,38 @@ def balls(graph: Graph, sources: DataFrame) -> DataFrame:
     return spread(wanted, "src").mapInArrow(run, "src long, node long, d long, mask long")
 
 
+# Rounds of growth whose tables are read one by one before they are folded into one.
+_LAYERS = 8
+
+
 def _balls_by_join(graph: Graph, wanted: DataFrame) -> DataFrame:
-    """The same by joins: a label-correcting round per hop, cut each round."""
+    """The same by joins, one round per hop within the radius. A round writes the
+    nodes that it reached or came closer to, and nothing of what was known before."""
     arcs = cut(graph.arcs())
-    known = cut(
-        wanted.join(graph.nodes().withColumnRenamed("id", "src"), "src").select(
-            "src", F.col("src").alias("node"), F.lit(0).cast("long").alias("d"),
-            F.lit(0).cast("long").alias("mask"), "radius", F.lit(True).alias("fresh"),
-        )
-    )
-    while not known.where("fresh").isEmpty():
-        front = known.where("fresh").select("src", F.col("node").alias("u"), F.col("d").alias("d0"), F.col("mask").alias("m0"), "radius")
-        steps = (
-            front.join(arcs, "u")
-            .select(
-                "src", F.col("v").alias("node"), (F.col("d0") + F.col("w")).alias("d"),
-                F.col("m0").bitwiseXOR(F.col("obs_mask")).alias("mask"), "radius", F.lit(False).alias("old"),
-            )
-            .where("d <= radius")
-        )
-        best = (
-            known.select("src", "node", "d", "mask", "radius", F.lit(True).alias("old"))
-            .unionByName(steps)
-            .groupBy("src", "node")
-            .agg(
-                F.min(F.struct("d", "mask")).alias("e"),
-                F.min(F.when(F.col("old"), F.col("d"))).alias("before"),
-                F.max("radius").alias("radius"),
-            )
-        )
-        known = cut(
-            best.select(
-                "src", "node", "e.d", "e.mask", "radius",
-                (F.col("before").isNull() | (F.col("e.d") < F.col("before"))).alias("fresh"),
-            )
+    start = wanted.join(graph.nodes().withColumnRenamed("id", "src"), "src")
+    front = cut(start.select("src", F.col("src").alias("node"), F.lit(0).cast("long").alias("d"), F.lit(0).cast("long").alias("mask"), "radius"))
+    layers = [front.drop("radius")]
+
+    def settled() -> DataFrame:
+        rows = layers[0]
+        for layer in layers[1:]:
+            rows = rows.unionByName(layer)
+        best = rows.groupBy("src", "node").agg(F.min(F.struct("d", "mask")).alias("e"))
+        return best.select("src", "node", "e.d", "e.mask")
+
+    while not front.isEmpty():
+        ahead = front.select("src", F.col("node").alias("u"), F.col("d").alias("d0"), F.col("mask").alias("m0"), "radius")
+        steps = ahead.join(arcs, "u").select(
+            "src", F.col("v").alias("node"), (F.col("d0") + F.col("w")).alias("d"), F.col("m0").bitwiseXOR(F.col("obs_mask")).alias("mask"), "radius"
         )
-    return known.select("src", "node", "d", "mask")
+        steps = steps.where("d <= radius").groupBy("src", "node").agg(F.min(F.struct("d", "mask")).alias("e"), F.max("radius").alias("radius"))
+        before = settled().select("src", "node", F.col("d").alias("before"))
+        closer = steps.join(before, ["src", "node"], "left").where("before IS NULL OR e.d < before")
+        front = cut(closer.select("src", "node", "e.d", "e.mask", "radius"))
+        layers.append(front.drop("radius"))
+        if len(layers) > _LAYERS:
+            layers = [cut(settled())]
+    return settled()
 
 
 def pair_distances(graph: Graph, pairs: DataFrame) -> DataFrame:
