@@ -326,6 +326,7 @@ SQL["bounds_schedule"] = (
 # Matching ------------------------------------------------------------------
 
 SQL["match_weight"] = with_(HITS, PLACED, pairing("placed", "best")) + "SELECT shot, n_hits, weight, 'ok' AS status FROM best"
+SQL["case_decode"] = f"SELECT row_number() OVER (ORDER BY shot) - 1 AS shot, n_hits, weight, status FROM ({SQL['match_weight']})"
 SQL["match_pairs_check"] = with_(HITS, PLACED, pairing("placed", "best")) + "SELECT shot, n_hits, weight FROM best"
 _ALONE = (
     *_MEMBERS,

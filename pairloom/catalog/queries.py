@@ -13,7 +13,7 @@ from pairloom.operators.clusters import Level
 from pairloom.operators.pairs import pairs_within
 from pairloom.operators.paths import Graph
 from pairloom.plans import bounds as schedules
-from pairloom.plans.decode import Decoder
+from pairloom.plans.decode import Decoder, decode_case
 from pairloom.session import cut, shared_folder
 from pairloom.sources import casefile, errormodel, lattice, sinks
 from pairloom.sources.tables import table
@@ -768,6 +768,16 @@ def error_sampling(spark, folder):
     return counted.join(flips, "shot", "left").select("shot", "n_hits", "det_sum", F.coalesce("obs_mask", F.lit(0)).alias("obs_mask"))
 
 
+@query
+def case_decode(spark, folder):
+    """The unit lattice and its shots written as a case file, read back and decoded."""
+    shots = lattice.hits(spark, folder).groupBy("shot").agg(F.array_sort(F.collect_list("det")).alias("hits"))
+    path = f"{shared_folder(spark)}/case-{uuid.uuid4().hex}"
+    lines = casefile.case_lines(lattice.edges(spark, folder), shots.withColumn("obs_mask", F.lit(0).cast("long")), 9, 9, 0.001)
+    casefile.write_case(lines, path)
+    return decode_case(casefile.read_cases(spark, path)).select("shot", "n_hits", "weight", "status")
+
+
 @query
 def case_roundtrip(spark, folder):
     shots = lattice.hits(spark, folder).groupBy("shot").agg(F.array_sort(F.collect_list("det")).alias("hits"))

@@ -1,10 +1,10 @@
-"""Observable flags packed into the bits of a LONG (bits 0 to 62)."""
+"""Observable flags packed into the bits of a LONG (bits 0 to 63, the last one in the sign)."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-MAX_OBSERVABLES = 63
+MAX_OBSERVABLES = 64
 
 
 def mask_from_indices(indices: Column) -> Column:
@@ -15,7 +15,7 @@ def mask_from_indices(indices: Column) -> Column:
         lambda acc, i: acc.bitwiseXOR(
             F.when(
                 (i < 0) | (i >= MAX_OBSERVABLES),
-                F.raise_error(F.concat(F.lit("observable does not fit a 63-bit mask: "), i.cast("string"))).cast("long"),
+                F.raise_error(F.concat(F.lit("observable does not fit a 64-bit mask: "), i.cast("string"))).cast("long"),
             ).otherwise(F.call_function("shiftleft", F.lit(1).cast("long"), i.cast("int")))
         ),
     )

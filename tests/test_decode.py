@@ -9,7 +9,7 @@ from pairloom.operators import clusters as C
 from pairloom.operators.correlated import correlated_groups
 from pairloom.operators.matching import matches, pair_groups, per_shot
 from pairloom.operators.paths import Graph
-from pairloom.plans.decode import Decoder, Options, logical_errors
+from pairloom.plans.decode import Decoder, decode_case, Options, logical_errors
 from pairloom.sources.casefile import case_lines, read_cases, write_case
 
 HITS = "shot long, det long"
@@ -75,7 +75,7 @@ def test_sample_case_file(spark, tmp_path):
     path.write_text(SAMPLE)
     case = read_cases(spark, str(path))
     assert case.header.first().noise == 0.001
-    shots = case.shots.select(F.row_number().over(__import__("pyspark").sql.Window.orderBy("ord")).cast("long").alias("shot"), "obs_mask", "hits")
+    shots = case.shots.select((F.col("shot") + 1).alias("shot"), "obs_mask", "hits")
     hits = shots.select("shot", F.explode("hits").alias("det"))
     decoder = Decoder(case.edges)
     out = {r.shot: r for r in decoder.decode(shots, hits).collect()}
@@ -83,6 +83,7 @@ def test_sample_case_file(spark, tmp_path):
     assert (out[2].weight, out[2].obs_mask) == (4, 0)
     assert (out[3].weight, out[3].n_hits, out[3].status) == (0, 0, "ok")
     assert tuple(logical_errors(decoder.decode(shots, hits), shots).first()) == (3, 0, 0)
+    assert {(r.shot, r.weight, r.obs_mask, r.true_mask) for r in decode_case(case).collect()} == {(0, 4, 1, 1), (1, 4, 0, 0), (2, 0, 0, 0)}
     lines = case_lines(case.edges.withColumn("ord", F.monotonically_increasing_id()), shots, 3, 3, 0.001)
     write_case(lines, str(tmp_path / "again"))
     again = read_cases(spark, str(tmp_path / "again"))
@@ -194,3 +195,15 @@ def test_arriving_shots(spark, tmp_path):
     decode_arriving(stream, graph, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination(90)
     rows = {r.shot: r.weight for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert rows == {1: 2, 2: 2}
+
+
+def test_table_form_gives_the_same_weights_and_masks(spark):
+    from pairloom.operators import edges
+    from pairloom.session import cut
+    from pairloom.sources import lattice
+
+    folder = "/root/testdata/sf0.001"
+    discrete = cut(edges.search_ready(edges.discretise(lattice.edges(spark, folder))))
+    hits = cut(lattice.hits(spark, folder).where("shot < 400"))
+    both = [per_shot(pair_groups(hits, Graph(discrete, broadcast_edges=limit))).select("shot", "weight", "obs_mask").collect() for limit in (10**6, 0)]
+    assert len(both[0]) > 50 and sorted(both[0]) == sorted(both[1])
