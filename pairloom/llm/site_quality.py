@@ -24,13 +24,14 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pairloom.llm.common import in_batches
-from pairloom.llm.quality_rules import SYMBOLS, UPPER, LETTERS
+from pairloom.llm.quality_rules import ENDS, LETTERS, SYMBOLS, UPPER
 from pairloom.session import cut
 
 SIZE = 1 << 18
@@ -45,14 +46,17 @@ def marks(text: str | None) -> tuple[set[bytes], int]:
     out = set(words)
     n = max(1, len(words))
 
-    def level(name: bytes, share: float) -> bytes:
-        return name + b" %d" % min(20, int(20 * share))
+    def levels(name: bytes, share: float) -> list[bytes]:
+        """All steps up to a share, so that large shares weigh more."""
+        return [name + b" %d" % k for k in range(min(20, int(20 * share)) + 1)]
 
     inside = lambda chars: len(raw) - len(raw.translate(None, chars))
     shape = [
-        level(b"capitals", inside(UPPER) / max(1, inside(LETTERS))),
-        level(b"symbols", min(1.0, inside(SYMBOLS) / n)),
-        level(b"forms", len(out) / n),
+        *levels(b"capitals", inside(UPPER) / max(1, inside(LETTERS))),
+        *levels(b"symbols", inside(SYMBOLS) / n),
+        *levels(b"ends", inside(ENDS) / n / 2),
+        *levels(b"forms", 1 - len(out) / n),
+        *levels(b"runs", sum(map(eq, words, words[1:])) / n),
         b"size %d" % len(words).bit_length(),
     ]
     return out.union(shape), len(words)
@@ -71,8 +75,10 @@ class _Weights(dict):
         return value
 
 
-def train(rows: list[tuple[bool, list[int]]], rounds: int = 300, decay: float = 2e-5) -> np.ndarray:
-    """Weights of a logistic regression, the constant last; both kinds count alike in sum."""
+def train(rows: list[tuple[bool, list[int]]], rounds: int = 300, decay: float = 1e-4) -> np.ndarray:
+    """Weights of a logistic regression, the constant last. Both kinds count alike in
+    sum, so even odds are where a good and a bad text are told apart best, whatever
+    share of the labelled rows is good."""
     good = np.array([r[0] for r in rows], float)
     weights = np.zeros(SIZE + 1)
     if not 0 < good.sum() < len(good):
@@ -91,8 +97,6 @@ def train(rows: list[tuple[bool, list[int]]], rounds: int = 300, decay: float =
         mean = 0.9 * mean + 0.1 * slope
         square = 0.99 * square + 0.01 * slope**2
         weights -= 0.03 * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-9)
-    # odds for the share of good rows that was seen
-    weights[SIZE] += np.log(good.sum() / (len(good) - good.sum()))
     return weights
 
 
