@@ -15,8 +15,10 @@ Candidates are never listed as all pairs of a bucket:
    comparing the full sets are joined to components.
 3. Members that the first comparison did not join are compared with a second
    member, the smallest of another component in the bucket.
-4. What still meets in a bucket without being joined is compared pair by pair;
-   here only members of different components are left, so this is exact.
+4. For what still meets in a bucket without being joined, a prefix filter over the
+   shingles themselves, rarest first, names the pairs that can be linked at all.
+   It loses no link, and texts that differ too much give no pairs, so a bucket of
+   many unlinked texts does not grow into all its pairs.
 
 Rows are told apart by their place in the table that is read (not by id), so
 ``docs`` must come from files that do not change meanwhile.
@@ -36,9 +38,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from pairloom.llm.common import in_batches, slots
+from pairloom.llm.common import in_batches, place_in, slots
 from pairloom.operators.components import contract
 from pairloom.session import cut
 
@@ -122,7 +124,7 @@ def sketch(docs: DataFrame, k: int, groups: int, rows: int, id_col: str, text_co
             cols = [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(marks, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(cols, names=["place", "doc", "n_shingles", "cls", "marks"])
 
-    rows_in = docs.select(F.monotonically_increasing_id().alias("place"), F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
+    rows_in = docs.select(place_in(docs).alias("place"), F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
     return in_batches(rows_in, run, "place long, doc long, n_shingles long, cls binary, marks array<long>")
 
 
@@ -167,48 +169,71 @@ def star_pairs(keys: DataFrame, percent: int) -> DataFrame:
     return in_batches(dealt, run, "a long, b long").distinct()
 
 
-def cross_pairs(keys: DataFrame, percent: int, second: bool) -> DataFrame:
-    """a, b: members of a bucket in different components. With ``second`` only pairs
-    with the smallest member outside the component of the first; else all of them
-    but those of the first member, which have been compared."""
+def second_star_pairs(keys: DataFrame, percent: int) -> DataFrame:
+    """a, b: in buckets with several components, the smallest member outside the
+    component of the first one with what follows it in other components than its own."""
     dealt = keys.repartition(slots(keys.sparkSession), "key").sortWithinPartitions("key", "node").select("key", "node", "n_shingles", "root")
 
-    def pairs(bucket: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
-        pivots = [next((x for x in bucket if x[2] != bucket[0][2]), None)] if second else bucket[1:]
-        for a in pivots:
-            for b in bucket[1:] if a else ():
-                if (b[0] > a[0] or second) and a[2] != b[2] and _fits(a[1], b[1], percent):
-                    yield min(a[0], b[0]), max(a[0], b[0])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(found: set[tuple[int, int]]) -> pa.RecordBatch:
-            rows = np.array(sorted(found), np.int64).reshape(-1, 2)
-            return pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1])], names=["a", "b"])
-
-        key, bucket, found = None, [], set()
+        key = first = pivot = None
         for batch in batches:
-            for k, node, n, root in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            found = set()
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                k, other = row[0], row[1:]
                 if k != key:
-                    for pair in pairs(bucket) if len(bucket) > 2 else ():
-                        found.add(pair)
-                        if len(found) >= 100_000:
-                            yield out(found)
-                            found = set()
-                    key, bucket = k, []
-                bucket.append((node, n, root))
-        for pair in pairs(bucket) if len(bucket) > 2 else ():
-            found.add(pair)
-            if len(found) >= 100_000:
-                yield out(found)
-                found = set()
-        yield out(found)
+                    key, first, pivot = k, other, None
+                elif pivot is None:
+                    pivot = other if other[2] != first[2] else None
+                elif other[2] != pivot[2] and _fits(other[1], pivot[1], percent):
+                    found.add((pivot[0], other[0]))
+            rows = np.array(sorted(found), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1])], names=["a", "b"])
 
     return in_batches(dealt, run, "a long, b long").distinct()
 
 
+def residual_pairs(keys: DataFrame, docs: DataFrame, k: int, percent: int, text_col: str) -> DataFrame:
+    """a, b: what may still be linked among members of buckets with several components.
+
+    Two sets that reach the similarity share at least t = p / (100 + p) * (n_a + n_b)
+    shingles, so in any common order of shingles they share one among the first
+    n_a - t + 1 of the one and n_b - t + 1 of the other. With the rarest first, a text
+    that was changed too much for the first comparisons leads with shingles of its
+    own, and no pair comes of it. The filter loses nothing.
+    """
+    roots = keys.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    nodes = cut(keys.join(roots, "key", "left_semi").select("node", "root", F.col("n_shingles").alias("n")).distinct())
+    texts = rows_at(docs, nodes.select(F.col("node").alias("place")), F.col(text_col).cast("string").alias("text"))
+    texts = texts.join(nodes.withColumnRenamed("node", "place"), "place").select("place", "root", "n", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            each = [shingle_hashes(words_of(t), k).view(np.int64) for t in batch.column(3).to_pylist()]
+            at = pa.array(np.repeat(np.arange(len(each)), [len(x) for x in each]))
+            own = batch.select(["place", "root", "n"]).take(at)
+            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(np.concatenate([np.zeros(0, np.int64), *each]))], names=["node", "root", "n", "s"])
+
+    each = cut(in_batches(texts, run, "node long, root long, n long, s long"))
+    spread_of = each.groupBy("s").agg(F.count("*").alias("df"))
+    rarest = Window.partitionBy("node").orderBy("df", "s")
+    least = F.ceil(F.lit(percent) * F.col("n") / 100)
+    lead = each.join(spread_of, "s").withColumn("pos", F.row_number().over(rarest)).where((F.col("pos") <= F.col("n") - least + 1) & (F.col("df") > 1))
+    sizes = nodes.groupBy("root").agg(F.count("*").alias("size"))
+    lead = cut(lead.join(sizes, "root"))
+    # the largest component of a shingle is looked up, never the one that looks
+    groups = lead.groupBy("s").agg(F.max(F.struct("size", "root")).alias("top"), F.min("root").alias("low"), F.max("root").alias("high"))
+    asks = lead.join(groups.where("low <> high").select("s", F.col("top.root").alias("top")), "s").where("root <> top")
+    a, b = asks.alias("a"), lead.alias("b")
+    t = F.ceil(F.lit(percent) * (F.col("a.n") + F.col("b.n")) / (100 + percent))
+    near = (F.col("a.pos") <= F.col("a.n") - t + 1) & (F.col("b.pos") <= F.col("b.n") - t + 1)
+    fits = 100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n")
+    both = a.join(b, (F.col("a.s") == F.col("b.s")) & (F.col("a.root") != F.col("b.root")) & near & fits)
+    return both.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()
+
+
 def rows_at(docs: DataFrame, places: DataFrame, *columns: Column) -> DataFrame:
     """The rows of a table at the given places (distinct, a written table)."""
-    rows = docs.select(F.monotonically_increasing_id().alias("place"), *columns)
+    rows = docs.select(place_in(docs).alias("place"), *columns)
     few = places.count() <= BROADCAST_PLACES
     return rows.join(F.broadcast(places) if few else places, "place", "left_semi")
 
@@ -267,9 +292,10 @@ def components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, groups:
     pairs = cut(star_pairs(table_keys(classes, groups), percent))
     met = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     roots = _join(met.select("node", F.col("node").alias("root")), confirmed(pairs, docs, k, percent, text_col))
-    for second in (True, False):
+    for last in (False, True):
         keys = table_keys(classes.drop("doc").join(roots, "node"), groups, "root")
-        more = cut(cross_pairs(keys, percent, second).join(pairs, ["a", "b"], "left_anti"))
+        more = residual_pairs(keys, docs, k, percent, text_col) if last else second_star_pairs(keys, percent)
+        more = cut(more.join(pairs, ["a", "b"], "left_anti"))
         if not more.isEmpty():
             pairs = pairs.unionByName(more)
             roots = _join(roots, confirmed(more, docs, k, percent, text_col))
@@ -285,6 +311,6 @@ def components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, groups:
 def drop_near_copies(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The documents, with all their columns, of which one of each component stays."""
     gone = cut(components(docs, k, percent, id_col=id_col, text_col=text_col).where("root <> place").select("place"))
-    rows = docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("place"))
+    rows = docs.select(F.struct("*").alias("row"), place_in(docs).alias("place"))
     few = gone.count() <= BROADCAST_PLACES
     return rows.join(F.broadcast(gone) if few else gone, "place", "left_anti").select("row.*")
