@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pairloom.llm import decontaminate, huffman, near_dup, packing, pii, quality_rules, repeats, site_quality, url_filter, warc
 from pairloom.llm.common import read
@@ -25,7 +25,11 @@ RULES = [
 def op1_pii(spark: SparkSession, folder: str) -> DataFrame:
     found = pii.find_spans(read(spark, folder, "documents"))
     base = F.filter("spans", lambda s: s.base)
-    counts = [F.size(F.filter(base, lambda s, k=k: s.kind == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+
+    def number(kind: str) -> Column:
+        return F.size(F.filter(base, lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [number(kind) for kind in pii.KINDS]
     return found.select(F.col("row.doc_id").alias("doc_id"), *counts, F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
 
 
