@@ -14,6 +14,7 @@ from pairloom.sources.tables import table
 __all__ = ["binary", "fresh_folder", "in_batches", "place_in", "read", "slots", "table"]
 
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 SPLITS = "spark.sql.files.minPartitionNum"
 
 
@@ -24,8 +25,12 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def in_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` with the package at hand in the workers."""
+    """``mapInArrow`` with the package at hand in the workers. Rows hold whole texts,
+    so batches are kept short unless the session asks for a size of its own."""
     ship(df.sparkSession)
+    conf = df.sparkSession.conf
+    if conf.get(BATCH) == "10000":  # Spark's own choice, meant for rows of numbers
+        conf.set(BATCH, "1000")
     return df.mapInArrow(run, schema)
 
 

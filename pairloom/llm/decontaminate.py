@@ -153,21 +153,21 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(item_text).cast("string").alias("text")).where("text IS NOT NULL")
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-chars // (5 * block)))
-    rows = docs.select(F.struct("*").alias("row"), F.col(text_col).cast("string").alias("body"))
+    rows = docs.select(F.struct("*").alias("row"))
     schema = docs.select(F.struct("*").alias("row"), F.lit(0).cast("long").alias("n_words"), F.lit(None).cast("array<struct<item:string,item_word:int,doc_word:int,n_words:int>>").alias("matches")).schema
     matches_type = pa.list_(pa.struct([("item", pa.string()), ("item_word", pa.int32()), ("doc_word", pa.int32()), ("n_words", pa.int32())]))
 
     def against(own: list[tuple[str, str]], rows: DataFrame, schema) -> DataFrame:
-        shared = spark.sparkContext.broadcast(own)
+        shared, named = spark.sparkContext.broadcast(own), "place" if "place" in rows.columns else "row"
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             windows = Windows(shared.value, size)
             for batch in batches:
                 if batch.num_rows:
-                    n, matches = zip(*match_texts(batch.column("body").to_pylist(), windows, size), strict=True)
-                    kept = [batch.column(i) for i, f in enumerate(batch.schema) if f.name != "body"]
-                    names = [f.name for f in batch.schema if f.name != "body"]
-                    yield pa.RecordBatch.from_arrays([*kept, pa.array(n, pa.int64()), pa.array(matches, matches_type)], names=[*names, "n_words", "matches"])
+                    rows = batch.column("row")
+                    n, matches = zip(*match_texts(rows.field(text_col).to_pylist(), windows, size), strict=True)
+                    kept = batch.column("place") if "place" in batch.schema.names else rows
+                    yield pa.RecordBatch.from_arrays([kept, pa.array(n, pa.int64()), pa.array(matches, matches_type)], schema=pa.schema([(named, kept.type), ("n_words", pa.int64()), ("matches", matches_type)]))
 
         return in_batches(rows, run, schema)
 
@@ -177,14 +177,14 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     if blocks == 1:
         return against(items_of(0), rows, schema)
     rows = rows.withColumn("place", place_in(docs))
-    parts = rows.select("place", "body")
+    parts = docs.select(F.struct(text_col).alias("row"), place_in(docs).alias("place"))
     small = "place long, n_words long, matches array<struct<item:string,item_word:int,doc_word:int,n_words:int>>"
     found = None
     for k in range(blocks):
         part = against(items_of(k), parts, small)
         found = part if found is None else found.unionByName(part)
     found = found.groupBy("place").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("matches")).alias("matches"))
-    return rows.drop("body").join(found, "place").drop("place")
+    return rows.join(found, "place").drop("place")
 
 
 def judge(found: DataFrame) -> DataFrame:

@@ -310,13 +310,13 @@ def find_spans(docs: DataFrame, text_col: str = "text", weights: dict[str, list[
     """``row`` (the document as it came) and spans: start, kind, end (code points, end
     exclusive) and whether the span is a base one."""
     shared = docs.sparkSession.sparkContext.broadcast(weights or train())
-    rows = docs.select(F.struct("*").alias("row"), F.col(text_col).cast("string").alias("body"))
+    rows = docs.select(F.struct("*").alias("row"))
     schema = rows.select("row", F.lit(None).cast(SPAN).alias("spans")).schema
     kind = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.string()), ("end", pa.int32()), ("base", pa.bool_())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans = [[{"start": s, "kind": KINDS[k], "end": e, "base": b} for s, k, e, b in all_spans(t, shared.value)] for t in batch.column(1).to_pylist()]
+            spans = [[{"start": s, "kind": KINDS[k], "end": e, "base": b} for s, k, e, b in all_spans(t, shared.value)] for t in batch.column(0).field(text_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, kind)], names=["row", "spans"])
 
     return in_batches(rows, run, schema)

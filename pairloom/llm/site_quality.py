@@ -75,7 +75,7 @@ class _Weights(dict):
         return value
 
 
-def train(rows: list[tuple[bool, list[int]]], rounds: int = 300, decay: float = 1e-4) -> np.ndarray:
+def train(rows: list[tuple[bool, np.ndarray]], rounds: int = 300, decay: float = 1e-4) -> np.ndarray:
     """Weights of a logistic regression, the constant last. Both kinds count alike in
     sum, so even odds are where a good and a bad text are told apart best, whatever
     share of the labelled rows is good."""
@@ -83,7 +83,7 @@ def train(rows: list[tuple[bool, list[int]]], rounds: int = 300, decay: float =
     weights = np.zeros(SIZE + 1)
     if not 0 < good.sum() < len(good):
         return weights
-    at = np.concatenate([np.array(r[1], np.int64) for r in rows])
+    at = np.concatenate([r[1] for r in rows]).astype(np.int64)
     size = np.array([len(r[1]) for r in rows])
     first = np.cumsum(size) - size
     share = np.where(good > 0, 0.5 / good.sum(), 0.5 / (len(good) - good.sum()))
@@ -108,26 +108,29 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, id_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [sorted({zlib.crc32(m) % SIZE for m in marks(t)[0]}) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], names=["good", "marks"])
+            found = [np.array(sorted({zlib.crc32(m) % SIZE for m in marks(t)[0]}), "<i4").tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["good", "marks"])
 
     sample = texts.join(F.broadcast(chosen), "doc").select("good", "text")  # at most train_rows small rows
-    rows = in_batches(sample, run, "good boolean, marks array<int>").orderBy(F.xxhash64("marks"), "good").limit(train_rows)
-    return train([(r.good, r.marks) for r in rows.collect()])
+    rows = in_batches(sample, run, "good boolean, marks binary").orderBy(F.xxhash64("marks"), "good").limit(train_rows)
+    return train([(r.good, np.frombuffer(r.marks, "<i4")) for r in rows.collect()])
 
 
 def score(docs: DataFrame, weights: np.ndarray, host: Column, path: Column, text_col: str = "text", keep: bool = True) -> DataFrame:
     """``row`` (the document as it came, with ``keep``), host, path, own log odds."""
     shared = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
-    rows = docs.select(F.struct("*").alias("row") if keep else F.lit(0).alias("row"), host.cast("string").alias("host"), path.cast("string").alias("path"), F.col(text_col).cast("string").alias("body"))
-    schema = rows.select("row", "host", "path", F.lit(0.0).alias("own")).schema
+    row = F.struct("*") if keep else F.struct(F.col(text_col))
+    rows = docs.select(row.alias("row"), host.cast("string").alias("host"), path.cast("string").alias("path"))
+    schema = rows.select("row" if keep else F.lit(0).alias("row"), "host", "path", F.lit(0.0).alias("own")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         look = _Weights(shared.value)
         base = float(shared.value[SIZE])
         for batch in batches:
-            own = [base + sum(map(look.__getitem__, marks(t)[0])) for t in batch.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(own, pa.float64())], names=["row", "host", "path", "own"])
+            texts = batch.column(0).field(text_col).to_pylist()
+            own = [base + sum(map(look.__getitem__, marks(t)[0])) for t in texts]
+            row = batch.column(0) if keep else pa.array([0] * len(own), pa.int32())
+            yield pa.RecordBatch.from_arrays([row, *batch.columns[1:3], pa.array(own, pa.float64())], names=["row", "host", "path", "own"])
 
     return in_batches(rows, run, schema)
 
