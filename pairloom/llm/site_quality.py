@@ -2,8 +2,9 @@
 
 1. A linear classifier over the words of a text (hashed, present or not) and over
    coarse shape marks (capitals, symbols, repetition, length) is fitted on at most
-   ``train_rows`` labelled rows, those with the smallest hash of their id. Good means
-   quality 1 and not toxic. Its weights have a fixed size.
+   ``train_rows`` labelled rows: a third each of good, poor and toxic ones, those with
+   the smallest hash of their id. Good means quality 1 and not toxic. Its weights have
+   a fixed size.
 2. Every document is scored. Sums of the probabilities per path, then per host, are
    the evidence of the sites: two levels of grouped sums, combined before the
    shuffle, so a host with a third of all rows is a few rows per task.
@@ -36,6 +37,8 @@ from pairloom.session import cut
 
 SIZE = 1 << 18
 TRAIN_ROWS = 8_000
+# Standard errors by which the shares of a mark in good and bad texts must differ.
+TELLING = 3.5
 _FOLD = bytes(b if 48 <= b < 58 or 97 <= b < 123 or b > 127 else b + 32 if 65 <= b < 91 else 32 for b in range(256))
 
 
@@ -84,14 +87,20 @@ def train(rows: list[tuple[bool, np.ndarray]], rounds: int = 300, decay: float =
     if not 0 < good.sum() < len(good):
         return weights
     at = np.concatenate([r[1] for r in rows]).astype(np.int64)
-    size = np.array([len(r[1]) for r in rows])
-    first = np.cumsum(size) - size
+    of = np.repeat(np.arange(len(rows)), [len(r[1]) for r in rows])
+    # only marks whose shares in the two kinds differ by more than chance
+    n_good, n_bad = good.sum(), len(good) - good.sum()
+    in_good, in_bad = (np.bincount(at[good[of] == k], minlength=SIZE) for k in (1, 0))
+    both = (in_good + in_bad) / len(good)
+    spread = np.sqrt(both * (1 - both) * (1 / n_good + 1 / n_bad))
+    telling = np.abs(in_good / n_good - in_bad / n_bad) > TELLING * spread
+    at, of = at[telling[at]], of[telling[at]]
     share = np.where(good > 0, 0.5 / good.sum(), 0.5 / (len(good) - good.sum()))
     mean, square = np.zeros(SIZE + 1), np.zeros(SIZE + 1)
     for step in range(1, rounds + 1):  # Adam
-        odds = np.add.reduceat(weights[at], first) + weights[SIZE]
+        odds = np.bincount(of, weights[at], len(rows)) + weights[SIZE]
         error = share * (1 / (1 + np.exp(-np.clip(odds, -500, 500))) - good)
-        slope = np.bincount(at, np.repeat(error, size), SIZE + 1)
+        slope = np.bincount(at, error[of], SIZE + 1).astype(float)
         slope[SIZE] = error.sum()
         slope += decay * weights
         mean = 0.9 * mean + 0.1 * slope
@@ -102,8 +111,12 @@ def train(rows: list[tuple[bool, np.ndarray]], rounds: int = 300, decay: float =
 
 def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
     """Weights from a bounded sample of the labelled documents."""
-    known = labels.where("quality IS NOT NULL").select(F.col(id_col).cast("long").alias("doc"), ((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).alias("good"))
-    chosen = known.where("doc IS NOT NULL").orderBy(F.xxhash64("doc"), "doc", "good").limit(train_rows)
+    toxic = F.coalesce("toxic", F.lit(0)) != 0
+    kind = F.when(F.col("quality") != 1, "poor").when(toxic, "toxic").otherwise("good").alias("kind")
+    known = labels.where(F.col("quality").isNotNull()).select(F.col(id_col).cast("long").alias("doc"), kind).where("doc IS NOT NULL")
+    # as many rows of each kind, since bad texts are few
+    each = [known.where(F.col("kind") == k).orderBy(F.xxhash64("doc"), "doc").limit(train_rows // 3) for k in ("good", "poor", "toxic")]
+    chosen = each[0].unionByName(each[1]).unionByName(each[2]).select("doc", (F.col("kind") == "good").alias("good"))
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
