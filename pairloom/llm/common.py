@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pairloom.session import shared_folder, ship
 from pairloom.sources.tables import table
 
-__all__ = ["binary", "fresh_folder", "in_batches", "place_in", "read", "slots", "table"]
+__all__ = ["binary", "fresh_folder", "held", "hold_only", "in_batches", "place_in", "read", "slots", "table"]
 
 
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -39,6 +39,22 @@ def slots(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+_held: list[dict] = []
+
+
+def held(cache: dict) -> dict:
+    """Marks a look-up table that a worker process keeps between tasks."""
+    _held.append(cache)
+    return cache
+
+
+def hold_only(*wanted: dict) -> None:
+    """Empties the tables that other operators have left in this worker process."""
+    for cache in _held:
+        if not any(cache is x for x in wanted):
+            cache.clear()
+
+
 def place_in(docs: DataFrame) -> Column:
     """A number for each row of a table of files, the same whenever the table is read.
 

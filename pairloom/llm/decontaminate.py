@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from pairloom.llm.common import in_batches, place_in
+from pairloom.llm.common import held, hold_only, in_batches, place_in
 
 WINDOW = 13
 BLOCK = 1_000_000
@@ -44,13 +44,13 @@ class _Numbers(dict):
     """Words as numbers from 1 to 65535."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 250_000:
             self.clear()
         number = self[word] = zlib.crc32(word) % 65535 + 1
         return number
 
 
-_numbers = _Numbers()
+_numbers = held(_Numbers())
 
 
 def _number(words: list[bytes]) -> np.ndarray:
@@ -161,6 +161,7 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
         shared, named = spark.sparkContext.broadcast(own), "place" if "place" in rows.columns else "row"
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            hold_only(_numbers)
             windows = Windows(shared.value, size)
             for batch in batches:
                 if batch.num_rows:

@@ -40,7 +40,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from pairloom.llm.common import in_batches, place_in, slots
+from pairloom.llm.common import held, hold_only, in_batches, place_in, slots
 from pairloom.operators.components import contract
 from pairloom.session import cut
 
@@ -55,13 +55,13 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 250_000:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word)
         return value
 
 
-_hashes = _Hashes()
+_hashes = held(_Hashes())
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -114,6 +114,7 @@ def sketch(docs: DataFrame, k: int, groups: int, rows: int, id_col: str, text_co
     """place, doc, n_shingles, cls (digest of the set), marks (group numbers)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold_only(_hashes)
         for batch in batches:
             n, cls, marks = [], [], []
             for text in batch.column(2).to_pylist():
@@ -247,6 +248,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int, text_col:
     both = left.join(texts.select(F.col("place").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold_only()
         kept: OrderedDict[int, set] = OrderedDict()
 
         def set_of(place: int, text: str) -> set:

@@ -111,7 +111,7 @@ def _bucket(n: int, edges: tuple[int, ...]) -> int:
 _DIGITS = (1, 4, 7, 8, 9, 10, 11, 12, 13, 16, 17, 20)
 
 
-@lru_cache(maxsize=50_000)
+@lru_cache(maxsize=10_000)
 def features(span: str, before: str, after: str) -> tuple[str, ...]:
     """What is true of a whole span and of the characters next to it."""
     groups = re.findall(r"[0-9]+", span)

@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pairloom.llm.common import in_batches
+from pairloom.llm.common import hold_only, in_batches
 from pairloom.llm.quality_rules import ENDS, LETTERS, SYMBOLS, UPPER
 from pairloom.session import cut
 
@@ -72,7 +72,7 @@ class _Weights(dict):
         self.all = weights
 
     def __missing__(self, mark: bytes) -> float:
-        if len(self) > 500_000:
+        if len(self) > 250_000:
             self.clear()
         value = self[mark] = float(self.all[zlib.crc32(mark) % SIZE])
         return value
@@ -137,6 +137,7 @@ def score(docs: DataFrame, weights: np.ndarray, host: Column, path: Column, text
     schema = rows.select("row" if keep else F.lit(0).alias("row"), "host", "path", F.lit(0.0).alias("own")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold_only()
         look = _Weights(shared.value)
         base = float(shared.value[SIZE])
         for batch in batches:

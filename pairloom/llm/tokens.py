@@ -17,6 +17,8 @@ from collections.abc import Iterator
 
 import numpy as np
 
+from pairloom.llm.common import held, hold_only
+
 ODD = re.compile(r"\s | \s")
 CUT = re.compile(r"(?<=\S)(?= \S)")
 LINE = re.compile(r"(?<=\S)(\n)(?=\S)")
@@ -164,11 +166,12 @@ class Encoder:
             yield from self._some(held)
 
 
-_ready: dict[str, Encoder] = {}
+_ready: dict[str, Encoder] = held({})
 
 
 def encoder(path: str) -> Encoder:
     """The encoder of this worker process."""
+    hold_only(_ready)
     if path not in _ready:
         _ready[path] = Encoder(path)
     return _ready[path]
