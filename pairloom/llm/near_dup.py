@@ -13,8 +13,9 @@ Candidates are never listed as all pairs of a bucket:
    for it), joined by partial aggregation.
 2. In every bucket each member is compared with the smallest one; links found by
    comparing the full sets are joined to components.
-3. Members that the first comparison did not join are compared with a second
-   member, the smallest of another component in the bucket.
+3. Members that the first comparison did not join, also those whose size ruled it
+   out, are compared with a second member, the smallest of another component in the
+   bucket.
 4. For what still meets in a bucket without being joined, a prefix filter over the
    shingles themselves, rarest first, names the pairs that can be linked at all.
    It loses no link, and texts that differ too much give no pairs, so a bucket of
@@ -145,7 +146,9 @@ def _fits(a: int, b: int, percent: int) -> bool:
 
 
 def star_pairs(keys: DataFrame, percent: int) -> DataFrame:
-    """a, b: every member of a bucket with the smallest one, each pair once."""
+    """a, b: every member of a bucket with the smallest one, each pair once. Where the
+    sizes rule the pair out, both stand as pairs with themselves: they met, and what
+    follows may still link them with others of the bucket."""
     dealt = keys.repartition(slots(keys.sparkSession), "key").sortWithinPartitions("key", "node").select("key", "node", "n_shingles")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,8 +165,11 @@ def star_pairs(keys: DataFrame, percent: int) -> DataFrame:
             head, size = node[starts].copy(), n[starts].copy()
             if last is not None:
                 head[0], size[0] = last[1], last[2]
-            other = (head[heads] != node) & (100 * np.minimum(size[heads], n) >= percent * np.maximum(size[heads], n))
-            pairs = np.unique(np.stack([head[heads][other], node[other]]), axis=1)
+            other = head[heads] != node
+            fits = 100 * np.minimum(size[heads], n) >= percent * np.maximum(size[heads], n)
+            linked, apart = other & fits, other & ~fits
+            alone = np.concatenate([head[heads][apart], node[apart]])
+            pairs = np.unique(np.stack([np.concatenate([head[heads][linked], alone]), np.concatenate([node[linked], alone])]), axis=1)
             last = (key[-1], head[heads[-1]], size[heads[-1]])
             yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
 
@@ -291,8 +297,9 @@ def components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, groups:
     classes = seen.where("cls IS NOT NULL").groupBy("cls").agg(first.alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("marks").alias("marks"))
     classes = cut(classes.select("cls", F.col("least.place").alias("node"), F.col("least.doc").alias("doc"), "n_shingles", "marks"))
 
-    pairs = cut(star_pairs(table_keys(classes, groups), percent))
-    met = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    stars = cut(star_pairs(table_keys(classes, groups), percent))
+    pairs = stars.where("a <> b")
+    met = cut(stars.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     roots = _join(met.select("node", F.col("node").alias("root")), confirmed(pairs, docs, k, percent, text_col))
     for last in (False, True):
         keys = table_keys(classes.drop("doc").join(roots, "node"), groups, "root")

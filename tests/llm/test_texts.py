@@ -55,6 +55,18 @@ def test_chains_are_joined_whole(spark):
     assert {r.component for r in got} == set(plain.links(dict(enumerate(texts)), 2).values()) == {0}
 
 
+def test_sizes_that_fit_no_first_member_are_still_compared(spark, tmp_path):
+    # long rows come first in the buckets of the last two, which are near each other only
+    passage = ["p%d" % i for i in range(241)]
+    own = [100] * 40 + [30, 30]
+    texts = [" ".join(passage + ["o%d_%d" % (i, j) for j in range(n)]) for i, n in enumerate(own)]
+    table(spark, texts).coalesce(1).write.parquet(str(tmp_path / "t"))
+    docs = spark.read.parquet(str(tmp_path / "t"))
+    want = plain.links(dict(enumerate(texts)), 2)
+    assert want[41] == 40 and len(set(want.values())) == 41
+    assert {r.doc: r.component for r in near_dup.components(docs, k=2).collect()} == want
+
+
 def test_repeated_rows_and_null_ids_leave_one(spark):
     docs = table(spark, ["same text of six words here"] * 4 + [None, None], ids=[7, 7, None, 3, None, None])
     kept = near_dup.drop_near_copies(docs).select("doc_id", "text").collect()
