@@ -11,6 +11,9 @@ of windows travels as one stretch of text instead of one row per suffix.
 2. The stretches of the others are dealt by minimizer. Within a task's batch equal
    stretches are folded into the first before the shuffle, and the copies are marked
    at once, so a passage in a third of all documents arrives once per batch.
+   Where so many documents share a minimizer that one task could not hold their
+   stretches, every window travels by itself, as a digest of all its bytes, and is
+   dealt by that digest: no task gathers such a minimizer.
 3. A task orders the windows of its stretches digit by digit (8 bytes each, most
    significant first), and after each digit drops what stands alone. After the last
    digit, the groups are the repeated windows; all but the first of a group are marked.
@@ -44,6 +47,8 @@ GRAM = 24
 STRETCH = 4096
 CHUNK = 1 << 20
 WINDOWS = 1 << 20
+# Documents of one minimizer, beyond which its windows are dealt one by one.
+HOT = WINDOWS // (SIZE - GRAM + 1)
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -187,14 +192,23 @@ def shared_minimizers(found: DataFrame) -> DataFrame:
 _STRETCH = "key long, none boolean, doc long, place long, start long, n long, inner boolean, text binary"
 
 
+def hot_minimizers(shared: DataFrame) -> np.ndarray:
+    """Minimizers of more than ``HOT`` documents, ascending."""
+    counts = shared.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("n"))
+    return np.array(sorted(r.key for r in counts.where(F.col("n") > HOT).select("key").collect()), np.int64)
+
+
 def shared_stretches(docs: DataFrame, shared: DataFrame, size: int, gram: int) -> DataFrame:
-    """Stretches of shared minimizers. Copies inside a batch carry no text: they are
-    marks already, dealt by their place."""
+    """Stretches of shared minimizers, and single windows (with a digest as text) of hot
+    ones. Copies inside a batch carry no text: they are marks already, dealt by their
+    place."""
+    hot = hot_minimizers(shared)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = sorted(zip(*(c.to_pylist() for c in batch.columns), strict=True), key=lambda r: (r[1] is not None, r[1] or 0, r[0]))
             seen: set[bytes] = set()
+            windows: set[bytes] = set()
             for names, texts in in_chunks(((r[0], r[1], r[3]), r[2]) for r in rows):
                 of, start, n, key, inner = stretches(texts, size, gram)
                 wanted = np.concatenate([np.array(x[2], np.int64) for x in names])
@@ -208,13 +222,23 @@ def shared_stretches(docs: DataFrame, shared: DataFrame, size: int, gram: int) -
                 code[order] = np.cumsum(new) - 1
                 keep = np.flatnonzero(np.isin(code[len(wanted) :], code[: len(wanted)]))
                 out = []
-                for i, at, count, k, within in zip(of[keep].tolist(), start[keep].tolist(), n[keep].tolist(), key[keep].view(np.int64).tolist(), inner[keep].tolist(), strict=True):
+                keys = key[keep].view(np.int64)
+                many = np.isin(keys, hot)
+                for i, at, count, k, within, heavy in zip(of[keep].tolist(), start[keep].tolist(), n[keep].tolist(), keys.tolist(), inner[keep].tolist(), many.tolist(), strict=True):
                     place, doc, _ = names[i]
                     piece = texts[i][at : at + count + size - 1]
                     digest = hashlib.blake2b(piece, digest_size=16).digest()
                     known = digest in seen
                     seen.add(digest)
-                    out.append((place if known else k, doc is None, doc, place, at, count, within, None if known else piece))
+                    if known or not heavy:
+                        out.append((place if known else k, doc is None, doc, place, at, count, within, None if known else piece))
+                        continue
+                    for j in range(count):
+                        mark = hashlib.blake2b(piece[j : j + size], digest_size=16).digest()
+                        known = mark in windows
+                        windows.add(mark)
+                        own = int.from_bytes(mark[:8], "little", signed=True)
+                        out.append((place if known else own, doc is None, doc, place, at + j, 1, False, None if known else mark))
                 cols = list(zip(*out, strict=True)) or [()] * 8
                 kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["key", "none", "doc", "place", "start", "n", "inner", "text"])
@@ -281,7 +305,8 @@ def repeated_stretches(found: DataFrame, size: int) -> DataFrame:
                     done.append((place, start, start + n + size - 1))
                 else:
                     seen.add(digest)
-                    own.append((place, start, n, text, inner))
+                    if len(text) >= size:  # else the digest of one window, which only copies of it meet
+                        own.append((place, start, n, text, inner))
             if done:
                 yield out(done)
                 done = []

@@ -103,6 +103,20 @@ def test_repeats_against_every_window(spark):
     assert repeats.remove_repeats(docs.where("false")).count() == 0
 
 
+def test_no_task_gathers_a_minimizer_of_many_documents(monkeypatch, spark, tmp_path):
+    rng = random.Random(4)
+    line = "".join(rng.choice("abcdefgh ") for _ in range(60))
+    other = ["".join(rng.choice("xyz é") for _ in range(150)) for _ in range(120)]
+    texts = [other[2 * i] + line + other[2 * i + 1] for i in range(60)] + [other[0] + line + other[1] + "end", other[7][-60:] + line, line * 5]
+    table(spark, texts).repartition(3).write.parquet(str(tmp_path / "t"))
+    found, whole = [], repeats.repeated_stretches
+    monkeypatch.setattr(repeats, "HOT", 10, raising=False)
+    monkeypatch.setattr(repeats, "repeated_stretches", lambda dealt, size: whole(found.append(dealt) or dealt, size))
+    got = sorted(tuple(r) for r in repeats.remove_repeats(spark.read.parquet(str(tmp_path / "t"))).drop("kept").collect())
+    assert got == plain.repeats([(i, t.encode()) for i, t in enumerate(texts)])
+    assert max(r["count"] for r in found[0].where("text IS NOT NULL").groupBy("key").count().collect()) <= 10
+
+
 def test_repeats_in_parts(monkeypatch, spark):
     import numpy as np
 
