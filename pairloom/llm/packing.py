@@ -6,7 +6,8 @@ lengths only, so its size is bounded whatever the texts are, and only the last
 bins of a shard can be less than full for want of pieces. In a shard every piece
 goes, longest first, to the fullest bin that still takes it. Then bins that are not
 full exchange pieces: one is moved, or one goes for one, or two for one or one for
-two, whenever that raises the sum of squared fills, until nothing helps. Each
+two, whenever that raises the sum of squared fills, until none that is looked at helps:
+only the ``NEAR`` nearest lengths, and pairs of neighbours in length, are. Each
 exchange makes a fuller bin fuller and the emptier one emptier; emptied bins go.
 
 Defined cases: a null or empty text is one piece of its end id; a repeated row is
