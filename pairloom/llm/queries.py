@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from pairloom.llm import decontaminate, huffman, near_dup, packing, pii, quality_rules, repeats, site_quality, url_filter, warc
+from pairloom.llm import decontaminate, huffman, near_dup, packing, pii, quality_rules, repeats, site_quality, spelling, url_filter, warc
 from pairloom.llm.common import read
 from pairloom.llm.sql import SQL
 
@@ -76,6 +76,11 @@ def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return site_quality.classify(read(spark, folder, "documents"), read(spark, folder, "labels"))
 
 
+def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    rows = spelling.spelling_variants(read(spark, folder, "documents"))
+    return rows.select("word", "form", "root", "n", "n_near", "form_n")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_url_filter": op2_url_filter,
@@ -87,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_output": op8_token_output,
     "op9_warc": op9_warc,
     "op10_quality_classifier": op10_quality_classifier,
+    "op12_spelling_variants": op12_spelling_variants,
 }
 
 __all__ = ["QUERIES", "SQL"]

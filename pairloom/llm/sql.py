@@ -77,3 +77,47 @@ SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(doc_id, coalesce(low,
        doc_id = least(doc_id, coalesce(low, doc_id)) AS kept
 FROM split LEFT JOIN sizes USING (doc_id) LEFT JOIN least USING (doc_id)
 """
+
+
+def _crc32(blob: str) -> str:
+    """Unsigned CRC-32 of a blob, byte by byte; reads ``entries`` of the one row of ``crc``."""
+    at = f"list_transform(range(octet_length({blob})), lambda i: ('0x' || substr(hex({blob}), (2 * i + 1)::BIGINT, 2))::BIGINT)"
+    return (
+        f"xor(list_reduce(list_prepend(4294967295::BIGINT, {at}), "
+        "lambda c, b: xor(c >> 8, entries[(xor(c, b) & 255) + 1])), 4294967295)"
+    )
+
+
+# one row: the remainders of the 256 bytes, by eight rounds of halving
+_CRC_TABLE = """crc_rounds(b, c, k) AS (
+  SELECT range AS b, range::BIGINT AS c, 0 AS k FROM range(256)
+  UNION ALL SELECT b, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, k + 1 FROM crc_rounds WHERE k < 8
+), crc AS (SELECT list(c ORDER BY b) AS entries FROM crc_rounds WHERE k = 8)"""
+
+SQL["op12_spelling_variants"] = f"""
+WITH RECURSIVE {_CRC_TABLE},
+runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\u00C0-\u00FF]+')) AS run
+  FROM documents
+), told AS (SELECT doc_id, run, count(*) AS n, encode(coalesce(doc_id::VARCHAR, '') || ':' || run) AS named FROM runs GROUP BY doc_id, run
+), hashed AS (SELECT run, n, {_crc32('named')} AS h FROM told, crc
+), spelled AS (
+  SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed
+), words AS (SELECT word, sum(n)::BIGINT AS n FROM spelled WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3
+), spots AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words
+), less AS (SELECT DISTINCT word, n, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM spots
+), holes AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM spots
+), pairs AS (
+  SELECT a.word, b.word AS other, b.n AS m FROM holes a JOIN holes b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION ALL SELECT a.word, b.word, b.n FROM less a JOIN words b ON a.rest = b.word
+  UNION ALL SELECT b.word, a.word, a.n FROM less a JOIN words b ON a.rest = b.word
+), ranked AS (SELECT word, other, m, count(*) OVER (PARTITION BY word) AS n_near, row_number() OVER (PARTITION BY word ORDER BY m DESC, other) AS r FROM pairs
+), known AS (
+  SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN m >= 2 * w.n THEN other END AS form, CASE WHEN m >= 2 * w.n THEN m END AS form_n
+  FROM words w LEFT JOIN ranked r ON w.word = r.word AND r.r = 1
+), chain(word, tip) AS (
+  SELECT word, word FROM known UNION ALL SELECT c.word, k.form FROM chain c JOIN known k ON c.tip = k.word WHERE k.form IS NOT NULL
+)
+SELECT k.word, k.form, tip AS root, k.n, k.n_near, k.form_n
+FROM known k JOIN chain USING (word) JOIN known e ON e.word = tip WHERE e.form IS NULL
+"""
