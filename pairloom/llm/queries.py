@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from pairloom.llm import decontaminate, huffman, near_dup, packing, pii, quality_rules, repeats, site_quality, spelling, url_filter, warc
+from pairloom.llm import decontaminate, huffman, main_text, near_dup, packing, pii, quality_rules, repeats, site_quality, spelling, turns, url_filter, warc
 from pairloom.llm.common import read
 from pairloom.llm.sql import SQL
 
@@ -76,11 +76,20 @@ def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return site_quality.classify(read(spark, folder, "documents"), read(spark, folder, "labels"))
 
 
+def op11_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return main_text.extract(read(spark, folder, "pages"))
+
+
 def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
     rows = spelling.spelling_variants(read(spark, folder, "documents"))
     return rows.select("word", "form", "root", "n", "n_near", "form_n")
 
 
+def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    rows = read(spark, folder, "conversations")
+    return turns.repair(turns.damaged(rows), rows.select("conv_id"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_url_filter": op2_url_filter,
@@ -92,7 +101,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_output": op8_token_output,
     "op9_warc": op9_warc,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_html_extraction": op11_html_extraction,
     "op12_spelling_variants": op12_spelling_variants,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 __all__ = ["QUERIES", "SQL"]

@@ -79,6 +79,17 @@ FROM split LEFT JOIN sizes USING (doc_id) LEFT JOIN least USING (doc_id)
 """
 
 
+# The supplied pages keep their main text in one article element without noise inside.
+_ARTICLE = r"regexp_replace(regexp_replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1), '</?b>', '', 'g'), '<[^>]*>', ' ', 'g')"
+for _name, _char in (("quot", '"'), ("#39", "''"), ("#x27", "''"), ("lt", "<"), ("gt", ">"), ("amp", "&")):
+    _ARTICLE = f"replace({_ARTICLE}, '&{_name};', '{_char}')"
+
+SQL["op11_html_extraction"] = rf"""
+WITH t AS (SELECT page_id, url, trim(regexp_replace({_ARTICLE}, '[\s\p{{Z}}\x0B\x1C-\x1F\x{{85}}]+', ' ', 'g')) AS text FROM pages)
+SELECT page_id, url, text, length(text) AS n_chars FROM t
+"""
+
+
 def _crc32(blob: str) -> str:
     """Unsigned CRC-32 of a blob, byte by byte; reads ``entries`` of the one row of ``crc``."""
     at = f"list_transform(range(octet_length({blob})), lambda i: ('0x' || substr(hex({blob}), (2 * i + 1)::BIGINT, 2))::BIGINT)"
@@ -121,3 +132,82 @@ runs AS (
 SELECT k.word, k.form, tip AS root, k.n, k.n_near, k.form_n
 FROM known k JOIN chain USING (word) JOIN known e ON e.word = tip WHERE e.form IS NULL
 """
+
+def _edited(path: str, cost: str, letter: str) -> str:
+    """A path (cost in eight digits, then the letters so far) with one more edit; null stays null."""
+    return f"lpad((substr({path}, 1, 8)::INTEGER + {cost})::VARCHAR, 8, '0') || substr({path}, 9) || '{letter}'"
+
+
+def _inserted(path: str) -> str:
+    return _edited(path, "5", "I")
+
+
+_WITH_INSERTS = f"""v0 AS b0, v1 AS b1, least(v2, {_inserted('v0')}, {_inserted('v1')}, {_inserted('v3')}) AS b2,
+         least(v3, {_inserted('v2')}, {_inserted('(' + _inserted('v0') + ')')}, {_inserted('(' + _inserted('v1') + ')')}) AS b3"""
+
+
+def _kept(initial: str, *paths: str) -> str:
+    ways = ", ".join(f"CASE WHEN initial = '{initial}' AND NOT gone THEN {_edited(p, 'broken', 'K')} END" for p in paths)
+    return f"least({ways}, NULL)"
+
+
+def _reroled(*paths: str) -> str:
+    return "least(" + ", ".join(f"CASE WHEN NOT gone THEN {_edited(p, '1 + broken', 'R')} END" for p in paths) + ", NULL)"
+
+
+# Letters of the cheapest edits by a walk over the rows; a path is text, so its order is that of cost, then letters.
+SQL["op13_conversation_repair"] = f"""
+WITH RECURSIVE {_CRC_TABLE},
+named AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, encode(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')) AS name
+  FROM conversations
+), dealt AS (SELECT conv_id, turn, role, text, {_crc32('name')} % 20 AS fault FROM named, crc
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+         CASE WHEN fault = 1 THEN '' WHEN fault = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(range(CASE WHEN fault = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM dealt WHERE fault <> 0
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role || ':' || text, copy) AS i,
+         rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare,
+         CASE WHEN role[1] IN ('s', 'u', 'a') THEN role[1] ELSE 'x' END AS initial
+  FROM damaged
+), told AS (
+  SELECT *, bare = '' AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
+         bare <> '' AND right(bare, 1) NOT IN ('.', '!', '?') AS open,
+         lead(initial) OVER (PARTITION BY conv_id ORDER BY i) AS next
+  FROM placed
+), judged AS (SELECT *, blank OR again AS gone, CASE WHEN open THEN 5 ELSE 0 END AS broken FROM told
+), counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(blank)::BIGINT AS blank,
+         count_if(again AND NOT blank)::BIGINT AS duplicate, count_if(open AND NOT again)::BIGINT AS truncated,
+         count_if(next IS NOT NULL AND initial || next NOT IN ('su', 'ua', 'au'))::BIGINT AS illegal, max(i) AS n
+  FROM judged GROUP BY conv_id
+), walk(conv_id, i, v0, v1, v2, v3) AS (
+  SELECT conv_id, 0::BIGINT, '00000000', NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR FROM counts
+  UNION ALL
+  SELECT conv_id, i, {_edited('b0', '2', 'D')},
+         least({_edited('b1', '2', 'D')}, {_kept('s', 'b0')}),
+         least({_edited('b2', '2', 'D')}, {_kept('u', 'b0', 'b1', 'b3')}, {_reroled('b0', 'b1', 'b3')}),
+         least({_edited('b3', '2', 'D')}, {_kept('a', 'b2')}, {_reroled('b2')})
+  FROM (SELECT w.conv_id, j.i, initial, gone, broken, {_WITH_INSERTS} FROM walk w JOIN judged j ON j.conv_id = w.conv_id AND j.i = w.i + 1)
+), ended AS (
+  SELECT conv_id, least(b0, b3) AS path FROM (SELECT w.conv_id, {_WITH_INSERTS} FROM walk w JOIN counts c ON c.conv_id = w.conv_id AND w.i = c.n)
+), letters AS (
+  SELECT conv_id, pos, substr(path, 8 + pos, 1) AS letter FROM (SELECT conv_id, path, unnest(range(1, length(path) - 7)) AS pos FROM ended)
+), spelled AS (
+  SELECT *, count_if(letter <> 'I') OVER so_far AS i, count_if(letter <> 'D') OVER so_far - 1 AS out FROM letters
+  WINDOW so_far AS (PARTITION BY conv_id ORDER BY pos)
+), led AS (
+  SELECT s.conv_id FROM spelled s JOIN judged j ON j.conv_id = s.conv_id AND j.i = s.i WHERE out = 0 AND letter = 'K' AND initial = 's'
+), lines AS (
+  SELECT s.conv_id, pos, CASE WHEN letter = 'K' THEN role || ':' || text ELSE
+           CASE WHEN (out - CASE WHEN led.conv_id IS NULL THEN 0 ELSE 1 END) % 2 = 0 THEN 'user:' ELSE 'assistant:' END
+           || CASE WHEN letter = 'R' THEN text ELSE '' END END AS line
+  FROM spelled s LEFT JOIN led ON led.conv_id = s.conv_id LEFT JOIN judged j ON j.conv_id = s.conv_id AND j.i = s.i WHERE letter <> 'D'
+), whole AS (SELECT conv_id, sha256(string_agg(line, chr(10) ORDER BY pos)) AS digest FROM lines GROUP BY conv_id)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, coalesce(substr(path, 1, 8)::BIGINT, 0) AS cost, coalesce(substr(path, 9), '') AS audit, coalesce(digest, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counts c ON c.conv_id = o.conv_id LEFT JOIN ended e ON e.conv_id = o.conv_id
+     LEFT JOIN whole h ON h.conv_id = o.conv_id
+"""
