@@ -364,7 +364,7 @@ def extract(pages: DataFrame, model: Labeller | None = None, id_col: str = "page
                     texts += texts_of(model, pages)
                     pages, chars = [], 0
             texts += texts_of(model, pages) if pages else []
-            columns = [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64(), len(texts))]
+            columns = [*batch.columns[:2], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "text", "n_chars"])
 
     rows = pages.select(F.col(id_col).cast("long"), F.col(url_col).cast("string"), F.col(html_col).cast("string"))
