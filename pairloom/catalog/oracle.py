@@ -84,6 +84,30 @@ LEVELS = (
 )
 
 
+
+def levelled(levels: list[tuple[int, int]]) -> str:
+    """CTEs ending in ``members`` (shot, level, root, det, size, diameter, forced) for levels (d, b), one after the other."""
+    parts, source = [], "placed"
+    for k, (d, b) in enumerate(levels, start=1):
+        parts += [
+            chained(b, source, f"chain{k}"),
+            f"sized{k} AS (SELECT c.shot, c.root, count(*) AS size, max(p.rim) AS far_rim FROM chain{k} c JOIN placed p USING (shot, det) GROUP BY 1, 2)",
+            f"wide{k} AS (SELECT a.shot, a.root, max(p.d) AS diameter FROM pairs p JOIN chain{k} a ON a.shot = p.shot AND a.det = p.u JOIN chain{k} b ON b.shot = p.shot AND b.det = p.v AND b.root = a.root GROUP BY 1, 2)",
+            f"taken{k} AS (SELECT c.shot, {k} AS level, c.root, c.det, s.size, coalesce(w.diameter, 0) AS diameter FROM chain{k} c JOIN sized{k} s USING (shot, root) LEFT JOIN wide{k} w USING (shot, root) "
+            f"WHERE coalesce(w.diameter, 0) <= {d} AND (s.size % 2 = 0 OR s.far_rim <= {d}))",
+            f"left{k} AS (SELECT * FROM {source} p WHERE NOT EXISTS (SELECT 1 FROM taken{k} t WHERE t.shot = p.shot AND t.det = p.det))",
+        ]
+        source = f"left{k}"
+    every = " UNION ALL ".join(f"SELECT * FROM taken{k}" for k in range(1, len(levels) + 1))
+    parts += [
+        f"taken AS ({every})",
+        f"rest AS (SELECT shot, min(det) OVER (PARTITION BY shot) AS root, det, count(*) OVER (PARTITION BY shot) AS size FROM {source})",
+        "members AS (SELECT *, false AS forced FROM taken UNION ALL SELECT r.shot, coalesce(m.level, 0) + 1, r.root, r.det, r.size, NULL, true "
+        "FROM rest r LEFT JOIN (SELECT shot, max(level) AS level FROM taken GROUP BY 1) m USING (shot))",
+    ]
+    return ", ".join(parts)
+
+
 def pairing(source: str, name: str, steps: int = 20) -> str:
     """CTEs giving (shot, n_hits, weight): the least weight by removing the lowest hit, ``steps`` times.
 
@@ -262,6 +286,14 @@ SQL["cluster_deferral"] = with_(HITS, PLACED, PAIRS, LEVEL1) + (
 )
 _MEMBERS = (HITS, PLACED, PAIRS, LEVELS)
 SQL["cluster_levels"] = with_(*_MEMBERS) + "SELECT shot, level::BIGINT AS level, root, det, size, diameter, forced FROM members"
+_NARROW = (HITS, PLACED, PAIRS, levelled([(3, 10), (9, 24), (27, 72)]))
+SQL["cluster_levels_narrow"] = with_(*_NARROW) + "SELECT shot, level::BIGINT AS level, root, det, size, diameter, forced FROM members"
+SQL["owner_regions"] = with_(NODES, HITS, PLACED) + (
+    ", offsets AS (SELECT dr, dc, 2 * (abs(dr) + abs(dc)) AS d FROM range(-4, 5) a(dr), range(-4, 5) b(dc) WHERE abs(dr) + abs(dc) <= 4), "
+    "near AS (SELECT p.shot, p.det, n.id AS node, o.d FROM placed p, offsets o JOIN nodes n ON n.r = p.r + o.dr AND n.c = p.c + o.dc), "
+    "nearest AS (SELECT shot, node, arg_min(det, (d, det)) AS det, min(d) AS d FROM near GROUP BY 1, 2) "
+    "SELECT shot, det, count(*) AS n, sum(node)::BIGINT AS node_sum, sum(d)::BIGINT AS d_sum FROM nearest GROUP BY 1, 2"
+)
 SQL["cluster_forced_top"] = with_(HITS) + "SELECT shot, min(det) OVER (PARTITION BY shot) AS root, det FROM hits"
 SQL["cluster_shape"] = with_(*_MEMBERS) + (
     ", heads AS (SELECT shot, level, root, count(*) AS size FROM members GROUP BY 1, 2, 3), widths AS (SELECT shot, level, count(*) AS width, sum(size) AS covered, max(size) AS largest FROM heads GROUP BY 1, 2) "
@@ -276,7 +308,7 @@ SQL["ready_time"] = with_(*_CHAIN) + (
     "SELECT shot, root, CASE WHEN any_value(size) = 1 THEN 0 ELSE min(t) // 2 END::BIGINT AS ready FROM joined JOIN (SELECT shot, root, count(*) AS size FROM chain GROUP BY 1, 2) s USING (shot, root) GROUP BY 1, 2"
 )
 SQL["first_external"] = with_(*_CHAIN) + (
-    ", apart AS (SELECT p.shot, a.root AS x, b.root AS y, d FROM pairs p JOIN chain a ON a.shot = p.shot AND a.det = p.u JOIN chain b ON b.shot = p.shot AND b.det = p.v WHERE a.root <> b.root AND d <= 40) "
+    ", apart AS (SELECT p.shot, a.root AS x, b.root AS y, d FROM pairs p JOIN chain a ON a.shot = p.shot AND a.det = p.u JOIN chain b ON b.shot = p.shot AND b.det = p.v WHERE a.root <> b.root) "
     "SELECT shot, root, (min(d) // 2)::BIGINT AS external FROM (SELECT shot, x AS root, d FROM apart UNION ALL SELECT shot, y, d FROM apart) GROUP BY 1, 2"
 )
 SQL["cluster_members_text"] = with_(*_MEMBERS) + (
@@ -317,6 +349,27 @@ SQL["short_pairs_mutual"] = with_(HITS, PLACED, PAIRS) + (
     "one AS (SELECT e.shot, e.x, min(e.y) AS y, b.d FROM ends e JOIN best b ON b.shot = e.shot AND b.x = e.x AND b.d = e.d GROUP BY e.shot, e.x, b.d HAVING count(*) = 1) "
     "SELECT a.shot, a.x AS u, a.y AS v, a.d FROM one a JOIN one b ON a.shot = b.shot AND a.x = b.y AND a.y = b.x WHERE a.x < a.y AND a.d <= 10"
 )
+# Pairs one by one in order, with the hits used so far at hand.
+SQL["short_pairs_accepted"] = with_(HITS, PLACED, PAIRS, LEVEL1) + (
+    ", rest AS (SELECT k.shot, k.det FROM chain k JOIN judged j USING (shot, root) WHERE NOT j.accepted), "
+    "near4 AS (SELECT shot, u AS x, v AS y FROM pairs WHERE d <= 4 UNION ALL SELECT shot, v, u FROM pairs WHERE d <= 4), "
+    "asked AS (SELECT p.shot, p.u, p.v, p.d, row_number() OVER (PARTITION BY p.shot ORDER BY p.d, p.u, p.v) AS k FROM pairs p "
+    "JOIN rest a ON a.shot = p.shot AND a.det = p.u JOIN rest b ON b.shot = p.shot AND b.det = p.v WHERE p.d <= 30 "
+    "AND NOT EXISTS (SELECT 1 FROM near4 n WHERE n.shot = p.shot AND n.x IN (p.u, p.v) AND n.y NOT IN (p.u, p.v))), "
+    "walk(shot, k, used) AS (SELECT DISTINCT shot, 0::BIGINT, []::BIGINT[] FROM asked UNION ALL "
+    "SELECT w.shot, a.k, CASE WHEN list_contains(w.used, a.u) OR list_contains(w.used, a.v) THEN w.used ELSE list_concat(w.used, [a.u, a.v]) END FROM walk w JOIN asked a ON a.shot = w.shot AND a.k = w.k + 1) "
+    "SELECT a.shot, a.u, a.v, a.d FROM asked a JOIN walk w ON w.shot = a.shot AND w.k = a.k - 1 WHERE NOT list_contains(w.used, a.u) AND NOT list_contains(w.used, a.v)"
+)
+SQL["parent_cover"] = with_(*_NARROW, NODES) + (
+    ", offsets AS (SELECT dr, dc, 2 * (abs(dr) + abs(dc)) AS d FROM range(-16, 17) a(dr), range(-16, 17) b(dc)), "
+    "regions AS (SELECT DISTINCT m.shot, m.level, m.root, n.id AS node FROM members m JOIN offsets o ON o.d <= m.level * 8 JOIN nodes n ON n.r = m.det // 40 + o.dr AND n.c = m.det % 40 + o.dc), "
+    "up AS (SELECT DISTINCT a.shot, a.level, a.root, b.level AS up_level, b.root AS up_root FROM regions a JOIN regions b ON a.shot = b.shot AND a.node = b.node AND b.level > a.level "
+    "QUALIFY row_number() OVER (PARTITION BY a.shot, a.level, a.root ORDER BY b.level, b.root) = 1), "
+    "ways(shot, level, root, up_level, up_root) AS (SELECT * FROM up UNION SELECT w.shot, w.level, w.root, u.up_level, u.up_root FROM ways w JOIN up u ON u.shot = w.shot AND u.level = w.up_level AND u.root = w.up_root), "
+    "wide AS (SELECT shot, level, root, node FROM regions UNION SELECT w.shot, w.up_level, w.up_root, r.node FROM ways w JOIN regions r ON r.shot = w.shot AND r.level = w.level AND r.root = w.root), "
+    "sums AS (SELECT shot, level, root, count(*) AS n, sum(node)::BIGINT AS node_sum FROM wide GROUP BY 1, 2, 3) "
+    "SELECT shot, level::BIGINT AS level, root, CASE WHEN n < (SELECT count(*) FROM nodes) THEN n END AS n, CASE WHEN n < (SELECT count(*) FROM nodes) THEN node_sum END AS node_sum FROM sums"
+)
 SQL["bounds_schedule"] = (
     "SELECT * FROM (VALUES (1::BIGINT, 3::BIGINT, 10::BIGINT, 1.0::DOUBLE, 10::BIGINT, false), (2, 53, 1300, 0.294117647, 369, false), (3, 5363, 59798120, 0.020005972, 536241, false), "
     "(4, 239208573, 49103972738869, 0.01099, 43532042228, false), (5, 196416608581199, 1152921504606846975, 0.010099, 38898229246697652, true)) t(level, d, b, phi, phi_needs, clamped) "
@@ -457,7 +510,24 @@ SQL["adaptive_diameter_candidates"] = with_(HITS, PLACED, PAIRS) + (
     "SELECT DISTINCT shot, d FROM (SELECT shot, d FROM pairs UNION ALL SELECT shot, rim FROM placed UNION ALL SELECT shot, 3 FROM placed) WHERE d <= 9"
 )
 SQL["adaptive_buffer_candidates"] = with_(HITS, PLACED, PAIRS) + (
-    "SELECT DISTINCT shot, b FROM (SELECT shot, unnest([d, d - 1, 2 * d + 3]) AS b FROM pairs WHERE d <= 12 UNION ALL SELECT shot, unnest([rim, 10, 11]) FROM placed) WHERE b >= 10"
+    "SELECT DISTINCT shot, b FROM (SELECT shot, unnest([d, d - 1, 2 * d + 3]) AS b FROM pairs UNION ALL SELECT shot, unnest([rim, 10, 11]) FROM placed) WHERE b >= 10"
+)
+# Every distance is tried as a buffer, and the hits are chained anew for each.
+SQL["adaptive_breakpoints"] = with_(HITS, PLACED, PAIRS, LEVEL1) + (
+    ", rest AS (SELECT p.* FROM placed p JOIN chain k USING (shot, det) JOIN judged j ON j.shot = k.shot AND j.root = k.root WHERE NOT j.accepted), "
+    "rp AS (SELECT p.shot, p.u, p.v, p.d FROM pairs p JOIN rest a ON a.shot = p.shot AND a.det = p.u JOIN rest b ON b.shot = p.shot AND b.det = p.v), "
+    "tries AS (SELECT DISTINCT shot, b FROM (SELECT shot, unnest([d, d - 1, 2 * d + 3]) AS b FROM rp UNION ALL SELECT shot, unnest([rim, 2 * rim + 3, 10, 11]) FROM rest) WHERE b >= 10), "
+    "near AS (SELECT t.shot, t.b, p.u AS x, p.v AS y FROM tries t JOIN rp p ON p.shot = t.shot AND p.d <= t.b UNION ALL SELECT t.shot, t.b, p.v, p.u FROM tries t JOIN rp p ON p.shot = t.shot AND p.d <= t.b), "
+    "reach(shot, b, det, other) AS (SELECT t.shot, t.b, r.det, r.det FROM tries t JOIN rest r USING (shot) UNION SELECT k.shot, k.b, k.det, n.y FROM reach k JOIN near n ON n.shot = k.shot AND n.b = k.b AND n.x = k.other), "
+    "part AS (SELECT shot, b, det, min(other) AS root FROM reach GROUP BY 1, 2, 3), "
+    "spans AS (SELECT x.shot, x.b, x.root, max(p.d) AS diameter FROM part x JOIN part y ON y.shot = x.shot AND y.b = x.b AND y.root = x.root JOIN rp p ON p.shot = x.shot AND p.u = x.det AND p.v = y.det GROUP BY 1, 2, 3), "
+    "groups AS (SELECT a.shot, a.b, a.root, count(*) AS size, max(r.rim) AS far, min(r.rim) AS near_rim FROM part a JOIN rest r USING (shot, det) GROUP BY 1, 2, 3), "
+    "needs AS (SELECT shot, b, size, coalesce(diameter, 0) AS diameter, CASE WHEN size % 2 = 1 THEN far ELSE 0 END AS far, CASE WHEN size % 2 = 1 THEN near_rim ELSE 0 END AS nearest, (b - 1) // 2 - 1 AS most "
+    "FROM groups LEFT JOIN spans USING (shot, b, root)), "
+    "asked AS (SELECT shot, b, greatest(3, max(greatest(diameter, nearest))) AS d FROM needs WHERE diameter <= most AND far <= most AND most >= 3 GROUP BY 1, 2), "
+    "scored AS (SELECT n.shot, a.d, n.b, count(*) AS clusters, sum(size)::BIGINT AS active FROM needs n JOIN asked a USING (shot, b) WHERE n.diameter <= a.d AND n.far <= a.d GROUP BY 1, 2, 3) "
+    "SELECT shot, d, b, clusters, active, total - active AS residual FROM scored JOIN (SELECT shot, count(*) AS total FROM rest GROUP BY 1) USING (shot) "
+    "QUALIFY row_number() OVER (PARTITION BY shot ORDER BY clusters DESC, active DESC, d, b) = 1"
 )
 _TRIALS = []
 for _d in (3, 5, 7):

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pairloom.functions import masks, numeric, text, weights
-from pairloom.operators import accounting, adaptive, clusters, correlated, edges, hierarchy, hits as hit_ops, landmarks, matching, paths, sampling, stats
+from pairloom.operators import accounting, adaptive, clusters, correlated, edges, hierarchy, hits as hit_ops, landmarks, matching, paths, regions, sampling, stats
 from pairloom.operators.clusters import Level
 from pairloom.operators.pairs import pairs_within
 from pairloom.operators.paths import Graph
@@ -415,6 +415,23 @@ def cluster_levels(spark, folder):
     return _members(spark, folder)[1].select("shot", F.col("level").cast("long").alias("level"), "root", "det", "size", "diameter", "forced")
 
 
+# Bounds that leave most of the graph outside, so that every level chains in it.
+NARROW = [Level(3, 10), Level(9, 24), Level(27, 72)]
+
+
+@query
+def cluster_levels_narrow(spark, folder):
+    members = clusters.cluster_levels(cut(lattice.hits(spark, folder)), unit_graph(spark, folder), NARROW)
+    return members.select("shot", F.col("level").cast("long").alias("level"), "root", "det", "size", "diameter", "forced")
+
+
+@query
+def owner_regions(spark, folder):
+    """Nodes within 8 of a hit of the shot, by their nearest hit."""
+    owners = regions.owned(lattice.hits(spark, folder), unit_graph(spark, folder), 8)
+    return owners.groupBy("shot", F.col("owner").alias("det")).agg(F.count("*").alias("n"), F.sum("node").alias("node_sum"), F.sum("d").alias("d_sum"))
+
+
 @query
 def cluster_forced_top(spark, folder):
     return clusters.forced_components(lattice.hits(spark, folder), unit_graph(spark, folder))
@@ -440,7 +457,7 @@ def ready_time(spark, folder):
 @query
 def first_external(spark, folder):
     graph, rooted = _chained(spark, folder)
-    return clusters.first_external(rooted, pairs_within(rooted, graph, 40))
+    return clusters.first_external(rooted, regions.meetings_to_the_end(rooted, graph))
 
 
 @query
@@ -502,6 +519,27 @@ def short_pairs_mutual(spark, folder):
     return clusters.mutual_nearest(pairs, 10)
 
 
+@query
+def short_pairs_accepted(spark, folder):
+    """Short pairs among the hits that level 1 leaves, guarded against all hits of the shot."""
+    hits = cut(lattice.hits(spark, folder))
+    left = cut(cluster_residual(spark, folder))
+    return clusters.accept_short_pairs(left, hits, unit_graph(spark, folder), 30, 40, 4, mutual=False)
+
+
+@query
+def parent_cover(spark, folder):
+    """Regions of four levels of clusters, widened to hold all that lie below them."""
+    graph = unit_graph(spark, folder)
+    members = cut(clusters.cluster_levels(cut(lattice.hits(spark, folder)), graph, NARROW))
+    reach = members.select("shot", "level", "root", "det", (F.col("level") * 8).alias("bound"))
+    own = cut(hierarchy.influence(reach, graph, ["shot", "level", "root"], "bound"))
+    wide, whole = hierarchy.cover_descendants(own, cut(hierarchy.parents(own)), graph.nodes().count())
+    sums = wide.groupBy("shot", "level", "root").agg(F.count("*").alias("n"), F.sum("node").alias("node_sum"))
+    out = sums.unionByName(whole.select("*", F.lit(None).cast("long").alias("n"), F.lit(None).cast("long").alias("node_sum")))
+    return out.withColumn("level", F.col("level").cast("long"))
+
+
 @query
 def bounds_schedule(spark, folder):
     first = edges.heaviest_plus_one(edges.discretise(lattice.edges(spark, folder))).first()["first_diameter"]
@@ -820,7 +858,16 @@ def adaptive_diameter_candidates(spark, folder):
 def adaptive_buffer_candidates(spark, folder):
     graph = unit_graph(spark, folder)
     hits = cut(lattice.hits(spark, folder))
-    return adaptive.buffer_candidates(pairs_within(hits, graph, 12), matching.rim_of(hits, graph), 1.0, 10)
+    widest = landmarks.component_spans(graph).agg(F.max("span")).first()[0]
+    return adaptive.buffer_candidates(pairs_within(hits, graph, widest), matching.rim_of(hits, graph), 1.0, 10)
+
+
+@query
+def adaptive_breakpoints(spark, folder):
+    """Bounds of level 2 for the hits that level 1 leaves."""
+    graph = unit_graph(spark, folder)
+    left = cut(cluster_residual(spark, folder))
+    return adaptive.breakpoint_bounds(left, matching.rim_of(left, graph), graph, LEVELS[0])
 
 
 @query

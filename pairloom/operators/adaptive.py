@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from pairloom.operators.clusters import Level, diameters
 from pairloom.operators.components import components
+from pairloom.operators.landmarks import component_spans
 from pairloom.operators.pairs import SMALL_SHOT, pairs_within
-from pairloom.operators.paths import Graph
+from pairloom.operators.paths import FAR, Graph
+from pairloom.operators.regions import meetings_to_the_end
 from pairloom.operators.stats import best_trial, spaced_sample
 from pairloom.session import cut
 
+_CAP = int(FAR) // 2
+
 
 def buffer_for(d: Column, phi: float) -> Column:
     """Smallest buffer that certifies diameter ``d`` when the share left is ``phi``."""
@@ -63,6 +68,80 @@ def try_bounds(hits: DataFrame, rim: DataFrame, graph: Graph, trials: DataFrame,
     )
 
 
+def _diameter_for(b: Column, phi: float) -> Column:
+    """Largest diameter that buffer ``b`` certifies when the share left is ``phi``."""
+    return F.floor(F.lit(phi / 2) * (b - 1) - 1 + F.lit(1e-12)).cast("long")
+
+
+def lasting_clusters(hits: DataFrame, rim: DataFrame, graph: Graph, phi: float = 1.0) -> DataFrame:
+    """shot, root, size, far, near, start, stop: every group that some buffer bound makes
+    a component and certifies, with the range start <= b < stop of those bounds (stop
+    NULL: no end). ``far`` is the bound on the diameter that it needs, its boundary
+    distance included where its size is odd; ``near`` uses the nearest such distance.
+
+    A group lives from its longest inner step to its nearest outside hit. To be
+    certified its diameter must be less than half of where it ends, so its life spans
+    a power of two, and the components at powers of two hold all of them: a merge tree
+    cut at a few heights, all heights in one job, whatever the distances are.
+    """
+    hits = cut(hits.select("shot", "det").distinct())
+    steps = cut(meetings_to_the_end(hits, graph))
+    top = steps.agg(F.max("d")).first()[0] or 0
+    heights = [1 << k for k in range(max(1, top).bit_length() + 1)]
+    cuts = steps.select("shot", "u", "v", "d", F.explode(F.array(*[F.lit(h).cast("long") for h in heights])).alias("height"))
+    found = components(cuts.where("d <= height").select("shot", "height", F.col("u").alias("a"), F.col("v").alias("b")), ["shot", "height"])
+    every = hits.select("shot", "det", F.explode(F.array(*[F.lit(h).cast("long") for h in heights])).alias("height"))
+    members = every.join(found.withColumnRenamed("node", "det"), ["shot", "height", "det"], "left")
+    members = cut(members.select("shot", "height", F.coalesce("root", "det").alias("root"), "det"))
+    # Groups are nested, so one that stands unchanged at several heights is known by root and size.
+    sizes = members.groupBy("shot", "height", "root").agg(F.count("*").alias("size"))
+    kept = cut(sizes.groupBy("shot", "root", "size").agg(F.min("height").alias("height")))
+    members = cut(members.join(kept, ["shot", "height", "root"]))
+    at = [members.select("shot", "height", F.col("det").alias(x), F.col("root").alias(f"root_{x}")) for x in ("u", "v")]
+    sides = cuts.join(at[0], ["shot", "height", "u"], "left").join(at[1], ["shot", "height", "v"], "left").where("NOT root_u <=> root_v")
+    outside = sides.select("shot", "height", F.explode(F.array("root_u", "root_v")).alias("root"), "d").where("root IS NOT NULL")
+    ends = cut(outside.groupBy("shot", "height", "root").agg(F.min("d").alias("stop")))
+    # A group must fit a diameter that some bound below its end certifies.
+    ended = members.join(ends, ["shot", "height", "root"], "left")
+    widest = component_spans(graph).agg(F.max("span")).first()[0] or 0
+    cap = F.coalesce(_diameter_for(F.col("stop") - 1, phi), F.lit(widest))
+    alive = cut(ended.withColumn("cap", cap).where("cap >= 0"))
+    keys = ["shot", "height", "root"]
+    wide = diameters(alive, graph, F.col("cap"), keys).where("diameter IS NOT NULL").select(*keys, "diameter")
+    rims = alive.join(rim.select("shot", "det", "rim"), ["shot", "det"]).groupBy(*keys, "size", "stop").agg(F.max("rim").alias("far_rim"), F.min("rim").alias("near_rim"))
+    odd = F.col("size") % 2 == 1
+    lives = rims.join(wide, keys).select(
+        "shot", "root", "size", "stop",
+        F.when(odd, F.greatest("diameter", "far_rim")).otherwise(F.col("diameter")).alias("far"),
+        F.when(odd, F.greatest("diameter", "near_rim")).otherwise(F.col("diameter")).alias("near"),
+    )
+    lives = lives.where(F.col("far") < _CAP).withColumn("start", buffer_for(F.col("far"), phi))
+    return lives.where("stop IS NULL OR start < stop").select("shot", "root", "size", "far", "near", "start", "stop")
+
+
+def breakpoint_bounds(hits: DataFrame, rim: DataFrame, graph: Graph, previous: Level, phi: float = 1.0) -> DataFrame:
+    """shot, d, b, clusters, active, residual: the best bounds of the next level over all
+    buffer bounds from the previous one on, each with the largest diameter that it
+    certifies, shrunk to what the accepted groups need. Best is: most clusters, most
+    hits taken, fewest left, smallest d, smallest b. Shots where no bound accepts a
+    group have no row.
+
+    Between two ends of lives nothing changes, so the bounds at which a group begins
+    or ends to be accepted (and the previous bound) stand for all distances.
+    """
+    lives = cut(lasting_clusters(hits, rim, graph, phi))
+    lives = lives.where(F.col("stop").isNull() | (F.col("stop") > previous.b)).withColumn("start", F.greatest("start", F.lit(previous.b)))
+    same = cut(lives.groupBy("shot", "start", "stop", "far", "near").agg(F.count("*").alias("n"), F.sum("size").alias("hits")))
+    tries = same.select("shot", F.explode(F.array("start", "stop")).alias("b")).where("b IS NOT NULL").distinct()
+    tries = tries.where(_diameter_for(F.col("b"), phi) >= previous.d)
+    live = tries.join(same, "shot").where("start <= b AND (stop IS NULL OR b < stop)")
+    asked = live.groupBy("shot", "b").agg(F.greatest(F.max("near"), F.lit(previous.d)).alias("d"))
+    fits = live.join(asked, ["shot", "b"]).where("far <= d AND d > 0")
+    sizes = hits.groupBy("shot").agg(F.count_distinct("det").alias("hits_of_shot"))
+    scored = fits.groupBy("shot", "b", "d").agg(F.sum("n").alias("clusters"), F.sum("hits").alias("active")).join(sizes, "shot")
+    return choose(scored.withColumn("residual", F.col("hits_of_shot") - F.col("active")))
+
+
 def choose(scored: DataFrame) -> DataFrame:
     """The trial with most clusters, then most hits taken, fewest left, smallest d, smallest b."""
     order = [F.col("clusters"), F.col("active"), -F.col("residual"), -F.col("d"), -F.col("b")]

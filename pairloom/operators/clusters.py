@@ -11,13 +11,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from pairloom.operators.components import components
 from pairloom.operators.landmarks import component_spans, graph_components
 from pairloom.operators.matching import rim_of
-from pairloom.operators.pairs import SMALL_SHOT, pairs_within
+from pairloom.operators.pairs import pairs_within
 from pairloom.operators.paths import Graph, pair_distances
+from pairloom.operators.regions import meetings
 from pairloom.session import cut
 
 
@@ -29,15 +30,16 @@ class Level:
     b: int
 
 
-def threshold_components(hits: DataFrame, graph: Graph, b: int, limit: int = SMALL_SHOT, shortcut: bool = False) -> DataFrame:
-    """shot, det, root: hits of a shot chained by steps of at most ``b``.
+def threshold_components(hits: DataFrame, graph: Graph, b: int, shortcut: bool = False) -> DataFrame:
+    """shot, det, root: hits of a shot chained by steps of at most ``b``,
+    which the touching regions of a common growth show as well as all pairs would.
 
     With ``shortcut`` a graph component that b covers as a whole makes its hits
     one group without looking at any pair; only the others search for pairs.
     """
     hits = hits.select("shot", "det")
     if not shortcut:
-        return _chained(hits, graph, b, limit)
+        return _chained(hits, graph, b)
     spans = component_spans(graph)
     tagged = hits.join(graph_components(graph).withColumnRenamed("id", "det"), "det")
     narrow = spans.where(F.col("span") > b).select("comp")
@@ -46,43 +48,46 @@ def threshold_components(hits: DataFrame, graph: Graph, b: int, limit: int = SMA
     covered = covered.join(roots, ["shot", "comp"]).select("shot", "det", "root")
     if narrow.isEmpty():
         return covered
-    return _chained(tagged.join(narrow, "comp", "left_semi").select("shot", "det"), graph, b, limit).unionByName(covered)
+    return _chained(tagged.join(narrow, "comp", "left_semi").select("shot", "det"), graph, b).unionByName(covered)
 
 
-def _chained(hits: DataFrame, graph: Graph, b: int, limit: int) -> DataFrame:
-    pairs = pairs_within(hits, graph, b, limit)
+def _chained(hits: DataFrame, graph: Graph, b: int) -> DataFrame:
+    pairs = meetings(hits, graph, b)
     found = components(pairs.select("shot", F.col("u").alias("a"), F.col("v").alias("b")), ["shot"])
     return hits.join(found.withColumnRenamed("node", "det"), ["shot", "det"], "left").select(
         "shot", "det", F.coalesce("root", "det").alias("root")
     )
 
 
-def diameters(rooted: DataFrame, graph: Graph, cap: int) -> DataFrame:
-    """shot, root, size, diameter: largest distance inside each group, NULL when above ``cap``.
+def diameters(rooted: DataFrame, graph: Graph, cap: int | Column, keys: list[str] | None = None) -> DataFrame:
+    """shot, root, size, diameter: largest distance inside each group, NULL when above ``cap``
+    (a number, or a column of ``rooted`` that is one number for each group). Groups are
+    told apart by ``keys``, shot and root where none are given.
 
     A group is first measured from its smallest hit only, one row per hit. A
     group that passes lies inside one ball of radius ``cap``, and only then are
     its inner pairs looked at, so their number per hit is limited by the ball.
     """
-    sizes = cut(rooted.groupBy("shot", "root").agg(F.count("*").alias("size"), F.min("det").alias("anchor")))
-    members = rooted.join(sizes, ["shot", "root"])
-    spokes = members.where("det <> anchor").select("shot", "root", F.col("anchor").alias("u"), F.col("det").alias("v"))
-    spokes = spokes.withColumn("cap", F.lit(cap))
-    reach = spokes.join(pair_distances(graph, spokes.select("u", "v", "cap")), ["u", "v"])
-    reach = reach.groupBy("shot", "root").agg(F.count("*").alias("reached"), F.max("d").alias("spoke"))
-    local = sizes.join(reach, ["shot", "root"], "left").where("size = 1 OR reached = size - 1")
-    local = cut(local.select("shot", "root", "size", "spoke"))
-    inside = members.drop("size").join(local.where("size > 2"), ["shot", "root"]).where("det <> anchor")
-    a = inside.select("shot", "root", F.col("det").alias("u"))
-    b = inside.select("shot", "root", F.col("det").alias("v"))
-    pairs = a.join(b, ["shot", "root"]).where("u < v").select("shot", "root", "u", "v").withColumn("cap", F.lit(cap))
-    measured = pairs.join(pair_distances(graph, pairs.select("u", "v", "cap")), ["u", "v"], "left").groupBy("shot", "root").agg(
-        F.max("d").alias("inner"), F.bool_or(F.col("d").isNull()).alias("over")
+    keys = keys or ["shot", "root"]
+    rooted = rooted.select(*keys, "det", (F.lit(cap) if isinstance(cap, int) else cap).cast("long").alias("cap"))
+    sizes = cut(rooted.groupBy(*keys).agg(F.count("*").alias("size"), F.min("det").alias("anchor"), F.max("cap").alias("cap")))
+    members = rooted.drop("cap").join(sizes, keys)
+    spokes = members.where("det <> anchor").select(*keys, F.col("anchor").alias("u"), F.col("det").alias("v"), "cap")
+    reach = spokes.join(pair_distances(graph, spokes.select("u", "v", "cap")), ["u", "v"]).where("d <= cap")
+    reach = reach.groupBy(*keys).agg(F.count("*").alias("reached"), F.max("d").alias("spoke"))
+    local = sizes.join(reach, keys, "left").where("size = 1 OR reached = size - 1")
+    local = cut(local.select(*keys, "size", "spoke"))
+    inside = members.drop("size").join(local.where("size > 2"), keys).where("det <> anchor")
+    a = inside.select(*keys, F.col("det").alias("u"), "cap")
+    b = inside.select(*keys, F.col("det").alias("v"))
+    pairs = a.join(b, keys).where("u < v").select(*keys, "u", "v", "cap")
+    measured = pairs.join(pair_distances(graph, pairs.select("u", "v", "cap")), ["u", "v"], "left").groupBy(*keys).agg(
+        F.max("d").alias("inner"), F.bool_or(F.col("d").isNull() | (F.col("d") > F.col("cap"))).alias("over")
     )
-    known = local.join(measured, ["shot", "root"], "left").where("NOT coalesce(over, false)").select(
-        "shot", "root", F.greatest(F.coalesce("spoke", F.lit(0)), F.coalesce("inner", F.lit(0))).alias("diameter")
+    known = local.join(measured, keys, "left").where("NOT coalesce(over, false)").select(
+        *keys, F.greatest(F.coalesce("spoke", F.lit(0)), F.coalesce("inner", F.lit(0))).alias("diameter")
     )
-    return sizes.select("shot", "root", "size").join(known, ["shot", "root"], "left")
+    return sizes.select(*keys, "size").join(known, keys, "left")
 
 
 def judge(
@@ -118,7 +123,6 @@ def cluster_levels(
     hits: DataFrame,
     graph: Graph,
     levels: list[Level],
-    limit: int = SMALL_SHOT,
     forced_top: bool = False,
     size_caps: list[int] | None = None,
     residual_root: bool = True,
@@ -134,7 +138,7 @@ def cluster_levels(
     left = rim.select("shot", "det")
     taken: DataFrame | None = None
     for number, level in enumerate(levels, start=1):
-        rooted = cut(threshold_components(left, graph, level.b, limit, shortcut=True))
+        rooted = cut(threshold_components(left, graph, level.b, shortcut=True))
         top = forced_top and number == len(levels)
         cap = size_caps[number - 1] if size_caps else 0
         verdicts = judge(rooted, rim, graph, level, cap, top).where("accepted")
@@ -234,3 +238,49 @@ def mutual_nearest(pairs: DataFrame, cap: int) -> DataFrame:
     return single.join(back, ["shot", "det", "other"]).where((F.col("det") < F.col("other")) & (F.col("d") <= cap)).select(
         "shot", F.col("det").alias("u"), F.col("other").alias("v"), "d"
     )
+
+
+def accept_short_pairs(
+    left: DataFrame, hits: DataFrame, graph: Graph, farthest: int, diameter: int, guard: int | None = None, mutual: bool = True
+) -> DataFrame:
+    """shot, u, v, d: pairs among the hits in ``left`` that are taken as clusters of two.
+
+    A pair counts when it is at most ``farthest`` and ``diameter`` apart, when both are
+    as near to each other as to any other hit left (``mutual``), and when no other of
+    the shot's ``hits`` lies within ``guard`` (``farthest`` if not given, 0 for none) of
+    either. Pairs are taken by (d, u, v) and a hit once: in every round the pairs that
+    come first at both of their ends, which is what going through them in order gives.
+    """
+    guard = farthest if guard is None else guard
+    left, hits = cut(left.select("shot", "det").distinct()), cut(hits.select("shot", "det").distinct())
+    pairs = cut(pairs_within(left, graph, max(farthest, guard)))
+    ends = pairs.select("shot", F.explode(F.array("u", "v")).alias("det"), "d")
+    nearest = ends.groupBy("shot", "det").agg(F.min("d").alias("nearest"))
+    asked = pairs.where(F.col("d") <= min(farthest, diameter))
+    if mutual:
+        for end in ("u", "v"):
+            asked = asked.join(nearest.withColumnsRenamed({"det": end, "nearest": f"near_{end}"}), ["shot", end]).where(F.col(f"near_{end}") == F.col("d"))
+    if guard:
+        # Hits within the guard of each other; a pair's own two ends are such hits of each other as well.
+        around = pairs_within(hits, graph, guard).select("shot", "u", "v")
+        near = around.unionByName(around.select("shot", F.col("v").alias("u"), F.col("u").alias("v")))
+        known = cut(near.groupBy("shot", F.col("u").alias("det")).agg(F.count("*").alias("n")))
+        for end in ("u", "v"):
+            asked = asked.join(known.withColumnsRenamed({"det": end, "n": f"n_{end}"}), ["shot", end], "left")
+        own = F.when(F.col("d") <= guard, 1).otherwise(0)
+        asked = asked.where((F.coalesce("n_u", F.lit(0)) == own) & (F.coalesce("n_v", F.lit(0)) == own))
+    asked = cut(asked.select("shot", "u", "v", "d"))
+    taken = asked.where("false")
+    while not asked.isEmpty():
+        rank = F.struct("d", "u", "v")
+        first = asked.select("shot", F.explode(F.array("u", "v")).alias("det"), rank.alias("rank")).groupBy("shot", "det").agg(F.min("rank").alias("first"))
+        wins = asked.withColumn("rank", rank)
+        for end in ("u", "v"):
+            wins = wins.join(first.withColumnRenamed("det", end), ["shot", end]).where("rank = first").drop("first")
+        wins = cut(wins.select("shot", "u", "v", "d"))
+        taken = taken.unionByName(wins)
+        used = cut(wins.select("shot", F.explode(F.array("u", "v")).alias("det")))
+        for end in ("u", "v"):
+            asked = asked.join(used.withColumnRenamed("det", end), ["shot", end], "left_anti")
+        asked = cut(asked.select("shot", "u", "v", "d"))
+    return taken

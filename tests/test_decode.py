@@ -181,8 +181,8 @@ def test_clusters_partition_hits(spark):
             bound = levels[level - 1].d
             assert max(d[a, b] for a in members for b in members) <= bound
             assert len(members) % 2 == 0 or max(rim[a] for a in members) <= bound
-    hot = C.cluster_levels(as_hits(spark, shots), graph, levels, limit=1, shots=everyone).collect()
-    assert sorted(map(str, hot)) == sorted(map(str, found))
+    joined = C.cluster_levels(as_hits(spark, shots), Graph(as_table(spark, rows), broadcast_edges=0), levels, shots=everyone).collect()
+    assert sorted(map(str, joined)) == sorted(map(str, found))
 
 
 def test_arriving_shots(spark, tmp_path):
