@@ -18,8 +18,8 @@ Candidates are never listed as all pairs of a bucket:
    bucket.
 4. For what still meets in a bucket without being joined, a prefix filter over the
    shingles themselves, rarest first, names the pairs that can be linked at all.
-   It loses no link, and texts that differ too much give no pairs, so a bucket of
-   many unlinked texts does not grow into all its pairs.
+   It loses no link. Where many texts share leading shingles, blocks of them are
+   compared inside the tasks, and only one link for two components comes out.
 
 Rows are told apart by their place in the table that is read (not by id), so
 ``docs`` must come from files that do not change meanwhile.
@@ -51,6 +51,12 @@ WORDS = 5
 PERCENT = 80
 # Places that are sent to every task to fetch texts; beyond, texts are joined by a shuffle.
 BROADCAST_PLACES = 2_000_000
+# Members of a bucket that are listed in pairs; shingles and members in a block of a larger
+# bucket; columns of a product.
+FEW = 32
+BLOCK = 400_000
+MEMBERS = 1500
+COLUMNS = 4096
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -216,26 +222,87 @@ def residual_pairs(keys: DataFrame, docs: DataFrame, k: int, percent: int, text_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             each = [shingle_hashes(words_of(t), k).view(np.int64) for t in batch.column(3).to_pylist()]
-            at = pa.array(np.repeat(np.arange(len(each)), [len(x) for x in each]))
-            own = batch.select(["place", "root", "n"]).take(at)
-            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(np.concatenate([np.zeros(0, np.int64), *each]))], names=["node", "root", "n", "s"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(each, pa.list_(pa.int64()))], names=["node", "root", "n", "set"])
 
-    each = cut(in_batches(texts, run, "node long, root long, n long, s long"))
+    sets = cut(in_batches(texts, run, "node long, root long, n long, set array<long>"))
+    each = sets.select("node", "root", "n", F.explode("set").alias("s"))
     spread_of = each.groupBy("s").agg(F.count("*").alias("df"))
     rarest = Window.partitionBy("node").orderBy("df", "s")
     least = F.ceil(F.lit(percent) * F.col("n") / 100)
-    lead = each.join(spread_of, "s").withColumn("pos", F.row_number().over(rarest)).where((F.col("pos") <= F.col("n") - least + 1) & (F.col("df") > 1))
-    sizes = nodes.groupBy("root").agg(F.count("*").alias("size"))
-    lead = cut(lead.join(sizes, "root"))
-    # the largest component of a shingle is looked up, never the one that looks
-    groups = lead.groupBy("s").agg(F.max(F.struct("size", "root")).alias("top"), F.min("root").alias("low"), F.max("root").alias("high"))
-    asks = lead.join(groups.where("low <> high").select("s", F.col("top.root").alias("top")), "s").where("root <> top")
-    a, b = asks.alias("a"), lead.alias("b")
+    lead = each.join(spread_of, "s").withColumn("pos", F.row_number().over(rarest))
+    lead = cut(lead.where((F.col("pos") <= F.col("n") - least + 1) & (F.col("df") > 1)).drop("df"))
+    groups = lead.groupBy("s").agg(F.count("*").alias("many"), F.sum("n").alias("volume"), F.min("root").alias("low"), F.max("root").alias("high"))
+    groups = cut(groups.where("low <> high").select("s", "many", "volume"))
+    few = lead.join(groups.where(F.col("many") <= FEW).select("s"), "s")
+    a, b = few.alias("a"), few.alias("b")
     t = F.ceil(F.lit(percent) * (F.col("a.n") + F.col("b.n")) / (100 + percent))
     near = (F.col("a.pos") <= F.col("a.n") - t + 1) & (F.col("b.pos") <= F.col("b.n") - t + 1)
     fits = 100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n")
-    both = a.join(b, (F.col("a.s") == F.col("b.s")) & (F.col("a.root") != F.col("b.root")) & near & fits)
-    return both.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()
+    both = a.join(b, (F.col("a.s") == F.col("b.s")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.root") != F.col("b.root")) & near & fits)
+    pairs = both.select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
+    blocks = F.greatest(F.ceil(F.col("volume") / BLOCK), F.ceil(F.col("many") / MEMBERS)).cast("int")
+    many = groups.where(F.col("many") > FEW).select("s", blocks.alias("blocks"))
+    return pairs.unionByName(_linked_in_blocks(lead.select("s", "node").join(many, "s").join(sets, "node"), percent)).distinct()
+
+
+def _linked_in_blocks(rows: DataFrame, percent: int) -> DataFrame:
+    """a, b: for every two components with a link among the members of a bucket, one link
+    (two places in other buckets may name another). ``rows``: s, blocks, node, root, n, set.
+
+    A bucket is dealt into blocks of about ``BLOCK`` shingles or ``MEMBERS`` texts, and
+    every two blocks meet in one place, where all their sets are compared at once by a product of 0/1 matrices,
+    some columns at a time. Pairs of texts that are not linked never leave the task.
+    """
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = dealt.select("s", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "root", "n", "set")
+    placed = placed.repartition(slots(rows.sparkSession), "s", "i", "j").sortWithinPartitions("s", "i", "j")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(c).to_numpy() for c in ("s", "i", "j")])
+            cuts = np.r_[0, np.flatnonzero((np.diff(keys, axis=1) != 0).any(0)) + 1, batch.num_rows]
+            for start, end in zip(cuts, cuts[1:]):
+                now = tuple(keys[:, start])
+                if now != key and held:
+                    yield _links_of(pa.Table.from_batches(held), percent)
+                    held = []
+                key = now
+                held.append(batch.slice(start, end - start))
+        if held:
+            yield _links_of(pa.Table.from_batches(held), percent)
+
+    return in_batches(placed, run, "a long, b long")
+
+
+def _links_of(rows: pa.Table, percent: int) -> pa.RecordBatch:
+    """One link for every two components that are linked between the two blocks."""
+    i, j = rows["i"][0].as_py(), rows["j"][0].as_py()
+    block, node, root, n = (rows[c].to_numpy() for c in ("block", "node", "root", "n"))
+    sets = rows["set"].combine_chunks()
+    owner = np.repeat(np.arange(len(node)), np.diff(sets.offsets.to_numpy()))
+    column = np.unique(sets.flatten().to_numpy(), return_inverse=True)[1]
+    shared = np.bincount(column)[column] > 1
+    owner, column = owner[shared], np.unique(column[shared], return_inverse=True)[1]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+    common = np.zeros((len(left), len(right)), np.float32)
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        part = slice(*np.searchsorted(column, [first, first + COLUMNS]))
+        ones = np.zeros((len(node), COLUMNS), np.float32)
+        ones[owner[part], column[part] - first] = 1
+        common += ones[left] @ ones[right].T
+    linked = 100 * common >= percent * (n[left][:, None] + n[right][None, :] - common)
+    x, y = np.nonzero(linked & (root[left][:, None] != root[right][None, :]))
+    a, b = left[x], right[y]
+    ends = np.stack([np.minimum(root[a], root[b]), np.maximum(root[a], root[b])])
+    once = np.unique(ends, axis=1, return_index=True)[1]
+    a, b = node[a[once]], node[b[once]]
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
 
 def rows_at(docs: DataFrame, places: DataFrame, *columns: Column) -> DataFrame:

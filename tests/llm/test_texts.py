@@ -67,6 +67,32 @@ def test_sizes_that_fit_no_first_member_are_still_compared(spark, tmp_path):
     assert {r.doc: r.component for r in near_dup.components(docs, k=2).collect()} == want
 
 
+def family(n, seed):
+    """Texts that share nearly all their shingles, of which few reach the similarity."""
+    rng = random.Random(seed)
+    words = ["w%d" % i for i in range(3000)]
+    base = [rng.choice(words) for _ in range(200)]
+    out = []
+    for _ in range(n):
+        text = base[:]
+        for at in rng.sample(range(200), rng.randint(3, 8)):
+            text[at] = rng.choice(words) + "x"
+        out.append(" ".join(text))
+    return out
+
+
+def test_a_family_of_near_copies_lists_links_only(monkeypatch, spark, tmp_path):
+    monkeypatch.setattr(near_dup, "MEMBERS", 60)  # several blocks
+    asked = []
+    confirmed = near_dup.confirmed
+    monkeypatch.setattr(near_dup, "confirmed", lambda pairs, *more: confirmed(asked.append(pairs.count()) or pairs, *more))
+    texts = family(240, 3)
+    table(spark, texts).write.parquet(str(tmp_path / "t"))
+    got = {r.doc: r.component for r in near_dup.components(spark.read.parquet(str(tmp_path / "t")), k=5).collect()}
+    assert got == plain.links(dict(enumerate(texts)), 5)
+    assert len(asked) < 3 or asked[2] < 240
+
+
 def test_repeated_rows_and_null_ids_leave_one(spark):
     docs = table(spark, ["same text of six words here"] * 4 + [None, None], ids=[7, 7, None, 3, None, None])
     kept = near_dup.drop_near_copies(docs).select("doc_id", "text").collect()
