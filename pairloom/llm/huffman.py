@@ -146,17 +146,30 @@ def read_file(stream, size: Callable[[int], bytes]) -> Iterator[tuple[int | None
 
 
 def tokenize(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc, ids (little-endian 32-bit numbers with the end id)."""
+    """doc, width, ids (little-endian numbers of ``width`` bytes with the end id) of every
+    document, and a row for each task with the counts of all its ids (little-endian 64-bit
+    numbers, by id; null in rows of documents)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool, end = encoder(path), np.array([end_id], np.int32)
-        kind = "<u2" if max(tool.size, end_id) < 1 << 16 else "<u4"
+        kind = np.dtype("<u2" if max(tool.size, end_id) < 1 << 16 else "<u4")
+        total = np.zeros(max(tool.size, end_id + 1), np.int64)
+
+        def batch_of(docs: pa.Array, ids: list, counts: list) -> pa.RecordBatch:
+            width = pa.array([kind.itemsize] * len(docs), pa.int32())
+            return pa.RecordBatch.from_arrays([docs, width, pa.array(ids, pa.binary()), pa.array(counts, pa.binary())], names=["doc", "width", "ids", "counts"])
+
         for batch in batches:
-            ids = [np.concatenate([x, end]).astype(kind).tobytes() for x in tool.encode(batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.dtype(kind).itemsize] * len(ids), pa.int32()), pa.array(ids, pa.binary())], names=["doc", "width", "ids"])
+            ids = []
+            for found in tool.encode(batch.column(1).to_pylist()):
+                ids.append(np.concatenate([found, end]).astype(kind).tobytes())
+            total += np.bincount(np.frombuffer(b"".join(ids), kind), minlength=len(total))
+            yield batch_of(batch.column(0), ids, [None] * len(ids))
+        if total.any():
+            yield batch_of(pa.array([None], pa.int64()), [None], [total.astype("<i8").tobytes()])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    return in_batches(rows, run, "doc long, width int, ids binary")
+    return in_batches(rows, run, "doc long, width int, ids binary, counts binary")
 
 
 def id_counts(tokens: DataFrame) -> dict[int, int]:
@@ -165,21 +178,21 @@ def id_counts(tokens: DataFrame) -> dict[int, int]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for width, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                part = np.bincount(np.frombuffer(raw.as_buffer(), f"<u{width}"), minlength=len(total))
+            for raw in batch.column(0):
+                part = np.frombuffer(raw.as_buffer(), "<i8").copy()
                 part[: len(total)] += total
                 total = part
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["id", "n"])
 
-    rows = in_batches(tokens.select("width", "ids"), run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    rows = in_batches(tokens.where("counts IS NOT NULL").select("counts"), run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     return {r.id: r.n for r in rows.collect()}
 
 
 def write_files(tokens: DataFrame, lengths: np.ndarray, folder: str) -> DataFrame:
     """Result per file: file, low (its first document), n_docs, n_tokens, slot in ascending order."""
     codes, packed = codes_of(lengths), zlib.compress(lengths.tobytes())
-    rows = tokens.withColumn("tie", F.xxhash64("ids")).repartitionByRange(slots(tokens.sparkSession), "doc", "tie").sortWithinPartitions("doc", "tie")
+    rows = tokens.where("counts IS NULL").withColumn("tie", F.xxhash64("ids")).repartitionByRange(slots(tokens.sparkSession), "doc", "tie").sortWithinPartitions("doc", "tie")
     rows = rows.select("doc", "width", "ids", F.spark_partition_id().alias("slot"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -53,7 +53,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings are ordinary text
+        # Strings of added tokens part a text before anything else, the longest first.
+        self.added = {str(x): i for i, x in self.library.get_added_tokens_decoder().items()}
+        self.parting = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.size = self.library.get_vocab_size()
         self._clear()
 
@@ -157,6 +159,11 @@ class Encoder:
         """Ids of each text, null as empty; equal to the library's on the whole text."""
         held, chars = [], 0
         for text in texts:
+            if text and self.parting is not None and self.parting.search(text):
+                yield from self._some(held) if held else ()
+                held, chars = [], 0
+                yield self._parted(text)
+                continue
             held.append(text or "")
             chars += len(held[-1])
             if chars >= CHARS:
@@ -165,6 +172,15 @@ class Encoder:
         if held:
             yield from self._some(held)
 
+    def _parted(self, text: str) -> np.ndarray:
+        """Ids of a text that holds strings of added tokens: what lies between is encoded apart."""
+        parts = self.parting.split(text)
+        between = self._some(parts[::2])
+        ids = [next(between)]
+        for name, rest in zip(parts[1::2], between):
+            ids += [np.array([self.added[name]], np.int32), rest]
+        return np.concatenate(ids)
+
 
 _ready: dict[str, Encoder] = held({})
 
