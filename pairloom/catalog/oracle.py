@@ -243,11 +243,16 @@ SQL["pair_candidates"] = with_(HITS, PLACED, PAIRS) + "SELECT shot, u, v, d, d /
 SQL["pair_dist_bounded"] = with_(NODES) + (
     "SELECT a.id AS u, b.id AS v, 2 * (abs(a.r - b.r) + abs(a.c - b.c)) AS d FROM nodes a JOIN nodes b ON b.id BETWEEN a.id AND a.id + 328 WHERE 2 * (abs(a.r - b.r) + abs(a.c - b.c)) <= 16"
 )
+SQL["pair_dist_labels"] = with_(HITS) + (
+    ", n AS (SELECT det AS u, lead(det) OVER (PARTITION BY shot ORDER BY det) AS v FROM hits) "
+    "SELECT DISTINCT u, v, 2 * (abs(u // 40 - v // 40) + abs(u % 40 - v % 40)) AS d FROM n WHERE v IS NOT NULL"
+)
 SQL["distance_unit"] = with_(HITS, PLACED, PAIRS) + "SELECT ceil(avg(d))::BIGINT AS unit FROM pairs WHERE d <= 16"
 SQL["boundary_dist"] = with_(NODES) + "SELECT id AS node, 2 * (least(c, 39 - c) + 1) AS d, CASE WHEN c < 20 THEN 1 ELSE 0 END::BIGINT AS mask FROM nodes"
-SQL["graph_components"] = with_(NODES, STEPS) + (
-    ", kept AS (SELECT u, v FROM steps WHERE su > 25 AND sv > 25), both_ways AS (SELECT u, v FROM kept UNION ALL SELECT v, u FROM kept), "
-    "reach(id, other) AS (SELECT u, u FROM both_ways UNION SELECT r.id, b.v FROM reach r JOIN both_ways b ON b.u = r.other) SELECT id, min(other) AS comp FROM reach GROUP BY id"
+SQL["graph_components"] = (
+    "WITH RECURSIVE links AS (SELECT o_custkey AS u, 1000000000 + o_orderkey AS v FROM orders), "
+    "ends AS (SELECT u AS x, v AS y FROM links UNION ALL SELECT v, u FROM links), "
+    "reach(id, other) AS (SELECT x, x FROM ends UNION SELECT r.id, e.y FROM reach r JOIN ends e ON e.x = r.other) SELECT id, min(other) AS comp FROM reach GROUP BY id"
 )
 SQL["component_span_bounds"] = with_(NODES) + "SELECT 0::BIGINT AS comp, (2 * (max(r) + 39))::BIGINT AS span FROM nodes"
 SQL["shortest_path_weight_noisy"] = with_(NODES, STEPS, NOISY) + (
@@ -379,6 +384,24 @@ SQL["bounds_schedule"] = (
 # Matching ------------------------------------------------------------------
 
 SQL["match_weight"] = with_(HITS, PLACED, pairing("placed", "best")) + "SELECT shot, n_hits, weight, 'ok' AS status FROM best"
+# Every boundary edge flips the one flag, so it tells whether the number of hits is odd.
+_TWO = (
+    "cased AS (SELECT CASE WHEN shot % 2 = 0 THEN 'unit' ELSE 'threefold' END AS \"case\", row_number() OVER (PARTITION BY shot % 2 ORDER BY shot) - 1 AS shot, n_hits, "
+    "weight * (1 + 2 * (shot % 2)) AS weight, n_hits % 2 AS obs_mask, shot % 3 % 2 AS true_mask FROM best)"
+)
+SQL["case_run"] = with_(HITS, PLACED, pairing("placed", "best"), _TWO) + "SELECT \"case\", shot, n_hits, weight, obs_mask, 'ok' AS status, true_mask FROM cased"
+SQL["case_mistakes"] = with_(HITS, PLACED, pairing("placed", "best"), _TWO) + (
+    "SELECT \"case\", shot, obs_mask AS predicted, true_mask AS expected, CASE WHEN obs_mask = 1 THEN '0' ELSE '' END AS predicted_bits, CASE WHEN true_mask = 1 THEN '0' ELSE '' END AS expected_bits "
+    "FROM cased WHERE obs_mask <> true_mask"
+)
+SQL["case_totals"] = with_(HITS, PLACED, pairing("placed", "best"), _TWO) + (
+    "SELECT \"case\", count(*) AS shots, count_if(obs_mask <> true_mask)::BIGINT AS mistakes, 0::BIGINT AS exceptions, round(avg(weight), 6) AS mean_weight FROM cased GROUP BY 1"
+)
+SQL["observables_many"] = with_(HITS, PLACED, pairing("placed", "best")) + (
+    ", flips AS (SELECT shot, det % 200 AS obs FROM hits GROUP BY 1, 2 HAVING count(*) % 2 = 1), "
+    "told AS (SELECT shot, string_agg(obs::VARCHAR, ';' ORDER BY obs) AS obs, max(obs) // 64 + 1 AS n_words FROM flips GROUP BY 1) "
+    "SELECT shot, weight, coalesce(obs, '') AS obs, coalesce(n_words, 0)::BIGINT AS n_words FROM best LEFT JOIN told USING (shot)"
+)
 SQL["case_decode"] = f"SELECT row_number() OVER (ORDER BY shot) - 1 AS shot, n_hits, weight, status FROM ({SQL['match_weight']})"
 SQL["match_pairs_check"] = with_(HITS, PLACED, pairing("placed", "best")) + "SELECT shot, n_hits, weight FROM best"
 _ALONE = (
@@ -440,7 +463,7 @@ SQL["level_stats"] = with_(_TABLE) + (
     "round(count(*) / any_value(shots), 6) AS avg_clusters_per_shot FROM ctab c JOIN tot USING (\"case\") JOIN w ON w.\"case\" = c.\"case\" AND w.level = c.level GROUP BY c.\"case\", c.level"
 )
 _LEVEL_TABLE = _TABLE + (
-    ", ltab AS (SELECT \"case\", 'event_log' AS method, rep, shot, level, count(*) AS a, sum(size) AS b, max(size) AS c, max(events) AS e FROM ctab WHERE NOT (shot % 3 = 0 AND level % 2 = 1) GROUP BY ALL), "
+    ", ltab AS (SELECT \"case\", 'event_log' AS method, rep, shot, level, count(*) AS a, sum(size) AS b, max(size) AS c, max(events) AS e FROM ctab GROUP BY ALL), "
     "sk AS (SELECT DISTINCT \"case\", method, rep, shot FROM ltab), top AS (SELECT \"case\", max(level) AS top FROM ltab GROUP BY 1), "
     "grid AS (SELECT sk.*, g.l AS level FROM sk JOIN top USING (\"case\"), LATERAL (SELECT unnest(range(0, top + 1)) AS l) g), "
     "filled AS (SELECT g.*, coalesce(a, 0) AS a, coalesce(b, 0) AS b, coalesce(c, 0) AS c, coalesce(e, 0) AS e FROM grid g LEFT JOIN ltab USING (\"case\", method, rep, shot, level))"
@@ -493,7 +516,11 @@ SQL["bench_rows"] = with_(FOLD, _SHOT_COSTS) + (
 # Sampling and files --------------------------------------------------------
 
 SQL["error_sampling"] = with_(NODES, STEPS, NOISY) + (
-    ", fired AS (SELECT s.shot, e.u, e.v, e.obs FROM noisy e, (SELECT unnest(range(64)) AS shot) s WHERE ('0x' || substr(md5('20260101:' || s.shot || ':' || e.ord), 1, 8))::BIGINT / 4294967296.0 < e.p), "
+    ", blocks AS (SELECT e.*, b, least(1024, n - b * 1024) AS size FROM noisy e, (SELECT count(*) AS n FROM customer), range(10000) t(b) WHERE b * 1024 < n), "
+    "draws AS (SELECT *, unnest(range((size * p + 10 * sqrt(size * p))::BIGINT + 20)) AS i FROM blocks), "
+    "skips AS (SELECT *, floor(ln(1 - ('0x' || substr(md5('20260101:' || ord || ':' || b || ':' || i), 1, 8))::BIGINT / 4294967296.0::DOUBLE) / ln(1 - p))::BIGINT AS skip FROM draws), "
+    "places AS (SELECT *, sum(skip + 1) OVER (PARTITION BY ord, b ORDER BY i) - 1 AS place FROM skips), "
+    "fired AS (SELECT b * 1024 + place AS shot, u, v, obs FROM places WHERE place < size), "
     "hit AS (SELECT shot, det FROM (SELECT shot, u AS det FROM fired UNION ALL SELECT shot, v FROM fired WHERE v IS NOT NULL) GROUP BY 1, 2 HAVING count(*) % 2 = 1), "
     "flips AS (SELECT shot, bit_xor(CASE WHEN obs = 0 THEN 1 ELSE 0 END)::BIGINT AS m FROM fired GROUP BY 1) "
     "SELECT h.shot, count(*) AS n_hits, sum(det)::BIGINT AS det_sum, coalesce(any_value(m), 0) AS obs_mask FROM hit h LEFT JOIN flips USING (shot) GROUP BY h.shot"

@@ -5,15 +5,15 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from pairloom.functions import masks, numeric, text, weights
 from pairloom.operators import accounting, adaptive, clusters, correlated, edges, hierarchy, hits as hit_ops, landmarks, matching, paths, regions, sampling, stats
 from pairloom.operators.clusters import Level
 from pairloom.operators.pairs import pairs_within
 from pairloom.operators.paths import Graph
-from pairloom.plans import bounds as schedules
-from pairloom.plans.decode import Decoder, decode_case
+from pairloom.plans import bounds as schedules, cases
+from pairloom.plans.decode import Decoder, Options, decode_case
 from pairloom.session import cut, shared_folder
 from pairloom.sources import casefile, errormodel, lattice, sinks
 from pairloom.sources.tables import table
@@ -299,6 +299,16 @@ def pair_dist_bounded(spark, folder):
     return reach.where("src <= node").select(F.col("src").alias("u"), F.col("node").alias("v"), "d")
 
 
+@query
+def pair_dist_labels(spark, folder):
+    """Every hit with the next one of its shot, on the graph as a table."""
+    edge = edges.search_ready(edges.discretise(lattice.edges(spark, folder)))
+    order = Window.partitionBy("shot").orderBy("det")
+    pairs = lattice.hits(spark, folder).select(F.col("det").alias("u"), F.lead("det").over(order).alias("v")).where("v IS NOT NULL")
+    pairs = pairs.distinct().withColumn("cap", F.lit(2**40))
+    return paths.pair_distances(Graph(edge, broadcast_edges=0), cut(pairs)).select("u", "v", "d")
+
+
 @query
 def distance_unit(spark, folder):
     """Pairs of near hits, and every hit with the boundary."""
@@ -313,16 +323,13 @@ def boundary_dist(spark, folder):
     return paths.boundary_distances(unit_graph(spark, folder)).select("node", "d", "mask")
 
 
-def _kept_graph(spark: SparkSession, folder: str) -> Graph:
-    kept = lattice.nodes(spark, folder).where("size > 25").select("id")
-    inner = edges.discretise(lattice.edges(spark, folder)).where("v IS NOT NULL")
-    inner = inner.join(kept.withColumnRenamed("id", "u"), "u", "left_semi").join(kept.withColumnRenamed("id", "v"), "v", "left_semi")
-    return Graph(inner)
-
-
 @query
 def graph_components(spark, folder):
-    return landmarks.graph_components(_kept_graph(spark, folder))
+    """The graph of customers and orders, an edge for each order."""
+    edge = table(spark, folder, "orders").select(
+        F.col("o_custkey").alias("u"), (F.lit(10**9) + F.col("o_orderkey")).alias("v"), F.lit(2).cast("long").alias("w"), F.lit(0).cast("long").alias("obs_mask")
+    )
+    return landmarks.graph_components(Graph(edge))
 
 
 @query
@@ -713,9 +720,8 @@ def level_stats(spark, folder):
 
 
 def _level_table(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per non-empty level; levels of a third of the users are left out where they are odd."""
-    rows = _cluster_table(spark, folder).where("NOT (shot % 3 = 0 AND level % 2 = 1)")
-    return rows.groupBy("case", F.lit("event_log").alias("method"), "rep", "shot", "level").agg(
+    """One row per non-empty level."""
+    return _cluster_table(spark, folder).groupBy("case", F.lit("event_log").alias("method"), "rep", "shot", "level").agg(
         F.count("*").alias("cluster_count"), F.sum("size").alias("assigned_active_detector_count"),
         F.max("size").alias("max_cluster_active_detectors"), F.max("events").alias("max_cluster_event_count"),
         F.max("events").alias("max_cluster_critical_path_event_count"),
@@ -799,7 +805,9 @@ def bench_rows(spark, folder):
 
 @query
 def error_sampling(spark, folder):
-    fired = cut(sampling.fired_edges(lattice.edges(spark, folder, "noisy"), 64, 20260101))
+    """A shot for each customer."""
+    shots = table(spark, folder, "customer").count()
+    fired = cut(sampling.fired_edges(lattice.edges(spark, folder, "noisy"), shots, 20260101))
     hits = sampling.syndromes(fired)
     flips = sampling.flipped_observables(fired)
     counted = hits.groupBy("shot").agg(F.count("*").alias("n_hits"), F.sum("det").alias("det_sum"))
@@ -816,6 +824,50 @@ def case_decode(spark, folder):
     return decode_case(casefile.read_cases(spark, path)).select("shot", "n_hits", "weight", "status")
 
 
+def _two_cases(spark: SparkSession, folder: str):
+    """Shots dealt over two case files: the unit lattice, and one of weight 3 with a flag on
+    every boundary edge, so that the flag of a shot is the parity of its hits."""
+    base = f"{shared_folder(spark)}/cases-{uuid.uuid4().hex}"
+    shots = lattice.hits(spark, folder).groupBy("shot").agg(F.array_sort(F.collect_list("det")).alias("hits")).withColumn("obs_mask", F.col("shot") % 3 % 2)
+    flag = F.when(F.col("v").isNull(), F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))
+    edge = lattice.edges(spark, folder).withColumn("obs", flag)
+    for k, name in enumerate(("unit", "threefold")):
+        own = shots.where(F.col("shot") % 2 == k)
+        casefile.write_case(casefile.case_lines(edge.withColumn("w", F.lit(1.0 + 2 * k)), own, 9, 9, 0.001), f"{base}/{name}")
+    return cases.run_cases(casefile.read_cases(spark, f"{base}/*"))
+
+
+def _case_name():
+    return F.regexp_extract("case", "[^/]+$", 0).alias("case")
+
+
+@query
+def case_run(spark, folder):
+    return _two_cases(spark, folder).results.select(_case_name(), "shot", "n_hits", "weight", "obs_mask", "status", "true_mask")
+
+
+@query
+def case_mistakes(spark, folder):
+    return _two_cases(spark, folder).mistakes.withColumn("case", _case_name())
+
+
+@query
+def case_totals(spark, folder):
+    return _two_cases(spark, folder).totals.select(_case_name(), "shots", "mistakes", "exceptions", F.round("mean_weight", 6).alias("mean_weight"))
+
+
+@query
+def observables_many(spark, folder):
+    """200 observables, one for each class of nodes: an edge flips those of its two ends, so
+    whatever the paths, a shot flips the observables with an odd number of its hits."""
+    end = [F.pmod(x, F.lit(200)).cast("int") for x in ("u", "v")]
+    flags = F.when(F.col("v").isNull(), F.array(end[0])).when(end[0] == end[1], F.array().cast("array<int>")).otherwise(F.array(*end))
+    decoder = Decoder(lattice.edges(spark, folder).withColumn("obs", flags), options=Options(masks=False))
+    hits = cut(lattice.hits(spark, folder))
+    found = decoder.decode_observables(hits.select("shot").distinct(), hits)
+    return found.select("shot", "weight", F.array_join(F.col("obs").cast("array<string>"), ";").alias("obs"), F.size("words").cast("long").alias("n_words"))
+
+
 @query
 def case_roundtrip(spark, folder):
     shots = lattice.hits(spark, folder).groupBy("shot").agg(F.array_sort(F.collect_list("det")).alias("hits"))

@@ -87,17 +87,18 @@ def normaliser(edges: DataFrame, implied: DataFrame | None = None, distinct: int
     return row.withColumn("norm", norm)
 
 
-def discretise(edges: DataFrame, boundary: DataFrame | None = None, distinct: int = DISTINCT_WEIGHTS) -> DataFrame:
-    """Even integer weights, signs and masks.
+def discretise(edges: DataFrame, boundary: DataFrame | None = None, distinct: int = DISTINCT_WEIGHTS, masks: bool = True) -> DataFrame:
+    """Even integer weights, signs and masks; without ``masks`` the numbers of the
+    observables stay a column ``obs`` and may be any, and the mask is 0.
 
     An edge into a boundary node (``boundary.id``) becomes a boundary edge, one
     between two boundary nodes is dropped, and of several boundary edges of a
     node the lightest stays.
     """
     norm = normaliser(edges, distinct=distinct).select("norm").scalar()
-    out = edges.select(
-        "u", "v", (F.round(F.col("w") * norm).cast("long") * 2).alias("w"), mask_from_indices(F.col("obs")).alias("obs_mask")
-    )
+    flags = ["obs_mask"] if masks else ["obs_mask", "obs"]
+    mask = mask_from_indices(F.col("obs")) if masks else F.lit(0).cast("long")
+    out = edges.select("u", "v", (F.round(F.col("w") * norm).cast("long") * 2).alias("w"), mask.alias("obs_mask"), *flags[1:])
     if boundary is not None:
         rim = boundary.select("id").distinct()
         out = (
@@ -108,18 +109,18 @@ def discretise(edges: DataFrame, boundary: DataFrame | None = None, distinct: in
                 F.when(F.col("bu"), F.col("v")).otherwise(F.col("u")).alias("u"),
                 F.when(~F.coalesce("bu", F.lit(False)) & ~F.coalesce("bv", F.lit(False)), F.col("v")).alias("v"),
                 "w",
-                "obs_mask",
+                *flags,
             )
         )
     inner = out.where("v IS NOT NULL")
     rim_edges = (
         out.where("v IS NULL")
         .groupBy("u")
-        .agg(F.min(F.struct("w", "obs_mask")).alias("e"))
-        .select("u", F.lit(None).cast("long").alias("v"), "e.w", "e.obs_mask")
+        .agg(F.min(F.struct("w", *flags)).alias("e"))
+        .select("u", F.lit(None).cast("long").alias("v"), "e.*")
     )
-    return inner.select("u", "v", "w", "obs_mask").unionByName(rim_edges).select(
-        "u", "v", F.abs("w").alias("w"), F.when(F.col("w") < 0, -1).otherwise(1).alias("sign"), "obs_mask"
+    return inner.select("u", "v", "w", *flags).unionByName(rim_edges).select(
+        "u", "v", F.abs("w").alias("w"), F.when(F.col("w") < 0, -1).otherwise(1).alias("sign"), *flags
     )
 
 
@@ -144,8 +145,9 @@ def negative_toggles(dedges: DataFrame) -> DataFrame:
 
 
 def toggled_observables(edges: DataFrame) -> DataFrame:
-    """Observable numbers an odd number of negative user edges carry."""
-    flags = edges.where("w < 0").select(F.explode("obs").alias("obs"))
+    """Observable numbers an odd number of negative edges (user or discrete ones) carry."""
+    negative = F.col("sign") < 0 if "sign" in edges.columns else F.col("w") < 0
+    flags = edges.where(negative).select(F.explode("obs").alias("obs"))
     return flags.groupBy("obs").count().where("count % 2 = 1").select("obs")
 
 

@@ -219,10 +219,16 @@ def pair_distances(graph: Graph, pairs: DataFrame) -> DataFrame:
     """Distances of the asked pairs only: (u, v, cap) to u, v, d, mask where d <= cap.
 
     Rows are brought together by u; a batch grows each of its sources once, up
-    to the largest cap asked for it.
+    to the largest cap asked for it. A graph that stays a table answers by its hub
+    labels, without a search.
     """
     asked = pairs.groupBy("u", "v").agg(F.max("cap").cast("long").alias("cap"))
     if graph.flat is None:
+        from pairloom.operators.labels import hub_labels, labelled_distances  # built on this module
+
+        labels = hub_labels(graph)
+        if labels is not None:
+            return labelled_distances(labels, asked)
         reach = _balls_by_join(graph, asked.groupBy(F.col("u").alias("src")).agg(F.max("cap").alias("radius")))
         found = reach.select(F.col("src").alias("u"), F.col("node").alias("v"), "d", "mask")
         return asked.join(found, ["u", "v"]).where("d <= cap").select("u", "v", "d", "mask")

@@ -59,6 +59,19 @@ def test_paths_both_ways(spark, limit):
         assert x >= FAR or x <= spans[comp[a]]
 
 
+@pytest.mark.parametrize("core", [0, 5, 100])
+def test_hub_labels_give_all_distances(spark, core):
+    from pairloom.operators.labels import hub_labels, labelled_distances
+
+    rows = random_edges(9, n=24, m=32) + [(50, 51, 4)]  # a graph component of its own
+    nodes = sorted({x for u, v, _ in rows for x in (u, v) if x is not None})
+    d, _ = distances(rows, nodes)
+    labels = hub_labels(Graph(as_table(spark, rows), broadcast_edges=0), core=core)
+    asked = spark.createDataFrame([(a, b, 30) for a in nodes for b in nodes if a < b], "u long, v long, cap long")
+    got = {(r.u, r.v): r.d for r in labelled_distances(labels, asked).collect()}
+    assert got == {(a, b): x for (a, b), x in d.items() if a < b and x <= 30}
+
+
 def test_components_small_and_contracted_agree(spark):
     rng = random.Random(5)
     rows = [(s, rng.randrange(40), rng.randrange(40)) for s in range(3) for _ in range(25)] + [(9, k, k + 1) for k in range(60)]
