@@ -159,7 +159,7 @@ class Encoder:
         """Ids of each text, null as empty; equal to the library's on the whole text."""
         held, chars = [], 0
         for text in texts:
-            if text and self.parting is not None and self.parting.search(text):
+            if text and any(map(text.__contains__, self.added)):
                 yield from self._some(held) if held else ()
                 held, chars = [], 0
                 yield self._parted(text)

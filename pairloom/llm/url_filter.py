@@ -79,7 +79,7 @@ def judge_urls(urls: DataFrame, rules: DataFrame, id_col: str = "page_id", url_c
                     at.append(bisect_right(bounds, (key, path, key_id or 0)))
                     row.append(i)
                 else:  # from the range where the interval opens to the one where it ends
-                    low, high = bisect_right(bounds, (key, "", -1)), bisect_right(bounds, (key[:-1] + "/", "", -1))
+                    low, high = bisect_right(bounds, (key,)), bisect_right(bounds, (key[:-1] + "/",))  # before any path and id
                     at.extend(range(low, high + 1))
                     row.extend([i] * (high + 1 - low))
             out = batch.take(pa.array(row, pa.int64()))

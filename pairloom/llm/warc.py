@@ -1,6 +1,6 @@
 """WARC archives: one gzip member per record, written and read in sequence.
 
-Writing: payloads are told apart by SHA-1 and length; of equal ones the smallest
+Writing: payloads are told apart by SHA-256 and length; of equal ones the smallest
 id becomes a ``response``, every other a ``revisit`` without payload. Each task
 streams its rows to one archive after another (a new one every ``ROLL`` bytes);
 the names of finished archives are the rows of the result, so what a lost task
@@ -71,7 +71,8 @@ def page_record(page: int | None, url: str | None, payload: bytes, first: int |
 def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", least: int = 0) -> DataFrame:
     """Write all rows below ``folder``; result: archive (its place), n_records."""
     rows = pages.select(F.col(id_col).cast("long").alias("page"), F.col(url_col).alias("url"), binary(body_col).alias("payload"))
-    rows = rows.withColumn("sha", F.sha1("payload")).withColumn("size", F.octet_length("payload"))
+    # Payloads count as equal by SHA-256 and length; SHA-1, the digest of the records, has known collisions.
+    rows = rows.withColumn("sha", F.unhex(F.sha2("payload", 256))).withColumn("size", F.octet_length("payload"))
     firsts = rows.where(F.col("size") >= least).groupBy("sha", "size").agg(F.min("page").alias("first"))
     joined = rows.join(firsts, ["sha", "size"], "left").select("page", "url", "payload", "first")
 

@@ -92,3 +92,10 @@ def test_empty_table_and_damage(spark, tmp_path):
 
         for pieces in warc.members(io.BytesIO(block)):
             warc.read_record(pieces)
+
+
+def test_a_rule_without_path_holds_for_all_ids(spark):
+    urls = spark.createDataFrame([(-i, "http://a.b") for i in range(1, 1001)] + [(5, "http://x.a.b?q"), (6, "http://b")], "page_id long, url string")
+    rules = spark.createDataFrame([("a.b", "", "block")], "host string, path string, verdict string")
+    got = {r.page_id: r.verdict for r in url_filter.judge_urls(urls, rules).collect()}
+    assert {k for k, v in got.items() if v != "block"} == {6} and len(got) == 1002
