@@ -410,6 +410,10 @@ _ALONE = (
     pairing("keyed", "alone"),
     "results AS (SELECT k.real_shot AS shot, k.real_level AS level, k.root, a.weight FROM alone a JOIN (SELECT DISTINCT shot, real_shot, real_level, root FROM keyed) k USING (shot))",
 )
+_KEYED = "keyed AS (SELECT dense_rank() OVER (ORDER BY shot, level, root) AS shot, det, det // 40 AS r, det % 40 AS c, 2 * (least(det % 40, 39 - det % 40) + 1) AS rim, shot AS own, level, root FROM members)"
+SQL["cluster_weights"] = with_(*_NARROW, _KEYED, pairing("keyed", "alone")) + (
+    "SELECT k.own AS shot, k.level::BIGINT AS level, k.root, a.n_hits AS size, a.weight, 'ok' AS status FROM alone a JOIN (SELECT DISTINCT shot, own, level, root FROM keyed) k USING (shot)"
+)
 SQL["isolated_vs_global"] = with_(*_ALONE, pairing("placed", "best")) + (
     "SELECT shot, sum(r.weight)::BIGINT AS isolated, any_value(b.weight) AS whole FROM results r JOIN best b USING (shot) GROUP BY shot HAVING sum(r.weight) <> any_value(b.weight)"
 )

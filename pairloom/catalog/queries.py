@@ -598,12 +598,20 @@ def global_event_counts(spark, folder):
 def _isolated(spark: SparkSession, folder: str) -> tuple[Graph, DataFrame, DataFrame]:
     """Every cluster paired up on its own: keys of clusters stand in for shots."""
     graph, members = _members(spark, folder)
-    keyed = cut(members.select("*", F.xxhash64("shot", "level", "root").alias("key")))
-    alone = matching.pair_groups(keyed.select(F.col("key").alias("shot"), "det"), graph)
-    heads = keyed.groupBy("key").agg(F.first("shot").alias("shot"), F.first("level").alias("level"), F.first("root").alias("root"), F.count("*").alias("size"))
+    heads, alone = matching.pair_clusters(members, graph)
     return graph, heads, alone
 
 
+@query
+def cluster_weights(spark, folder):
+    """The clusters of the narrow levels, each decoded alone."""
+    decoder = Decoder(lattice.edges(spark, folder))
+    hits = cut(lattice.hits(spark, folder))
+    members = cut(decoder.clusters(hits.select("shot").distinct(), hits, NARROW))
+    found = decoder.decode_clusters(members)
+    return found.select("shot", F.col("level").cast("long").alias("level"), "root", "size", "weight", "status")
+
+
 @query
 def isolated_vs_global(spark, folder):
     graph, heads, alone = _isolated(spark, folder)

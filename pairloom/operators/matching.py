@@ -253,6 +253,20 @@ def per_shot(groups: DataFrame) -> DataFrame:
     )
 
 
+def pair_clusters(members: DataFrame, graph: Graph, limit: int = SMALL_SHOT) -> tuple[DataFrame, DataFrame]:
+    """Every cluster of a given table (shot, level, root, det) paired up on its own.
+
+    Result: the clusters (key, shot, level, root, size) and their groups, in which the
+    key stands for the shot. Keys are places in a written table, so no two clusters can
+    share one.
+    """
+    heads = cut(members.groupBy("shot", "level", "root").agg(F.count("*").alias("size")))
+    heads = cut(heads.withColumn("key", F.monotonically_increasing_id()))
+    same = F.col("m.shot").eqNullSafe(F.col("h.shot")) & F.col("m.level").eqNullSafe(F.col("h.level")) & F.col("m.root").eqNullSafe(F.col("h.root"))
+    keyed = members.alias("m").join(heads.alias("h"), same).select(F.col("h.key").alias("shot"), F.col("m.det").alias("det"))
+    return heads, pair_groups(cut(keyed.where("det IS NOT NULL")), graph, limit)
+
+
 def matches(groups: DataFrame) -> DataFrame:
     """shot, u, v (NULL = boundary), d of every matched pair."""
     rows = groups.select("shot", F.explode(F.arrays_zip("mu", "mv", "md")).alias("x"))
