@@ -249,9 +249,10 @@ SQL["pair_dist_labels"] = with_(HITS) + (
 )
 SQL["distance_unit"] = with_(HITS, PLACED, PAIRS) + "SELECT ceil(avg(d))::BIGINT AS unit FROM pairs WHERE d <= 16"
 SQL["boundary_dist"] = with_(NODES) + "SELECT id AS node, 2 * (least(c, 39 - c) + 1) AS d, CASE WHEN c < 20 THEN 1 ELSE 0 END::BIGINT AS mask FROM nodes"
-SQL["graph_components"] = (
-    "WITH RECURSIVE links AS (SELECT o_custkey AS u, 1000000000 + o_orderkey AS v FROM orders), "
-    "ends AS (SELECT u AS x, v AS y FROM links UNION ALL SELECT v, u FROM links), "
+SQL["graph_components"] = with_(NODES, STEPS) + (
+    ", links AS (SELECT o_custkey AS u, 1000000000 + o_orderkey AS v FROM orders UNION ALL SELECT 2000000000 + u, 2000000000 + v FROM steps), "
+    "ends AS (SELECT u AS x, v AS y FROM links UNION ALL SELECT v, u FROM links "
+    "UNION ALL SELECT c_custkey, c_custkey FROM customer), "
     "reach(id, other) AS (SELECT x, x FROM ends UNION SELECT r.id, e.y FROM reach r JOIN ends e ON e.x = r.other) SELECT id, min(other) AS comp FROM reach GROUP BY id"
 )
 SQL["component_span_bounds"] = with_(NODES) + "SELECT 0::BIGINT AS comp, (2 * (max(r) + 39))::BIGINT AS span FROM nodes"

@@ -325,10 +325,13 @@ def boundary_dist(spark, folder):
 
 @query
 def graph_components(spark, folder):
-    """The graph of customers and orders, an edge for each order."""
-    edge = table(spark, folder, "orders").select(
-        F.col("o_custkey").alias("u"), (F.lit(10**9) + F.col("o_orderkey")).alias("v"), F.lit(2).cast("long").alias("w"), F.lit(0).cast("long").alias("obs_mask")
-    )
+    """The whole lattice of parts beside the graph of customers and orders, an edge for each
+    order; a customer without orders is a component of its own."""
+    part = F.lit(2 * 10**9)
+    grid = lattice.edges(spark, folder).select((part + F.col("u")).alias("u"), (part + F.col("v")).alias("v"))
+    bought = table(spark, folder, "orders").select(F.col("o_custkey").alias("u"), (F.lit(10**9) + F.col("o_orderkey")).alias("v"))
+    alone = table(spark, folder, "customer").select(F.col("c_custkey").alias("u"), F.lit(None).cast("long").alias("v"))
+    edge = grid.unionByName(bought).unionByName(alone).select("u", "v", F.lit(2).cast("long").alias("w"), F.lit(0).cast("long").alias("obs_mask"))
     return landmarks.graph_components(Graph(edge))
 
 
