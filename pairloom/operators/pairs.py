@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, functions as F
 
+from pairloom.operators import blocks
 from pairloom.operators.landmarks import landmarks
 from pairloom.operators.paths import FAR, Graph, balls, pair_distances
+from pairloom.session import cut
 
 # A shot up to this size lists its own pairs: at most this many rows per hit.
 SMALL_SHOT = 64
@@ -32,9 +36,7 @@ def near_pairs(hits: DataFrame, graph: Graph, limit: int = SMALL_SHOT, strict: b
     pairs that two landmarks of the graph do not rule out are measured. In larger
     shots every hit looks around itself in the graph instead and meets the hits
     it finds by an equi-join on (shot, node), so one enormous shot spreads over
-    all tasks and a hit's partners are limited by the size of its ball. So do the
-    hits of every shot where the graph is too large for arrays: the rounds of the
-    search are then bounded by the reach of the hits, not by the graph.
+    all tasks and a hit's partners are limited by the size of its ball.
     """
     small, large = by_size(hits.select("shot", "det", "rho"), limit)
     if large is None:
@@ -52,8 +54,7 @@ def _slack(reach, strict: bool):
 def listed_pairs(hits: DataFrame, graph: Graph, strict: bool = False) -> DataFrame:
     """:func:`near_pairs` for shots that are all of ordinary size."""
     if graph.flat is None:
-        # Landmarks take a search over the whole graph, which only the arrays make cheap.
-        return _found_pairs(hits.select("shot", "det", "rho"), graph, strict)
+        return _listed_in_blocks(hits, graph, strict)
     marks = landmarks(graph).withColumnRenamed("id", "det")
     placed = hits.join(marks, "det").select("shot", "det", "rho", F.struct("comp", "d1", "d2").alias("at"))
     a = placed.select("shot", F.col("det").alias("u"), F.col("rho").alias("ru"), F.col("at").alias("a"))
@@ -67,6 +68,19 @@ def listed_pairs(hits: DataFrame, graph: Graph, strict: bool = False) -> DataFra
     return listed.join(known, ["u", "v"]).where("d <= cap").select("shot", "u", "v", "d", "mask")
 
 
+def _listed_in_blocks(hits: DataFrame, graph: Graph, strict: bool) -> DataFrame:
+    """The same without landmarks, which take a search over the whole graph: pairs go to
+    the block of their smaller hit, and what is not near is not found around it."""
+    placed = cut(hits.select("shot", "det", "rho"))
+    a = placed.select("shot", F.col("det").alias("u"), F.col("rho").alias("ru"))
+    b = placed.select("shot", F.col("det").alias("v"), F.col("rho").alias("rv"))
+    cap = _slack(F.col("ru") + F.col("rv"), strict).alias("cap")
+    listed = a.join(b, "shot").where("u < v").select("shot", "u", "v", cap).where("cap >= 0")
+    if not blocks.spans_few_hops(graph, 2 * math.ceil(min(placed.agg(F.max("rho")).first()[0] or 0, _CAP))):
+        return _found_pairs(placed, graph, strict)
+    return blocks.pair_distances(graph, listed)
+
+
 def _found_pairs(hits: DataFrame, graph: Graph, strict: bool) -> DataFrame:
     widest = hits.groupBy("shot").agg(F.max("rho").alias("most"))
     centres = hits.join(widest, "shot").select(

@@ -2,8 +2,9 @@
 
 Many sources and a cutoff each. A graph whose edge count is checked against
 ``BROADCAST_EDGES`` is sent once to the executors as flat arrays and every task
-grows the balls of its own sources; a larger graph stays a table and the balls
-grow by joins, one hop per round. Both ways give the same rows.
+grows the balls of its own sources; a larger graph stays a table and is searched
+block by block (:mod:`pairloom.operators.blocks`), or by joins, one hop per round,
+where a radius spans very many hops. All ways give the same rows.
 """
 
 from __future__ import annotations
@@ -51,12 +52,10 @@ class Graph:
         ship(self.spark)
         self.flat = None
         self._tables: dict[str, DataFrame] = {}
-        # Bounded read: one row more than the limit decides which way is used.
-        rows = self.edges.limit(broadcast_edges + 1).toArrow() if broadcast_edges > 0 else None
-        if rows is not None and rows.num_rows <= broadcast_edges:
-            self.flat = self.spark.sparkContext.broadcast(_flatten(rows))
-        else:
-            self.edges = cut(self.edges)
+        # Counted first, so that a graph above the limit never travels to the driver.
+        self.edges = cut(self.edges)
+        if 0 < broadcast_edges and self.edges.count() <= broadcast_edges:
+            self.flat = self.spark.sparkContext.broadcast(_flatten(self.edges.toArrow()))
 
     def once(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         """A table that belongs to the graph, written on first use and read afterwards."""
@@ -81,16 +80,18 @@ def _flatten(rows: pa.Table) -> FlatGraph:
     w = rows["w"].to_numpy()
     m = rows["obs_mask"].to_numpy()
     ids = np.unique(np.concatenate([u, v[inner]])) if len(u) else np.zeros(0, np.int64)
-    a = np.searchsorted(ids, np.concatenate([u[inner], v[inner]]))
-    b = np.searchsorted(ids, np.concatenate([v[inner], u[inner]]))
-    ww, mm = np.tile(w[inner], 2), np.tile(m[inner], 2)
-    order = np.lexsort((ww, b, a))
-    start = np.searchsorted(a[order], np.arange(len(ids) + 1))
-    rim = np.full(len(ids), FAR)
-    rim_mask = np.zeros(len(ids), np.int64)
+    flat = flat_arrays(ids, np.concatenate([u[inner], v[inner]]), np.concatenate([v[inner], u[inner]]), np.tile(w[inner], 2), np.tile(m[inner], 2))
     at = np.searchsorted(ids, u[~inner])
-    rim[at], rim_mask[at] = w[~inner], m[~inner]
-    return FlatGraph(ids, start, b[order], ww[order], mm[order], rim, rim_mask)
+    flat.rim[at], flat.rim_mask[at] = w[~inner], m[~inner]
+    return flat
+
+
+def flat_arrays(ids: np.ndarray, u: np.ndarray, v: np.ndarray, w: np.ndarray, m: np.ndarray) -> FlatGraph:
+    """The arcs from u to v among the sorted ``ids``, without boundary edges."""
+    a, b = np.searchsorted(ids, u), np.searchsorted(ids, v)
+    order = np.lexsort((w, b, a))
+    start = np.searchsorted(a[order], np.arange(len(ids) + 1))
+    return FlatGraph(ids, start, b[order], w[order], m[order], np.full(len(ids), FAR), np.zeros(len(ids), np.int64))
 
 
 class _Balls:
@@ -154,7 +155,11 @@ def balls(graph: Graph, sources: DataFrame) -> DataFrame:
     """All nodes within reach: ``sources`` (src, radius) to src, node, d, mask."""
     wanted = sources.groupBy("src").agg(F.max("radius").cast("long").alias("radius"))
     if graph.flat is None:
-        return _balls_by_join(graph, wanted)
+        from pairloom.operators import blocks  # built on this module
+
+        wanted = cut(wanted)
+        few = blocks.spans_few_hops(graph, wanted.agg(F.max("radius")).first()[0])
+        return blocks.balls(graph, wanted) if few else _balls_by_join(graph, wanted)
     shared = graph.flat
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,13 +224,17 @@ def pair_distances(graph: Graph, pairs: DataFrame) -> DataFrame:
     """Distances of the asked pairs only: (u, v, cap) to u, v, d, mask where d <= cap.
 
     Rows are brought together by u; a batch grows each of its sources once, up
-    to the largest cap asked for it. A graph that stays a table answers by its hub
-    labels, without a search.
+    to the largest cap asked for it. A graph that stays a table is searched block by
+    block, or answers by its hub labels where the caps span very many hops.
     """
     asked = pairs.groupBy("u", "v").agg(F.max("cap").cast("long").alias("cap"))
     if graph.flat is None:
-        from pairloom.operators.labels import hub_labels, labelled_distances  # built on this module
+        from pairloom.operators import blocks  # both built on this module
+        from pairloom.operators.labels import hub_labels, labelled_distances
 
+        asked = cut(asked)
+        if blocks.spans_few_hops(graph, asked.agg(F.max("cap")).first()[0]):
+            return blocks.pair_distances(graph, asked.withColumn("shot", F.lit(None).cast("long"))).drop("shot")
         labels = hub_labels(graph)
         if labels is not None:
             return labelled_distances(labels, asked)
