@@ -16,9 +16,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from pairloom.operators.blocks import spans_few_hops
 from pairloom.operators.components import components
 from pairloom.operators.landmarks import component_spans
-from pairloom.operators.paths import FAR, FlatGraph, Graph, _SCRATCH
+from pairloom.operators.pairs import near_pairs
+from pairloom.operators.paths import FAR, FlatGraph, Graph, _SCRATCH, balls
 from pairloom.session import cut, spread
 
 # First reach of a growth that goes on until all hits of a shot have met.
@@ -38,7 +40,7 @@ def owned(hits: DataFrame, graph: Graph, radius: int) -> DataFrame:
     """shot, node, owner, d: every node within ``radius`` of a hit with its nearest one."""
     hits = hits.select("shot", "det").distinct()
     if graph.flat is None:
-        return _owned_by_join(hits, graph, radius)
+        return _owned_by_balls(hits, graph, radius) if spans_few_hops(graph, 2 * radius) else _owned_by_join(hits, graph, radius)
     shared = graph.flat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,6 +143,20 @@ def _meetings_by_arrays(hits: DataFrame, graph: Graph, bound: int) -> DataFrame:
     return _per_shot(hits).mapInArrow(run, "shot long, u long, v long, d long")
 
 
+def _owned_by_balls(hits: DataFrame, graph: Graph, radius: int) -> DataFrame:
+    """The same from one ball for each node, whatever the number of shots that hit it. Only
+    regions of hits within twice the radius of each other can meet; all others own their
+    balls, so their nodes are never brought together by shot."""
+    hits = cut(hits)
+    reach = cut(balls(graph, hits.select(F.col("det").alias("src"), F.lit(radius).alias("radius"))))
+    reach = reach.select(F.col("src").alias("det"), "node", "d")
+    near = near_pairs(hits.withColumn("rho", F.lit(float(radius))), graph)
+    met = cut(near.select("shot", F.explode(F.array("u", "v")).alias("det")).distinct())
+    alone = hits.join(met, ["shot", "det"], "left_anti").join(reach, "det").select("shot", "node", F.col("det").alias("owner"), "d")
+    best = hits.join(met, ["shot", "det"], "left_semi").join(reach, "det").groupBy("shot", "node").agg(F.min(F.struct("d", "det")).alias("e"))
+    return alone.unionByName(best.select("shot", "node", F.col("e.det").alias("owner"), "e.d"))
+
+
 def _owned_by_join(hits: DataFrame, graph: Graph, radius: int) -> DataFrame:
     """The same by joins, a round per hop; a round goes on from nodes that were reached
     or came to a nearer or smaller hit."""

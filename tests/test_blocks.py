@@ -5,8 +5,10 @@ import random
 import pytest
 
 from pairloom.operators import blocks, paths
+from pairloom.operators.clusters import threshold_components
 from pairloom.operators.pairs import near_pairs, pairs_within
 from pairloom.operators.paths import Graph, balls, pair_distances
+from pairloom.operators.regions import owned
 
 DISCRETE = "u long, v long, w long, sign int, obs_mask long"
 
@@ -66,3 +68,11 @@ def test_pairs_of_shots(graphs, hits):
     both(graphs, lambda g: pairs_within(hits, g, 22), "shot", "u", "v", "d")
     wide = hits.selectExpr("shot", "det", "double(det % 13) AS rho")
     both(graphs, lambda g: near_pairs(wide, g, strict=True), "shot", "u", "v", "d")
+
+
+def test_threshold_components(graphs, hits):
+    both(graphs, lambda g: threshold_components(hits, g, 14), "shot", "det", "root")
+
+
+def test_owned(graphs, hits):
+    both(graphs, lambda g: owned(hits, g, 9), "shot", "node", "owner", "d")
