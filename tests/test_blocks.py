@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from pairloom.operators import blocks, paths
+from pairloom.operators import blocks, clusters, paths
 from pairloom.operators.clusters import threshold_components
 from pairloom.operators.pairs import near_pairs, pairs_within
 from pairloom.operators.paths import Graph, balls, pair_distances
@@ -76,3 +76,18 @@ def test_threshold_components(graphs, hits):
 
 def test_owned(graphs, hits):
     both(graphs, lambda g: owned(hits, g, 9), "shot", "node", "owner", "d")
+
+
+@pytest.mark.parametrize("posts", [3, 1000])
+def test_far_links_chain_as_regions_do(graphs, hits, monkeypatch, posts):
+    flat = graphs[0]
+    want = rows_of(threshold_components(hits, flat, 14), "shot", "det", "root")
+
+    def refuse(*_):
+        raise AssertionError("far steps must not grow regions shot by shot")
+
+    monkeypatch.setattr(blocks, "MOST_HOPS", 1)
+    monkeypatch.setattr(clusters, "POSTS", posts)
+    monkeypatch.setattr(clusters, "meetings", refuse)
+    flat._tables.pop("posts 14", None)
+    assert rows_of(threshold_components(hits, flat, 14), "shot", "det", "root") == want
