@@ -134,6 +134,35 @@ def test_negative_weights_match_enumeration(spark):
         assert out[s] == 2 * best
 
 
+@pytest.mark.parametrize("mode", ["global", "hierarchical"])
+def test_toggled_nodes_far_from_a_shot_stay_in_the_totals(spark, mode, monkeypatch):
+    # A ladder with a boundary at both rails, a negative rung every tenth step, one rung that
+    # ends at the boundary, and a far part without a boundary.
+    rng = random.Random(17)
+    weight = lambda: float(rng.randint(2, 9))
+    edges = [(2 * k + s, 2 * k + 2 + s, weight(), [k % 3]) for k in range(99) for s in (0, 1)]
+    edges += [(2 * k, 2 * k + 1, -3.0 if k % 10 == 4 else weight(), [k % 2]) for k in range(100)]
+    edges += [(2 * k + s, None, weight(), [2] if s else []) for k in range(100) for s in (0, 1)]
+    edges += [(180, None, -4.0, [1]), (500, 501, 2.0, [0]), (501, 502, 3.0, [])]
+    table = spark.createDataFrame([(u, v, w, 0.1, obs, k) for k, (u, v, w, obs) in enumerate(edges)], USER)
+    shots = many_shots([*range(200), 500, 501, 502], 60, 9, 5) | {60: [8, 9], 61: [2 * k + s for k in range(100) for s in (0, 1)]}
+    every = spark.createDataFrame([(s,) for s in [*shots, 99]], "shot long")
+    decoder = Decoder(table, options=Options(mode=mode))
+    whole = {r.shot: r for r in per_shot(decoder.groups(every, as_hits(spark, shots))).collect()}
+    sizes = []
+    from pairloom.operators import standing
+
+    pair = standing.pair_groups
+    monkeypatch.setattr(standing, "pair_groups", lambda hits, *more: (sizes.append(hits.where("shot NOT IN (61)").count()), pair(hits, *more))[1])
+    got = {r.shot: r for r in decoder.decode(every, as_hits(spark, shots)).collect()}
+    assert sorted(got) == sorted([*shots, 99]) and len({r.status for r in got.values()}) == 2
+    for s, r in got.items():
+        assert (r.n_hits, r.status) == (whole[s].n_hits, whole[s].status)
+        assert r.weight == (whole[s].weight + decoder.negative_weight if r.status == "ok" else None)
+    # Shots hold a few groups of toggled nodes each, not all of them.
+    assert sizes[-1] < 0.5 * sum(r.n_hits for s, r in whole.items() if s != 61)
+
+
 @pytest.mark.parametrize("limit", [64, 2], ids=["overlay", "own graph"])
 def test_correlated_pass_matches_brute_force(spark, limit):
     rows = random_edges(21, n=10, m=16)
