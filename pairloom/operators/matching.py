@@ -75,20 +75,25 @@ def _solve(groups: DataFrame, horizon: int | None = None, split: bool = False) -
             if split:
                 # Links of one row fall into independent groups; hits without a link are their own.
                 _, root = _roots(at, u, v)
-                order = np.lexsort((root, at))
             else:
-                root, order = at, np.argsort(at, kind="stable")
+                root = at
+            order = np.lexsort((u, v != RIM, root, at))
             at, root, u, v, d, m = at[order], root[order], u[order], v[order], d[order], m[order]
             cuts = np.flatnonzero((np.diff(at) != 0) | (np.diff(root) != 0)) + 1
             starts, ends = np.r_[0, cuts], np.r_[cuts, len(at)]
-            out = [_one_group(u[a:b], v[a:b], d[a:b], m[a:b], horizon) for a, b in zip(starts, ends)]
-            columns = [
-                batch.column("shot").take(pa.array(at[starts])),
-                pa.array(root[starts]) if split else batch.column("root").take(pa.array(at[starts])),
+            one, two = _plain_groups(starts, ends, u, v, d, horizon)
+            rest = ~(one | two)
+            out = [_one_group(u[a:b], v[a:b], d[a:b], m[a:b], horizon) for a, b in zip(starts[rest], ends[rest])]
+            found = [
+                (starts[one], _single_hits(starts[one], u, d, m)),
+                (starts[two], _single_pairs(starts[two], u, d, m)),
+                (starts[rest], [pa.array([row[k] for row in out], type=kind) for k, kind in enumerate(_KINDS)]),
             ]
-            for k, kind in enumerate(_KINDS):
-                columns.append(pa.array([row[k] for row in out], type=kind))
-            yield pa.RecordBatch.from_arrays(columns, names=_NAMES)
+            for first, columns in found:
+                if len(first):
+                    shots = batch.column("shot").take(pa.array(at[first]))
+                    roots = pa.array(root[first]) if split else batch.column("root").take(pa.array(at[first]))
+                    yield pa.RecordBatch.from_arrays([shots, roots, *columns], names=_NAMES)
 
     return groups.mapInArrow(run, _RESULT)
 
@@ -97,6 +102,55 @@ _NAMES = [part.strip().split(" ")[0] for part in _RESULT.split(", ")]
 _KINDS = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32()] + [pa.list_(pa.int64())] * 5
 
 
+def _plain_groups(starts, ends, u, v, d, horizon) -> tuple[np.ndarray, np.ndarray]:
+    """Which groups are one hit that reaches the boundary, and which are two hits nearer to
+    each other than over the boundary: most groups, whose pairing needs no search. Rows
+    of a group are in order: boundary rows by hit, then pairs."""
+    rows = ends - starts
+    one = (rows == 1) & (v[starts] == RIM) & (d[starts] < FAR)
+    if horizon is not None:
+        return one & (d[starts] <= horizon), np.zeros(len(starts), bool)
+    last = len(u) - 1
+    second, third = np.minimum(starts + 1, last), np.minimum(starts + 2, last)
+    two = (rows == 3) & (v[starts] == RIM) & (v[second] == RIM) & (u[third] == u[starts]) & (v[third] == u[second])
+    # In floating point, since two hits without a boundary add up to more than a long.
+    near = d[third] < d[starts].astype(float) + d[second].astype(float)
+    return one, two & near & (d[third] % 2 == 0) & (d[third] < FAR)
+
+
+def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+    offsets = np.zeros(len(sizes) + 1, np.int32)
+    np.cumsum(sizes, out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, type=pa.int64()))
+
+
+def _single_hits(at, u, d, m) -> list[pa.Array]:
+    """Result columns of groups of one hit, which meets the boundary."""
+    n, once = len(at), np.ones(len(at), np.int32)
+    det, rim = _lists(u[at], once), _lists(d[at], once)
+    done, none = pa.array(np.full(n, DONE, np.int32)), pa.array(np.zeros(n, np.int32))
+    return [done, pa.array(once), pa.array(d[at]), pa.array(m[at]), pa.array(d[at]), rim, none, det, _lists(np.full(n, RIM), once), rim, det, rim]
+
+
+def _single_pairs(at, u, d, m) -> list[pa.Array]:
+    """Result columns of groups of two hits that pair up. Both grow until they meet; where
+    one meets the boundary before, the other goes on and takes it back."""
+    n, once = len(at), np.ones(len(at), np.int32)
+    r, way = np.stack([d[at], d[at + 1]]), d[at + 2]
+    early = r.min(axis=0)
+    halted = early <= way // 2
+    stop = np.where(halted, way - early, way // 2)
+    times = np.stack([early, stop], axis=1)[np.stack([halted, np.ones(n, bool)], axis=1)]
+    first = r[0] <= r[1]
+    most = np.stack([np.where(halted & first, early, stop), np.where(halted & ~first, early, stop)], axis=1)
+    dets = np.stack([u[at], u[at + 1]], axis=1)
+    done, none = pa.array(np.full(n, DONE, np.int32)), pa.array(np.zeros(n, np.int32))
+    return [
+        done, pa.array(2 * once), pa.array(way), pa.array(m[at + 2]), pa.array(stop), _lists(times, 1 + halted), none,
+        _lists(u[at], once), _lists(u[at + 1], once), _lists(way, once), _lists(dets.ravel(), 2 * once), _lists(most.ravel(), 2 * once),
+    ]
+
+
 def _one_group(u, v, d, m, horizon):
     """Split a group's rows into boundary rows (v = RIM) and pair rows, and pair it up."""
     at_rim = v == RIM

@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 from brute import FAR as NONE, least_weight
 
@@ -60,3 +62,29 @@ def test_labels_of_many_groups():
     assert dict(zip(zip(group.tolist(), node.tolist()), root.tolist())) == {
         (0, 1): 1, (0, 3): 1, (0, 5): 1, (1, 5): 5, (1, 7): 5, (1, 9): 5,
     }
+
+
+def test_groups_of_one_and_two_hits_need_no_search():
+    from pairloom.operators import matching as M
+
+    rng = random.Random(23)
+    far = int(M.FAR)
+    rows, cuts = [], [0]
+    for k in range(600):
+        low, high = sorted(rng.sample(range(90), 2))
+        rims = [rng.choice([far, 0, *range(2, 24, 2)]) for _ in range(2)]
+        part = [(low, M.RIM, rims[0], 1)]
+        if k % 3:
+            part += [(high, M.RIM, rims[1], 2), (low, high, rng.randrange(1, 30), 4 + k % 4)]
+        rows += part
+        cuts.append(len(rows))
+    u, v, d, m = (np.array(x, np.int64) for x in zip(*rows))
+    starts, ends = np.array(cuts[:-1]), np.array(cuts[1:])
+    one, two = M._plain_groups(starts, ends, u, v, d, None)
+    assert one.sum() > 100 and two.sum() > 80 and not (one & two).any()
+    for mask, make in ((one, M._single_hits), (two, M._single_pairs)):
+        got = [c.to_pylist() for c in make(starts[mask], u, d, m)]
+        for k, (a, b) in enumerate(zip(starts[mask], ends[mask])):
+            want = M._one_group(u[a:b], v[a:b], d[a:b], m[a:b], None)
+            assert [c[k] for c in got] == [np.asarray(x).tolist() for x in want]
+    assert not M._plain_groups(starts, ends, u, v, d, 0)[1].any()
