@@ -18,8 +18,9 @@ Candidates are never listed as all pairs of a bucket:
    bucket.
 4. For what still meets in a bucket without being joined, a prefix filter over the
    shingles themselves, rarest first, names the pairs that can be linked at all.
-   It loses no link. Where many texts share leading shingles, blocks of them are
-   compared inside the tasks, and only one link for two components comes out.
+   It loses no link. Texts that many share leading shingles with are taken together
+   in families; blocks of them are compared inside the tasks, each text in one family,
+   and only one link for two components comes out.
 
 Rows are told apart by their place in the table that is read (not by id), so
 ``docs`` must come from files that do not change meanwhile.
@@ -33,6 +34,7 @@ an empty table gives no rows; other columns are kept by :func:`drop_near_copies`
 
 from __future__ import annotations
 
+import math
 from collections import OrderedDict
 from collections.abc import Iterator
 
@@ -51,8 +53,8 @@ WORDS = 5
 PERCENT = 80
 # Places that are sent to every task to fetch texts; beyond, texts are joined by a shuffle.
 BROADCAST_PLACES = 2_000_000
-# Members of a bucket that are listed in pairs; shingles and members in a block of a larger
-# bucket; columns of a product.
+# Members of a bucket that are listed in pairs; shingles and members in a block of a family
+# of larger buckets; columns of a product.
 FEW = 32
 BLOCK = 400_000
 MEMBERS = 1500
@@ -231,8 +233,8 @@ def residual_pairs(keys: DataFrame, docs: DataFrame, k: int, percent: int, text_
     least = F.ceil(F.lit(percent) * F.col("n") / 100)
     lead = each.join(spread_of, "s").withColumn("pos", F.row_number().over(rarest))
     lead = cut(lead.where((F.col("pos") <= F.col("n") - least + 1) & (F.col("df") > 1)).drop("df"))
-    groups = lead.groupBy("s").agg(F.count("*").alias("many"), F.sum("n").alias("volume"), F.min("root").alias("low"), F.max("root").alias("high"))
-    groups = cut(groups.where("low <> high").select("s", "many", "volume"))
+    groups = lead.groupBy("s").agg(F.count("*").alias("many"), F.min("node").alias("first"), F.min("root").alias("low"), F.max("root").alias("high"))
+    groups = cut(groups.where("low <> high").select("s", "many", "first"))
     few = lead.join(groups.where(F.col("many") <= FEW).select("s"), "s")
     a, b = few.alias("a"), few.alias("b")
     t = F.ceil(F.lit(percent) * (F.col("a.n") + F.col("b.n")) / (100 + percent))
@@ -240,37 +242,71 @@ def residual_pairs(keys: DataFrame, docs: DataFrame, k: int, percent: int, text_
     fits = 100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n")
     both = a.join(b, (F.col("a.s") == F.col("b.s")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.root") != F.col("b.root")) & near & fits)
     pairs = both.select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
-    blocks = F.greatest(F.ceil(F.col("volume") / BLOCK), F.ceil(F.col("many") / MEMBERS)).cast("int")
-    many = groups.where(F.col("many") > FEW).select("s", blocks.alias("blocks"))
-    return pairs.unionByName(_linked_in_blocks(lead.select("s", "node").join(many, "s").join(sets, "node"), percent)).distinct()
+    many = lead.join(groups.where(F.col("many") > FEW).select("s", "first"), "s").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    return pairs.unionByName(_linked_in_blocks(families(many), sets, percent)).distinct()
 
 
-def _linked_in_blocks(rows: DataFrame, percent: int) -> DataFrame:
-    """a, b: for every two components with a link among the members of a bucket, one link
-    (two places in other buckets may name another). ``rows``: s, blocks, node, root, n, set.
+def families(meets: DataFrame) -> DataFrame:
+    """node, family: members of large buckets (a; b the smallest of the bucket), buckets with
+    common members taken together. Texts of one origin share many leading shingles; so
+    each stands in one family, however many large buckets it is in."""
+    return contract(meets.distinct(), []).select("node", F.col("root").alias("family"))
 
-    A bucket is dealt into blocks of about ``BLOCK`` shingles or ``MEMBERS`` texts, and
-    every two blocks meet in one place, where all their sets are compared at once by a product of 0/1 matrices,
-    some columns at a time. Pairs of texts that are not linked never leave the task.
+
+def _linked_in_blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b: for every two components with a link among the members of a family, one link
+    (two places in other blocks may name another). ``sets``: node, root, n, set.
+
+    A large family is parted by size, so that linked sets stand in the same band or in
+    neighbouring ones, and a band is dealt into blocks of about ``BLOCK`` shingles or
+    ``MEMBERS`` texts. Every two blocks that can hold a link meet in one place, where all
+    their sets are compared at once by a product of 0/1 matrices, some columns at a time.
+    Pairs of texts that are not linked never leave the task.
     """
-    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    dealt = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = dealt.select("s", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "root", "n", "set")
-    placed = placed.repartition(slots(rows.sparkSession), "s", "i", "j").sortWithinPartitions("s", "i", "j")
+
+    def blocks(*keys: str) -> DataFrame:
+        size = F.greatest(F.ceil(F.sum("n") / BLOCK), F.ceil(F.count("*") / MEMBERS)).cast("int")
+        return rows.groupBy(*keys).agg(size.alias("blocks"))
+
+    rows = cut(members.join(sets.select("node", "n"), "node"))
+    # A little wider than the similarity asks for, so that rounding moves no set by two bands.
+    width = max(1.001 * math.log(100 / percent), 1e-6)
+    band = F.floor(F.log(F.col("n").cast("double")) / width).cast("int")
+    banded = F.when(F.col("whole") > 1, band).otherwise(0).alias("band")
+    rows = cut(rows.join(blocks("family").withColumnRenamed("blocks", "whole"), "family").select("family", "node", "n", banded))
+    sizes = cut(blocks("family", "band"))
+    dealt = rows.join(sizes, ["family", "band"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    for step in (1, -1):
+        beside = sizes.select("family", (F.col("band") - step).alias("band"), F.col("blocks").alias("up" if step == 1 else "down"))
+        dealt = dealt.join(beside, ["family", "band"], "left")
+    span = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    # Places: the lower band, whether the other block is of the next band, both blocks, and the sides that a row stands on.
+    own = F.transform(span("blocks"), lambda x: F.struct(
+        F.col("band").alias("low"), F.lit(0).alias("next"), F.least("block", x).alias("i"), F.greatest("block", x).alias("j"),
+        F.when(x == F.col("block"), 2).when(x > F.col("block"), 0).otherwise(1).alias("side"),
+    ))
+    above = F.transform(span("up"), lambda x: F.struct(F.col("band").alias("low"), F.lit(1).alias("next"), F.col("block").alias("i"), x.alias("j"), F.lit(0).alias("side")))
+    below = F.transform(span("down"), lambda x: F.struct((F.col("band") - 1).alias("low"), F.lit(1).alias("next"), x.alias("i"), F.col("block").alias("j"), F.lit(1).alias("side")))
+    none = F.array().cast("array<struct<low:int,next:int,i:int,j:int,side:int>>")
+    places = F.concat(own, F.when(F.col("up").isNotNull(), above).otherwise(none), F.when(F.col("down").isNotNull(), below).otherwise(none))
+    placed = dealt.select("family", "node", F.explode(places).alias("at")).select("family", "node", "at.*").join(sets, "node")
+    keys = ["family", "low", "next", "i", "j"]
+    placed = placed.select(*keys, "side", "node", "root", "n", "set")
+    placed = placed.repartition(slots(sets.sparkSession), *keys).sortWithinPartitions(*keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, []
+        place, held = None, []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = np.stack([batch.column(c).to_numpy() for c in ("s", "i", "j")])
-            cuts = np.r_[0, np.flatnonzero((np.diff(keys, axis=1) != 0).any(0)) + 1, batch.num_rows]
+            each = np.stack([batch.column(c).to_numpy() for c in keys])
+            cuts = np.r_[0, np.flatnonzero((np.diff(each, axis=1) != 0).any(0)) + 1, batch.num_rows]
             for start, end in zip(cuts, cuts[1:]):
-                now = tuple(keys[:, start])
-                if now != key and held:
+                now = tuple(each[:, start])
+                if now != place and held:
                     yield _links_of(pa.Table.from_batches(held), percent)
                     held = []
-                key = now
+                place = now
                 held.append(batch.slice(start, end - start))
         if held:
             yield _links_of(pa.Table.from_batches(held), percent)
@@ -279,17 +315,22 @@ def _linked_in_blocks(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def _links_of(rows: pa.Table, percent: int) -> pa.RecordBatch:
-    """One link for every two components that are linked between the two blocks."""
-    i, j = rows["i"][0].as_py(), rows["j"][0].as_py()
-    block, node, root, n = (rows[c].to_numpy() for c in ("block", "node", "root", "n"))
+    """One link for every two components that are linked between the two sides."""
+    side, node, root, n = (rows[c].to_numpy() for c in ("side", "node", "root", "n"))
+    left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+    if not len(left) or not len(right) or (root == root[0]).all():
+        return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, names=["a", "b"])
     sets = rows["set"].combine_chunks()
     owner = np.repeat(np.arange(len(node)), np.diff(sets.offsets.to_numpy()))
     column = np.unique(sets.flatten().to_numpy(), return_inverse=True)[1]
-    shared = np.bincount(column)[column] > 1
+    # Only shingles of both sides, and of two texts, can be common.
+    many = np.bincount(column) > 1
+    for one in (0, 1):
+        many &= np.bincount(column[side[owner] != 1 - one], minlength=len(many)) > 0
+    shared = many[column]
     owner, column = owner[shared], np.unique(column[shared], return_inverse=True)[1]
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
-    left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
     common = np.zeros((len(left), len(right)), np.float32)
     for first in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
         part = slice(*np.searchsorted(column, [first, first + COLUMNS]))

@@ -93,6 +93,43 @@ def test_a_family_of_near_copies_lists_links_only(monkeypatch, spark, tmp_path):
     assert len(asked) < 3 or asked[2] < 240
 
 
+def test_a_text_of_many_large_buckets_is_sent_once(monkeypatch, spark, tmp_path):
+    sent, in_batches = [], near_dup.in_batches
+
+    def seen(rows, *more):
+        if {"root", "set"} <= set(rows.columns):
+            sent.append(rows.count())
+        return in_batches(rows, *more)
+
+    monkeypatch.setattr(near_dup, "in_batches", seen)
+    texts = family(240, 3)
+    table(spark, texts).write.parquet(str(tmp_path / "t"))
+    got = {r.doc: r.component for r in near_dup.components(spark.read.parquet(str(tmp_path / "t")), k=5).collect()}
+    assert got == plain.links(dict(enumerate(texts)), 5)
+    assert len(sent) == 1 and 0 < sent[0] <= len(texts)
+
+
+def test_families_are_parted_by_size(monkeypatch, spark, tmp_path):
+    # near copies of one text cut at many lengths: links within a band of sizes and across two
+    monkeypatch.setattr(near_dup, "MEMBERS", 12)
+    monkeypatch.setattr(near_dup, "FEW", 2)
+    rng = random.Random(5)
+    texts = []
+    for text in family(120, 8):
+        words = text.split()
+        texts.append(" ".join(words[: rng.randint(60, 200)]))
+    table(spark, texts).write.parquet(str(tmp_path / "t"))
+    docs = spark.read.parquet(str(tmp_path / "t"))
+    sets = {i: near_dup.shingles(near_dup.words_of(t), 2) for i, t in enumerate(texts)}
+    rows = [(i, i, len(x), near_dup.shingle_hashes(near_dup.words_of(t), 2).view("int64").tolist()) for (i, x), t in zip(sets.items(), texts)]
+    held = spark.createDataFrame(rows, "node long, root long, n long, set array<long>")
+    members = spark.createDataFrame([(i, 0) for i in sets], "node long, family long")
+    got = {(r.a, r.b) for r in near_dup._linked_in_blocks(members, held, 80).collect()}
+    want = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    assert got == want and len(want) > 100
+    assert {r.doc: r.component for r in near_dup.components(docs, k=2).collect()} == plain.links(dict(enumerate(texts)), 2)
+
+
 def test_repeated_rows_and_null_ids_leave_one(spark):
     docs = table(spark, ["same text of six words here"] * 4 + [None, None], ids=[7, 7, None, 3, None, None])
     kept = near_dup.drop_near_copies(docs).select("doc_id", "text").collect()
