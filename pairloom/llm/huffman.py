@@ -87,37 +87,37 @@ def lookup(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def pack(ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> tuple[bytes, np.ndarray]:
     """Bits of the ids, and the bit offset of every ``STEP``-th id."""
-    size = lengths[ids].astype(np.int64)
+    sizes, ids = lengths.astype(np.uint64), ids.astype(np.int64)
+    size = sizes[ids]
     end = np.cumsum(size)
     begin = end - size
     words = np.zeros(int(end[-1]) // 64 + 2, np.uint64)
-    code, word, shift = codes[ids], begin >> 6, 64 - (begin & 63) - size
-    high = np.where(shift >= 0, code << np.maximum(shift, 0).astype(np.uint64), code >> np.maximum(-shift, 0).astype(np.uint64))
+    # codes from the highest bit on; ids that never occur have none
+    code, word, bit = (codes << ((np.uint64(64) - sizes) & np.uint64(63)))[ids], (begin >> np.uint64(6)).view(np.int64), begin & np.uint64(63)
     first = np.flatnonzero(np.diff(word, prepend=-1))
-    words[word[first]] = np.bitwise_or.reduceat(high, first)
-    over = np.flatnonzero(shift < 0)
-    words[word[over] + 1] |= code[over] << (64 + shift[over]).astype(np.uint64)
+    words[word[first]] = np.bitwise_or.reduceat(code >> bit, first)
+    over = np.flatnonzero(bit + size > np.uint64(64))
+    words[word[over] + 1] |= code[over] << (np.uint64(64) - bit[over])
     return words.astype(">u8").tobytes(), begin[::STEP].astype("<u8")
 
 
 def unpack(bits: bytes, checkpoints: np.ndarray, n: int, table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """All ids of a block, every checkpoint a lane of its own."""
     ids, sizes = table
-    words = np.frombuffer(bits, ">u8").astype(np.uint64)
-    at, low = checkpoints.astype(np.int64), np.uint64((1 << LIMIT) - 1)
-    out = np.zeros((len(at), STEP), np.int32)
+    # 32 bits from every 16th bit on, so that LIMIT bits from anywhere lie in one of them
+    half = np.frombuffer(bits, ">u2").astype(np.uint32)
+    pairs = (half << np.uint32(16)) | np.append(half[1:], np.uint32(0))
+    at = checkpoints.astype(np.int64)
+    seen = np.zeros((STEP, len(at)), np.uint16)
     for step in range(STEP):
-        if step == n - (len(at) - 1) * STEP:  # the last lane is shorter
+        if step == n - (seen.shape[1] - 1) * STEP:  # the last lane is shorter
             at = at[:-1]
-        word, bit = at >> 6, (at & 63).astype(np.uint64)
-        # LIMIT bits from here, over the edge of a word where need be
-        both = (words[word] << bit) | ((words[word + 1] >> np.uint64(1)) >> (np.uint64(63) - bit))
-        seen = (both >> np.uint64(64 - LIMIT)) & low
-        out[: len(at), step] = ids[seen]
-        at = at + sizes[seen]
         if not len(at):
             break
-    return out.ravel()[:n]
+        look = (pairs[at >> 4] >> (16 - (at & 15)).astype(np.uint32)).astype(np.uint16)
+        seen[step, : len(at)] = look
+        at = at + sizes[look]
+    return ids[seen.T].ravel()[:n]
 
 
 def block_bytes(docs: list[tuple[int | None, np.ndarray]], codes: np.ndarray, lengths: np.ndarray) -> bytes:

@@ -20,6 +20,8 @@ import numpy as np
 from pairloom.llm.common import held, hold_only
 
 ODD = re.compile(r"\s | \s")
+# White space other than spaces and line breaks.
+RARE = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 CUT = re.compile(r"(?<=\S)(?= \S)")
 LINE = re.compile(r"(?<=\S)(\n)(?=\S)")
 # Letters that the vocabulary's own pattern takes for letters as well.
@@ -30,9 +32,19 @@ BYTES = np.arange(256, dtype="<u4")
 BYTES[[x for x in range(256) if x not in _PRINTED]] = np.arange(256, 256 + 256 - len(_PRINTED))
 BYTES[10] = 10  # parts the words
 TAIL = ".,!?;:&%$#*|"
+# A word with its tail.
+PLAIN = re.compile(f"({WORD.pattern})([{re.escape(TAIL)}]*)")
 # Characters of text at work at once, and distinct pieces kept before the table starts anew.
 CHARS = 1 << 21
-KEPT = 600_000
+KEPT = 1_200_000
+
+
+def _gather(flat: np.ndarray, ends: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches of ``flat`` by their numbers, one after the other, and where each ends."""
+    start = ends[at]
+    size = ends[at + 1] - start
+    total = np.cumsum(size)
+    return flat[np.repeat(start - (total - size), size) + np.arange(total[-1] if len(at) else 0)], total
 
 
 class _Pieces(dict):
@@ -47,6 +59,13 @@ class _Pieces(dict):
         return number
 
 
+def _odd(text: str) -> bool:
+    """Whether a space stands beside other white space (``ODD``), mostly without a search."""
+    if "  " in text or " \n" in text or "\n " in text:
+        return True
+    return any(map(text.__contains__, RARE)) and ODD.search(text) is not None
+
+
 class Encoder:
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -61,9 +80,14 @@ class Encoder:
 
     def _clear(self) -> None:
         self.pieces = _Pieces()
-        self.splits: dict[str, array] = {}
         self.flat, self.ends = array("i"), array("q", [0])
         self.uses = np.zeros(0, np.int64)
+        self._new_parts()
+
+    def _new_parts(self) -> None:
+        """Splits by number, and the ids of each."""
+        self.splits: dict[str, int] = {}
+        self.parts, self.ends_of_parts = array("i"), array("q", [0])
 
     def _forget(self) -> None:
         """Keep the pieces that were used more than once since they came, or since
@@ -72,13 +96,13 @@ class Encoder:
         if len(kept) > KEPT // 2:
             return self._clear()
         ends = np.array(self.ends, np.int64)
-        size = np.diff(ends)[kept]
-        total = np.cumsum(size)
-        ids = np.array(self.flat, np.int32)[np.repeat(ends[kept] - (total - size), size) + np.arange(total[-1] if len(kept) else 0)]
+        ids, total = _gather(np.array(self.flat, np.int32), ends, kept)
         names = list(self.pieces)
         self.pieces = _Pieces()
         self.pieces.update((names[k], i) for i, k in enumerate(kept.tolist()))
-        self.flat, self.ends = array("i", ids.tolist()), array("q", [0, *total.tolist()])
+        self.flat, self.ends = array("i"), array("q", [0])
+        self.flat.frombytes(ids.astype(np.int32).tobytes())
+        self.ends.frombytes(total.astype(np.int64).tobytes())
         self.uses = np.zeros(len(kept), np.int64)
         return None
 
@@ -86,33 +110,44 @@ class Encoder:
         """Ids of the pieces met for the first time."""
         texts = [x[0] if isinstance(x, tuple) else " " + x for x in self.pieces.new]
         self.pieces.new = []
-        splits, parts_of, unseen = self.splits, [], []
+        parts, splits = self.parts, self.splits
+        known, words, other = len(self.ends_of_parts) - 1, [], []
+        used, counts = array("q"), array("q")
         for text in texts:
-            stem = text.rstrip(TAIL)
-            if len(stem) == len(text) or not WORD.fullmatch(stem):
-                parts = [x for part in LINE.split(text) for x in self._parts(part)] if "\n" in text else self._parts(text)
+            if plain := PLAIN.fullmatch(text):
+                own = plain.groups() if plain.end(1) < len(text) else (text,)
             else:
-                parts = (stem, text[len(stem) :])
-            parts_of.append(parts)
-            for part in parts:
-                if part not in splits:
-                    splits[part] = None
-                    unseen.append(part)
-        words = [x for x in unseen if WORD.fullmatch(x)]
-        other = [x for x in unseen if not WORD.fullmatch(x)]
+                own = [x for part in LINE.split(text) for x in self._parts(part)] if "\n" in text else self._parts(text)
+            counts.append(len(own))
+            for part in own:
+                number = splits.get(part)
+                if number is None:
+                    if WORD.fullmatch(part):
+                        number = splits[part] = known + len(words)
+                        words.append(part)
+                    else:
+                        number = splits[part] = -1 - len(other)  # after all words
+                        other.append(part)
+                used.append(number)
         merge = self.library.model.tokenize  # a word is one split: straight to the merges
+        ends = self.ends_of_parts
         mapped = BYTES[np.frombuffer("\n".join(words).encode(), np.uint8)].tobytes().decode("utf-32-le")
-        for part, text in zip(words, mapped.split("\n")):
-            splits[part] = array("i", [x.id for x in merge(text)])
-        for part, found in zip(other, self.library.encode_batch_fast(other, add_special_tokens=False), strict=True):
-            splits[part] = array("i", found.ids)
-        flat, ends = self.flat, self.ends
-        for parts in parts_of:
-            for part in parts:
-                flat.extend(splits[part])
-            ends.append(len(flat))
+        for text in mapped.split("\n") if words else ():
+            parts.extend([x.id for x in merge(text)])
+            ends.append(len(parts))
+        first = len(ends) - 1
+        for number, found in enumerate(self.library.encode_batch_fast(other, add_special_tokens=False)):
+            splits[other[number]] = first + number
+            parts.extend(found.ids)
+            ends.append(len(parts))
+        at = np.frombuffer(used, np.int64) if used else np.zeros(0, np.int64)
+        at = np.where(at < 0, first - 1 - at, at)
+        ids, total = _gather(np.frombuffer(parts, np.int32) if parts else np.zeros(0, np.int32), np.frombuffer(ends, np.int64), at)
+        last = np.cumsum(np.frombuffer(counts, np.int64))
+        self.ends.frombytes((np.concatenate([[0], total])[last] + len(self.flat)).tobytes())
+        self.flat.frombytes(ids.tobytes())
         if len(splits) > KEPT // 2:
-            self.splits = {}
+            self._new_parts()
 
     @staticmethod
     def _parts(text: str) -> tuple[str, ...]:
@@ -127,10 +162,10 @@ class Encoder:
             self._forget()
         pieces, counts = [], []
         for text in texts:
-            own = CUT.split(text) if ODD.search(text) else None
-            if own is None:
+            if not _odd(text):
                 own = text.split(" ")
             else:
+                own = CUT.split(text)
                 own[1:] = [x[1:] for x in own[1:]]  # the space that opens each
             own[0] = (own[0],)
             counts.append(len(own))
@@ -146,10 +181,7 @@ class Encoder:
         used[: len(self.uses)] += self.uses
         self.uses = used
         flat, ends = np.frombuffer(self.flat, np.int32) if self.flat else np.zeros(0, np.int32), np.frombuffer(self.ends, np.int64)
-        start = ends[at]
-        size = ends[at + 1] - start
-        total = np.cumsum(size)
-        ids = flat[np.repeat(start - (total - size), size) + np.arange(total[-1])]
+        ids, total = _gather(flat, ends, at)
         del flat, ends
         bounds = np.concatenate([[0], total])[np.concatenate([[0], np.cumsum(counts)])]
         for low, high in zip(bounds, bounds[1:]):

@@ -118,3 +118,37 @@ def test_exchanges_empty_bins():
     after = packing.Search(lengths.tolist(), [b[:] for b in first], 100).run()
     assert len(after) <= len(first) and all(sum(lengths[i] for i in b) <= 100 for b in after)
     assert sorted(i for b in after for i in b) == list(range(2000))
+
+
+def test_parts_are_numbers_and_may_be_forgotten(monkeypatch):
+    monkeypatch.setattr(tokens, "KEPT", 40)
+    rng = random.Random(11)
+    marks = ["", ",", ".", "!?", "...", "\n", "7", "é", "\u3000", "x-y"]
+    texts = ["".join(rng.choice(["", " ", "  "]) + "".join(rng.choice("abcdé") for _ in range(rng.randint(0, 4))) + rng.choice(marks) for _ in range(50)) for _ in range(40)]
+    tool = tokens.Encoder(PATH)
+    for k in range(0, len(texts), 5):
+        for text, ids in zip(texts[k : k + 5], tool.encode(texts[k : k + 5]), strict=True):
+            assert ids.tolist() == tool.library.encode(text, add_special_tokens=False).ids
+    assert all(isinstance(x, int) and 0 <= x < len(tool.ends_of_parts) - 1 for x in tool.splits.values())
+
+
+def test_blocks_of_every_length_come_back():
+    rng = np.random.default_rng(4)
+    counts = np.r_[0, 1 << np.arange(20), np.ones(300, np.int64), 0]
+    lengths = huffman.code_lengths(counts)
+    codes, table = huffman.codes_of(lengths), huffman.lookup(lengths)
+    assert lengths.max() == huffman.LIMIT
+    for n in (1, 2, 63, 64, 255, 256, 257, 511, 512, 513, 5000):
+        ids = rng.integers(1, len(counts) - 1, n)
+        bits, marks = huffman.pack(ids, codes, lengths)
+        want = "".join(format(int(codes[i]), f"0{lengths[i]}b") for i in ids)
+        assert "".join(format(x, "08b") for x in bits)[: len(want)] == want
+        assert huffman.unpack(bits, marks, n, table).tolist() == ids.tolist()
+
+
+def test_odd_spaces_are_seen_without_a_search():
+    space = [chr(x) for x in range(0x110000) if tokens.re.match(r"\s", chr(x))]
+    assert set(space) == {" ", "\n", *tokens.RARE}
+    for x in [*space, "a", "\u200b"]:
+        for text in (f"a {x}b", f"a{x} b", f"a{x}b c", f"{x}", f" {x}", f"{x} "):
+            assert tokens._odd(text) == bool(tokens.ODD.search(text))
