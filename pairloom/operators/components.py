@@ -12,6 +12,9 @@ from pairloom.session import cut, ship, spread
 
 # A key with at most this many links is one row of work; larger ones contract.
 SMALL_LINKS = 4096
+# Hooks beyond so many are joined by a shuffle. Spark would send them to the driver, as
+# large as all nodes, in every round of pointer doubling.
+BROADCAST_HOOKS = 50_000
 
 
 def components(links: DataFrame, keys: list[str], small: int = SMALL_LINKS) -> DataFrame:
@@ -84,7 +87,10 @@ def contract(links: DataFrame, keys: list[str]) -> DataFrame:
     label = ends.select(*keys, "node", F.col("node").alias("root"))
     while True:
         hooks = left.groupBy(*keys, F.col("b").alias("node")).agg(F.min("a").alias("up"))
-        hooks = _flatten(cut(hooks), keys)
+        hooks = cut(hooks)
+        many = hooks.count() > BROADCAST_HOOKS
+        hooks = _flatten(hooks, keys, many)
+        hooks = hooks.hint("merge") if many else hooks
         follow = hooks.select(*keys, F.col("node").alias("root"), "up")
         label = cut(
             label.join(follow, [*keys, "root"], "left").select(*keys, "node", F.coalesce("up", "root").alias("root"))
@@ -100,11 +106,12 @@ def contract(links: DataFrame, keys: list[str]) -> DataFrame:
             return label
 
 
-def _flatten(hooks: DataFrame, keys: list[str]) -> DataFrame:
-    """Follow hooks to the end: after k rounds every pointer spans 2^k hooks."""
+def _flatten(hooks: DataFrame, keys: list[str], many: bool = False) -> DataFrame:
+    """Follow hooks to the end: after k rounds every pointer spans 2^k hooks. Where there
+    are ``many``, they are joined by a shuffle."""
     while True:
         ahead = hooks.select(*keys, F.col("node").alias("up"), F.col("up").alias("further"))
-        joined = hooks.join(ahead, [*keys, "up"], "left")
+        joined = hooks.join(ahead.hint("merge") if many else ahead, [*keys, "up"], "left")
         hooks = cut(
             joined.select(*keys, "node", F.coalesce("further", "up").alias("up"), F.col("further").isNotNull().alias("moved"))
         )

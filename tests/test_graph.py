@@ -133,3 +133,20 @@ def test_lookup_and_reweight(spark):
     fired = spark.createDataFrame([(5, 0, None)], "shot long, u long, v long")
     assert [tuple(r) for r in E.reweight(table, fired, implied).collect()] == [(5, 1, 2, 8)]
     assert E.heaviest_plus_one(table).select(F.col("first_diameter")).first()[0] == 21
+
+
+def test_many_hooks_are_not_sent_to_the_driver(monkeypatch, spark):
+    from pairloom.operators import components
+
+    plans, cut = [], components.cut
+
+    def seen(rows):
+        plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        return cut(rows)
+
+    monkeypatch.setattr(components, "cut", seen)
+    monkeypatch.setattr(components, "BROADCAST_HOOKS", 10)
+    links = spark.range(400).where("id % 50 <> 49").select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    got = {r.node: r.root for r in components.contract(links, []).collect()}
+    assert got == {n: n - n % 50 for n in range(400)}
+    assert not any("BroadcastHashJoin" in x for x in plans[:5]) and any("SortMergeJoin" in x for x in plans)
