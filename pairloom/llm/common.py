@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -55,6 +56,15 @@ def hold_only(*wanted: dict) -> None:
             cache.clear()
 
 
+def give_back() -> None:
+    """Hands memory that earlier steps have freed in this worker process back to the system,
+    where the C library can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def place_in(docs: DataFrame) -> Column:
     """A number for each row of a table of files, the same whenever the table is read.
 

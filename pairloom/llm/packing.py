@@ -29,6 +29,9 @@ from pairloom.llm.tokens import encoder
 from pairloom.session import cut
 
 SHARD = 40_000
+# Distinct pieces of text that the encoder of a worker keeps. In a chain of operators the
+# executor still holds what earlier ones needed, so there is less room than for encoding alone.
+KEPT = 300_000
 # Nearest lengths that an exchange looks at.
 NEAR = 8
 
@@ -37,7 +40,7 @@ def pieces_of(docs: DataFrame, path: str, room: int, end_id: int, id_col: str =
     """id, piece, start, length, ids_crc32; a longer document has its short piece first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool, end = encoder(path), np.array([end_id], np.int32)
+        tool, end = encoder(path, KEPT), np.array([end_id], np.int32)
         for batch in batches:
             rows = []
             for doc, ids in zip(batch.column(0).to_pylist(), tool.encode(batch.column(1).to_pylist()), strict=True):

@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-from pairloom.llm.common import held, hold_only
+from pairloom.llm.common import give_back, held, hold_only
 
 ODD = re.compile(r"\s | \s")
 # White space other than spaces and line breaks.
@@ -34,7 +34,8 @@ BYTES[10] = 10  # parts the words
 TAIL = ".,!?;:&%$#*|"
 # A word with its tail.
 PLAIN = re.compile(f"({WORD.pattern})([{re.escape(TAIL)}]*)")
-# Characters of text at work at once, and distinct pieces kept before the table starts anew.
+# Characters of text at work at once, and distinct pieces kept before the table starts anew
+# unless an operator names a number of its own.
 CHARS = 1 << 21
 KEPT = 1_200_000
 
@@ -67,7 +68,8 @@ def _odd(text: str) -> bool:
 
 
 class Encoder:
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, kept: int | None = None) -> None:
+        self.kept = kept
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -78,6 +80,10 @@ class Encoder:
         self.size = self.library.get_vocab_size()
         self._clear()
 
+    def _most(self) -> int:
+        """Pieces kept before the table starts anew."""
+        return KEPT if self.kept is None else self.kept
+
     def _clear(self) -> None:
         self.pieces = _Pieces()
         self.flat, self.ends = array("i"), array("q", [0])
@@ -93,7 +99,7 @@ class Encoder:
         """Keep the pieces that were used more than once since they came, or since
         they were last looked over; if those are too many as well, none."""
         kept = np.flatnonzero(self.uses > 1)
-        if len(kept) > KEPT // 2:
+        if len(kept) > self._most() // 2:
             return self._clear()
         ends = np.array(self.ends, np.int64)
         ids, total = _gather(np.array(self.flat, np.int32), ends, kept)
@@ -146,7 +152,7 @@ class Encoder:
         last = np.cumsum(np.frombuffer(counts, np.int64))
         self.ends.frombytes((np.concatenate([[0], total])[last] + len(self.flat)).tobytes())
         self.flat.frombytes(ids.tobytes())
-        if len(splits) > KEPT // 2:
+        if len(splits) > self._most() // 2:
             self._new_parts()
 
     @staticmethod
@@ -158,7 +164,7 @@ class Encoder:
         return (text,) if text else ()
 
     def _some(self, texts: list[str]) -> Iterator[np.ndarray]:
-        if len(self.pieces) > KEPT:
+        if len(self.pieces) > self._most():
             self._forget()
         pieces, counts = [], []
         for text in texts:
@@ -217,9 +223,11 @@ class Encoder:
 _ready: dict[str, Encoder] = held({})
 
 
-def encoder(path: str) -> Encoder:
-    """The encoder of this worker process."""
+def encoder(path: str, kept: int | None = None) -> Encoder:
+    """The encoder of this worker process, with a table of at most ``kept`` pieces (``KEPT``)."""
     hold_only(_ready)
-    if path not in _ready:
-        _ready[path] = Encoder(path)
+    if path not in _ready or _ready[path].kept != kept:
+        _ready.clear()
+        give_back()
+        _ready[path] = Encoder(path, kept)
     return _ready[path]

@@ -132,6 +132,18 @@ def test_parts_are_numbers_and_may_be_forgotten(monkeypatch):
     assert all(isinstance(x, int) and 0 <= x < len(tool.ends_of_parts) - 1 for x in tool.splits.values())
 
 
+def test_an_operator_may_keep_fewer_pieces(library, monkeypatch):
+    monkeypatch.setattr(tokens, "CHARS", 500)
+    rng = random.Random(12)
+    texts = [" ".join("".join(rng.choice("abcdé") for _ in range(6)) for _ in range(60)) for _ in range(60)]
+    few = tokens.encoder(PATH, 100)
+    for text, ids in zip(texts, few.encode(texts), strict=True):
+        assert ids.tolist() == library(text)
+        assert len(few.pieces) < 400  # one batch of new pieces at most on top
+    assert tokens.encoder(PATH, 100) is few
+    assert tokens.encoder(PATH) is not few and packing.KEPT < tokens.KEPT
+
+
 def test_blocks_of_every_length_come_back():
     rng = np.random.default_rng(4)
     counts = np.r_[0, 1 << np.arange(20), np.ones(300, np.int64), 0]
