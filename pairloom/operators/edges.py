@@ -185,19 +185,22 @@ def joint_probabilities(pieces: DataFrame) -> DataFrame:
     """Joint probability of two edges fired by the same error.
 
     ``pieces``: error, piece, u, v, p. Result: u, v, other_u, other_v, joint,
-    where the row with equal pairs is the marginal. The self join is on one
-    error, whose number of pieces is a property of the model text.
+    where the row with equal pairs is the marginal. The pieces of one error, whose number
+    is a property of the model text, are brought together once and meet in one row; a
+    pair of different edges has the same value either way round and is added up once.
     """
     ends = canonical(pieces.select("error", "piece", "u", "v", "p"))
-    a = ends.select("error", "p", F.col("piece").alias("i"), "u", "v")
-    b = ends.select("error", F.col("piece").alias("j"), F.col("u").alias("other_u"), F.col("v").alias("other_v"))
-    both = a.join(b, "error").where("i <> j").select("u", "v", "other_u", "other_v", "p")
-    own = ends.select("u", "v", F.col("u").alias("other_u"), F.col("v").alias("other_v"), "p")
-    return (
-        both.unionByName(own)
-        .groupBy("u", "v", "other_u", "other_v")
-        .agg(xor_probability_of_all(F.col("p")).alias("joint"))
-    )
+    own = ends.groupBy("error").agg(F.collect_list(F.struct("piece", F.struct("u", "v").alias("edge"), "p")).alias("own"))
+    one = own.select("error", "own", F.posexplode("own").alias("i", "a"))
+    two = one.select("error", "i", "a", F.posexplode("own").alias("j", "b"))
+    apart = F.col("error").isNotNull() & (F.col("a.piece") != F.col("b.piece")) & (F.col("a.edge") <= F.col("b.edge"))
+    both = two.where((F.col("i") == F.col("j")) | apart).select(F.col("a.edge").alias("edge"), F.col("b.edge").alias("other"), F.col("a.p").alias("p"))
+    joint = both.select("edge.u", "edge.v", F.col("other.u").alias("other_u"), F.col("other.v").alias("other_v"), "p")
+    joint = joint.groupBy("u", "v", "other_u", "other_v").agg(xor_probability_of_all(F.col("p")).alias("joint"))
+    there = F.struct("u", "v", "other_u", "other_v")
+    back = F.struct(F.col("other_u").alias("u"), F.col("other_v").alias("v"), F.col("u").alias("other_u"), F.col("v").alias("other_v"))
+    same = F.col("u").eqNullSafe(F.col("other_u")) & F.col("v").eqNullSafe(F.col("other_v"))
+    return joint.select(F.explode(F.when(same, F.array(there)).otherwise(F.array(there, back))).alias("x"), "joint").select("x.*", "joint")
 
 
 def implied_weights(joint: DataFrame) -> DataFrame:

@@ -135,6 +135,27 @@ def test_lookup_and_reweight(spark):
     assert E.heaviest_plus_one(table).select(F.col("first_diameter")).first()[0] == 21
 
 
+def test_pieces_of_an_error_meet_in_one_row(spark):
+    """Boundary edges, one edge twice in an error, a number used twice and errors without a name."""
+    rows = [
+        (1, 0, 0, 1, 0.1), (1, 1, 2, None, 0.1), (1, 2, 1, 0, 0.1),
+        (2, 0, 2, None, 0.2), (2, 1, 0, 1, 0.2), (2, 1, 4, 5, 0.2), (2, 2, 2, 3, 0.2),
+        (None, 0, 0, 1, 0.3), (None, 1, 2, 3, 0.3),
+    ]
+    want = {}
+    for x, (error, piece, *edge, p) in enumerate(rows):
+        for y, (other_error, other_piece, *other, _) in enumerate(rows):
+            if x == y or (error is not None and error == other_error and piece != other_piece):
+                key = tuple(tuple(e if e[1] is None else sorted(e)) for e in (edge, other))
+                want[key] = want.get(key, 1.0) * (1 - 2 * p)
+    joint = E.joint_probabilities(spark.createDataFrame(rows, "error long, piece int, u long, v long, p double"))
+    got = {((r.u, r.v), (r.other_u, r.other_v)): r.joint for r in joint.collect()}
+    assert got.keys() == want.keys() and joint.count() == len(got)
+    assert all(got[k] == pytest.approx((1 - want[k]) / 2, rel=1e-12) for k in want)
+    plan = joint._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") == 1 and "Join" not in plan
+
+
 def test_many_hooks_are_not_sent_to_the_driver(monkeypatch, spark):
     from pairloom.operators import components
 
