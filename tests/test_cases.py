@@ -90,3 +90,11 @@ def test_words_of_flags(spark):
     words = flag_words(spark.createDataFrame(rows, "shot long, obs long"), ["shot"])
     got = {r.shot: (r.words, r.obs) for r in words.withColumn("obs", flags_of_words(F.col("words"))).collect()}
     assert got == {1: ([1 - 2**63, 1, 0, 128], [0, 63, 64, 199]), 2: ([], []), 3: ([0, 0, 4], [130])}
+
+
+def test_round_trip_reads_each_table_once(spark):
+    """Edges and header in one pass each; shots and hits in two, one of which counts the shots of each block."""
+    from pairloom.catalog.queries import QUERIES
+
+    plan = QUERIES["case_roundtrip"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < sum("Relation" in line and line.rstrip().endswith("text") for line in plan.splitlines()) <= 6
