@@ -306,7 +306,7 @@ def pair_dist_labels(spark, folder):
     order = Window.partitionBy("shot").orderBy("det")
     pairs = lattice.hits(spark, folder).select(F.col("det").alias("u"), F.lead("det").over(order).alias("v")).where("v IS NOT NULL")
     pairs = pairs.distinct().withColumn("cap", F.lit(2**40))
-    return paths.pair_distances(Graph(edge, broadcast_edges=0), cut(pairs)).select("u", "v", "d")
+    return paths.pair_distances(Graph(edge, broadcast_edges=0), cut(pairs), masks=False).select("u", "v", "d")
 
 
 @query
@@ -928,7 +928,7 @@ def adaptive_buffer_candidates(spark, folder):
     graph = unit_graph(spark, folder)
     hits = cut(lattice.hits(spark, folder))
     widest = landmarks.component_spans(graph).agg(F.max("span")).first()[0]
-    return adaptive.buffer_candidates(pairs_within(hits, graph, widest), matching.rim_of(hits, graph), 1.0, 10)
+    return adaptive.buffer_candidates(pairs_within(hits, graph, widest, masks=False), matching.rim_of(hits, graph), 1.0, 10)
 
 
 @query

@@ -23,10 +23,10 @@ BLOCK = 4096
 MOST_HOPS = 128
 
 
-def spans_few_hops(graph: Graph, reach: int | None) -> bool:
-    """Whether a way as long as ``reach`` has at most ``MOST_HOPS`` edges."""
+def spans_few_hops(graph: Graph, reach: int | None, most: int | None = None) -> bool:
+    """Whether a way as long as ``reach`` has at most ``most`` (``MOST_HOPS`` if not given) edges."""
     lightest = graph.once("lightest", lambda: graph.edges.where("v IS NOT NULL").agg(F.min("w").alias("w"))).first()[0]
-    return reach is None or lightest is None or reach <= MOST_HOPS * lightest
+    return reach is None or lightest is None or reach <= (MOST_HOPS if most is None else most) * lightest
 
 
 def _home(node: str) -> Column:

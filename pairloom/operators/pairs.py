@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import DataFrame, functions as F
 
-from pairloom.operators import blocks
+from pairloom.operators import blocks, overlay
 from pairloom.operators.landmarks import landmarks
 from pairloom.operators.paths import FAR, Graph, balls, pair_distances
 from pairloom.session import cut
@@ -14,6 +14,8 @@ from pairloom.session import cut
 # A shot up to this size lists its own pairs: at most this many rows per hit.
 SMALL_SHOT = 64
 _CAP = int(FAR) // 2
+# A reach of more hops than this takes longer to grow than to look up by hubs.
+FEW_HOPS = 16
 
 
 def by_size(hits: DataFrame, limit: int = SMALL_SHOT) -> tuple[DataFrame | None, DataFrame | None]:
@@ -51,8 +53,23 @@ def _slack(reach, strict: bool):
     return (F.ceil(capped) - 1 if strict else F.floor(capped)).cast("long")
 
 
+def _by_hubs(graph: Graph, reach: float) -> bool:
+    """Whether pairs are measured by hubs (:mod:`pairloom.operators.overlay`), which know no masks."""
+    return not blocks.spans_few_hops(graph, math.ceil(min(reach, _CAP)), FEW_HOPS) and overlay.reachable(graph)
+
+
+def _without_masks(graph: Graph) -> bool:
+    flagged = graph.once("flagged", lambda: graph.edges.where("v IS NOT NULL AND obs_mask <> 0").select("obs_mask").limit(1))
+    return flagged.isEmpty()
+
+
 def listed_pairs(hits: DataFrame, graph: Graph, strict: bool = False) -> DataFrame:
     """:func:`near_pairs` for shots that are all of ordinary size."""
+    if _without_masks(graph):
+        placed = cut(hits.select("shot", "det", "rho"))
+        if _by_hubs(graph, 2 * (placed.agg(F.max("rho")).first()[0] or 0)):
+            return _looked_up(placed, graph, strict).withColumn("mask", F.lit(0).cast("long"))
+        hits = placed
     if graph.flat is None:
         return _listed_in_blocks(hits, graph, strict)
     marks = landmarks(graph).withColumnRenamed("id", "det")
@@ -68,6 +85,14 @@ def listed_pairs(hits: DataFrame, graph: Graph, strict: bool = False) -> DataFra
     return listed.join(known, ["u", "v"]).where("d <= cap").select("shot", "u", "v", "d", "mask")
 
 
+def _looked_up(hits: DataFrame, graph: Graph, strict: bool = False) -> DataFrame:
+    """shot, u, v, d: all pairs of each shot, measured by hubs."""
+    a = hits.select("shot", F.col("det").alias("u"), F.col("rho").alias("ru"))
+    b = hits.select("shot", F.col("det").alias("v"), F.col("rho").alias("rv"))
+    cap = _slack(F.col("ru") + F.col("rv"), strict).alias("cap")
+    return overlay.distances(graph, a.join(b, "shot").where("u < v").select("shot", "u", "v", cap).where("cap >= 0"))
+
+
 def _listed_in_blocks(hits: DataFrame, graph: Graph, strict: bool) -> DataFrame:
     """The same without landmarks, which take a search over the whole graph: pairs go to
     the block of their smaller hit, and what is not near is not found around it."""
@@ -96,6 +121,15 @@ def _found_pairs(hits: DataFrame, graph: Graph, strict: bool) -> DataFrame:
     )
 
 
-def pairs_within(hits: DataFrame, graph: Graph, bound: float, limit: int = SMALL_SHOT) -> DataFrame:
-    """shot, u, v, d, mask of the hit pairs at distance <= ``bound``."""
-    return near_pairs(hits.withColumn("rho", F.lit(bound / 2.0)), graph, limit)
+def pairs_within(hits: DataFrame, graph: Graph, bound: float, limit: int = SMALL_SHOT, masks: bool = True) -> DataFrame:
+    """shot, u, v, d, mask of the hit pairs at distance <= ``bound``; without ``masks``
+    shot, u, v, d, where a bound of many hops needs no search."""
+    reach = hits.withColumn("rho", F.lit(bound / 2.0))
+    if masks:
+        return near_pairs(reach, graph, limit)
+    if not _by_hubs(graph, bound):
+        return near_pairs(reach, graph, limit).drop("mask")
+    small, large = by_size(reach.select("shot", "det", "rho"), limit)
+    parts = [] if small is None else [_looked_up(small, graph)]
+    parts += [] if large is None else [_found_pairs(large, graph, False).drop("mask")]
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])

@@ -153,11 +153,11 @@ def _batches(rows: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[lis
 
 def balls(graph: Graph, sources: DataFrame) -> DataFrame:
     """All nodes within reach: ``sources`` (src, radius) to src, node, d, mask."""
-    wanted = sources.groupBy("src").agg(F.max("radius").cast("long").alias("radius"))
+    # Written first: Spark would take rows that are grouped by the same key as spread already, and fold them into one task.
+    wanted = cut(sources.groupBy("src").agg(F.max("radius").cast("long").alias("radius")))
     if graph.flat is None:
         from pairloom.operators import blocks  # built on this module
 
-        wanted = cut(wanted)
         few = blocks.spans_few_hops(graph, wanted.agg(F.max("radius")).first()[0])
         return blocks.balls(graph, wanted) if few else _balls_by_join(graph, wanted)
     shared = graph.flat
@@ -220,13 +220,16 @@ def _balls_by_join(graph: Graph, wanted: DataFrame) -> DataFrame:
     return settled()
 
 
-def pair_distances(graph: Graph, pairs: DataFrame) -> DataFrame:
-    """Distances of the asked pairs only: (u, v, cap) to u, v, d, mask where d <= cap.
+def pair_distances(graph: Graph, pairs: DataFrame, masks: bool = True) -> DataFrame:
+    """Distances of the asked pairs only: (u, v, cap) to u, v, d, mask where d <= cap;
+    without ``masks`` u, v, d.
 
     Rows are brought together by u; a batch grows each of its sources once, up
     to the largest cap asked for it. A graph that stays a table is searched block by
     block, or answers by its hub labels where the caps span very many hops.
     """
+    if not masks:
+        return _unmasked_distances(graph, pairs)
     asked = pairs.groupBy("u", "v").agg(F.max("cap").cast("long").alias("cap"))
     if graph.flat is None:
         from pairloom.operators import blocks  # both built on this module
@@ -268,6 +271,18 @@ def pair_distances(graph: Graph, pairs: DataFrame) -> DataFrame:
     return spread(asked, "u").sortWithinPartitions("u").mapInArrow(run, "u long, v long, d long, mask long")
 
 
+def _unmasked_distances(graph: Graph, pairs: DataFrame) -> DataFrame:
+    from pairloom.operators import blocks, overlay  # both built on this module
+
+    asked = cut(pairs.groupBy("u", "v").agg(F.max("cap").cast("long").alias("cap")))
+    if blocks.spans_few_hops(graph, asked.agg(F.max("cap")).first()[0]) or not overlay.reachable(graph):
+        return pair_distances(graph, asked).drop("mask")
+    # A node without arcs has no place among the hubs, and is at no distance from itself.
+    itself = asked.where("u = v AND cap >= 0").join(graph.nodes().withColumnRenamed("id", "u"), "u").select("u", "v", F.lit(0).cast("long").alias("d"))
+    others = overlay.distances(graph, asked.where("u <> v").withColumn("shot", F.lit(0).cast("long"))).drop("shot")
+    return others.unionByName(itself)
+
+
 def shortest_paths(graph: Graph, pairs: DataFrame) -> DataFrame:
     """Edges on one shortest path of each asked (u, v): u, v, pos, a, b from u to v.
 
@@ -384,7 +399,7 @@ def _boundary(graph: Graph) -> DataFrame:
                 )
                 work.clear(keys)
 
-    return spread(graph.nodes(), "id").mapInArrow(run, "node long, d long, mask long, leaves_by long")
+    return spread(cut(graph.nodes()), "id").mapInArrow(run, "node long, d long, mask long, leaves_by long")
 
 
 def _boundary_by_join(graph: Graph) -> DataFrame:
