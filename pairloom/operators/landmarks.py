@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from pairloom.operators import overlay
 from pairloom.operators.components import contract
 from pairloom.operators.paths import FAR, Graph, balls
 from pairloom.session import cut
@@ -33,6 +34,8 @@ def landmarks(graph: Graph) -> DataFrame:
 def _landmarks(graph: Graph) -> DataFrame:
     comps = graph_components(graph)
     far = F.lit(int(FAR) // 4)
+    if overlay.reachable(graph):
+        return _landmarks_by_hubs(graph, comps)
     first = balls(graph, comps.where("id = comp").select(F.col("id").alias("src"), far.alias("radius")))
     first = cut(first.select(F.col("src").alias("comp"), F.col("node").alias("id"), F.col("d").alias("d1")))
     ends = first.groupBy("comp").agg(F.max(F.struct("d1", "id")).alias("e")).select("comp", F.col("e.id").alias("src"))
@@ -41,6 +44,19 @@ def _landmarks(graph: Graph) -> DataFrame:
     return first.join(second, ["comp", "id"]).select("id", "comp", "d1", "d2")
 
 
+def _landmarks_by_hubs(graph: Graph, comps: DataFrame) -> DataFrame:
+    """The same without growing over the whole graph, which is one task for each component."""
+
+    def measured(sources: DataFrame, name: str) -> DataFrame:
+        asked = comps.join(sources, "comp").select(F.col("comp").alias("shot"), F.col("src").alias("u"), F.col("id").alias("v"), F.lit(int(FAR) // 4).alias("cap"))
+        found = overlay.distances(graph, asked.where("u <> v")).select(F.col("shot").alias("comp"), F.col("v").alias("id"), F.col("d").alias(name))
+        return found.unionByName(sources.select("comp", F.col("src").alias("id"), F.lit(0).cast("long").alias(name)))
+
+    first = cut(measured(comps.where("id = comp").select("comp", F.col("id").alias("src")), "d1"))
+    ends = cut(first.groupBy("comp").agg(F.max(F.struct("d1", "id")).alias("e")).select("comp", F.col("e.id").alias("src")))
+    return first.join(measured(ends, "d2"), ["comp", "id"]).select("id", "comp", "d1", "d2")
+
+
 def component_spans(graph: Graph) -> DataFrame:
     """comp, span: an upper bound of the distance inside each component.
 
