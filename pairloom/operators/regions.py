@@ -16,11 +16,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from pairloom.operators import overlay
 from pairloom.operators.blocks import spans_few_hops
 from pairloom.operators.components import components
 from pairloom.operators.landmarks import component_spans
-from pairloom.operators.pairs import near_pairs
+from pairloom.operators.pairs import by_size, near_pairs, pairs_within
 from pairloom.operators.paths import FAR, FlatGraph, Graph, _SCRATCH, balls
+from pairloom.operators.whole_shots import spanning_steps
 from pairloom.session import cut, spread
 
 # First reach of a growth that goes on until all hits of a shot have met.
@@ -183,10 +185,20 @@ def _meetings_by_join(hits: DataFrame, graph: Graph, bound: int) -> DataFrame:
 
 
 def meetings_to_the_end(hits: DataFrame, graph: Graph, first: int = FIRST) -> DataFrame:
-    """:func:`meetings` without a bound: the reach of a shot is doubled until all its
-    hits are chained or the reach covers the graph, so its work follows the distances
-    between its own hits."""
+    """:func:`meetings` without a bound. In shots of ordinary size all pairs are measured,
+    and those of a least spanning tree are enough. In larger ones the reach is doubled
+    until all hits are chained or the reach covers the graph, so their work follows the
+    distances between their own hits."""
     left = cut(hits.select("shot", "det").distinct())
+    if not overlay.reachable(graph):
+        return _doubled(left, graph, first)
+    small, large = by_size(left)
+    parts = [] if small is None else [spanning_steps(pairs_within(small, graph, int(FAR) // 4, masks=False))]
+    parts += [] if large is None else [_doubled(cut(large), graph, first)]
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def _doubled(left: DataFrame, graph: Graph, first: int) -> DataFrame:
     widest = component_spans(graph).agg(F.max("span")).first()[0] or 0
     bound, done = first, None
     while True:
