@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from pairloom.operators import overlay
 from pairloom.operators.clusters import Level, diameters
 from pairloom.operators.components import components
 from pairloom.operators.landmarks import component_spans
-from pairloom.operators.pairs import SMALL_SHOT, pairs_within
+from pairloom.operators.pairs import SMALL_SHOT, by_size, pairs_within
 from pairloom.operators.paths import FAR, Graph
 from pairloom.operators.regions import meetings_to_the_end
 from pairloom.operators.stats import best_trial, spaced_sample
+from pairloom.operators.whole_shots import groups_of_shots
 from pairloom.session import cut
 
 _CAP = int(FAR) // 2
@@ -82,9 +84,31 @@ def lasting_clusters(hits: DataFrame, rim: DataFrame, graph: Graph, phi: float =
     A group lives from its longest inner step to its nearest outside hit. To be
     certified its diameter must be less than half of where it ends, so its life spans
     a power of two, and the components at powers of two hold all of them: a merge tree
-    cut at a few heights, all heights in one job, whatever the distances are.
+    cut at a few heights, all heights in one job, whatever the distances are. In shots of
+    ordinary size the pairs are measured once, and the tree is one row of work.
     """
     hits = cut(hits.select("shot", "det").distinct())
+    small, large = by_size(hits) if overlay.reachable(graph) else (None, hits)
+    parts = []
+    if small is not None:
+        known = rim.select("shot", "det", "rim").distinct().join(small, ["shot", "det"], "left_semi")
+        pairs = pairs_within(known.select("shot", "det"), graph, _CAP // 2, masks=False)
+        parts.append(groups_of_shots(known, pairs).where(F.col("stop").isNull() | (F.col("diameter") <= _diameter_for(F.col("stop") - 1, phi))))
+    if large is not None:
+        parts.append(_groups_at_heights(large, rim, graph, phi))
+    rims = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    odd = F.col("size") % 2 == 1
+    lives = rims.select(
+        "shot", "root", "size", "stop",
+        F.when(odd, F.greatest("diameter", "far_rim")).otherwise(F.col("diameter")).alias("far"),
+        F.when(odd, F.greatest("diameter", "near_rim")).otherwise(F.col("diameter")).alias("near"),
+    )
+    lives = lives.where(F.col("far") < _CAP).withColumn("start", buffer_for(F.col("far"), phi))
+    return lives.where("stop IS NULL OR start < stop").select("shot", "root", "size", "far", "near", "start", "stop")
+
+
+def _groups_at_heights(hits: DataFrame, rim: DataFrame, graph: Graph, phi: float) -> DataFrame:
+    """shot, root, size, stop, diameter, far_rim, near_rim of the groups that can be certified."""
     steps = cut(meetings_to_the_end(hits, graph))
     top = steps.agg(F.max("d")).first()[0] or 0
     heights = [1 << k for k in range(max(1, top).bit_length() + 1)]
@@ -109,14 +133,7 @@ def lasting_clusters(hits: DataFrame, rim: DataFrame, graph: Graph, phi: float =
     keys = ["shot", "height", "root"]
     wide = diameters(alive, graph, F.col("cap"), keys).where("diameter IS NOT NULL").select(*keys, "diameter")
     rims = alive.join(rim.select("shot", "det", "rim"), ["shot", "det"]).groupBy(*keys, "size", "stop").agg(F.max("rim").alias("far_rim"), F.min("rim").alias("near_rim"))
-    odd = F.col("size") % 2 == 1
-    lives = rims.join(wide, keys).select(
-        "shot", "root", "size", "stop",
-        F.when(odd, F.greatest("diameter", "far_rim")).otherwise(F.col("diameter")).alias("far"),
-        F.when(odd, F.greatest("diameter", "near_rim")).otherwise(F.col("diameter")).alias("near"),
-    )
-    lives = lives.where(F.col("far") < _CAP).withColumn("start", buffer_for(F.col("far"), phi))
-    return lives.where("stop IS NULL OR start < stop").select("shot", "root", "size", "far", "near", "start", "stop")
+    return rims.join(wide, keys).select("shot", "root", "size", "stop", "diameter", "far_rim", "near_rim")
 
 
 def breakpoint_bounds(hits: DataFrame, rim: DataFrame, graph: Graph, previous: Level, phi: float = 1.0) -> DataFrame:
